@@ -2,7 +2,7 @@
 
 Joins are declared as plain equi-joins: AQE picks broadcast from measured
 shuffle sizes and splits skewed partitions, so no side is broadcast on a guess.
-Lookups that are fixed, tiny constants use ``functions.joins.fixed_lookup``.
+Fixed, tiny lookups (status moves, lexicons) are expressions, not joins.
 """
 
 from __future__ import annotations
@@ -182,3 +182,18 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 def remove_rows(df: DataFrame, removals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Delete by key (anti join)."""
     return df.join(removals.select(*keys), list(keys), "left_anti")
+
+
+def new_tickets(rows: DataFrame, id_parts: Sequence[str], ts: str = "created_at") -> DataFrame:
+    """Insert with defaults: status TODO when absent, ``updated_at`` =
+    creation time, and an id hashed from the row's natural key so a rerun
+    produces the same ids (no random UUIDs)."""
+    tid = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in id_parts]), 256)
+    return rows.select(tid.alias("ticket_id"), "meeting_id", "title", "content",
+                       F.coalesce(F.col("status"), F.lit("TODO")).alias("status"),
+                       "assignee_id", F.col(ts).alias("created_at"), F.col(ts).alias("updated_at"))
+
+
+def dedup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Z4 (batch twin): one row per event id; repeated deliveries are equal rows."""
+    return df.dropDuplicates(list(keys))

@@ -65,3 +65,41 @@ def with_views(body: str, **views: str) -> str:
     """``WITH name AS (sql), ... body``."""
     ctes = ",\n".join(f"{k} AS ({v})" for k, v in views.items())
     return f"WITH {ctes}\n{body}"
+
+
+def _membership_changes() -> str:
+    from agendum.sources.testdata import (MEMBERSHIP_ACTIONS, OTHER_DOMAIN_SEGMENT,
+                                          ROLE_BY_SEGMENT)
+    acts = ", ".join(f"'{a}'" for a in MEMBERSHIP_ACTIONS)
+    return f"""
+SELECT c_custkey AS change_id, c_custkey - c_custkey % {ADMIN_EVERY} AS requester_id,
+       CAST(c_nationkey AS BIGINT) AS group_id,
+       ([{acts}])[c_custkey % {len(MEMBERSHIP_ACTIONS)} + 1] AS action, c_name AS name,
+       CASE WHEN c_acctbal < 0 THEN c_name
+            WHEN c_mktsegment = '{OTHER_DOMAIN_SEGMENT}' THEN lower(replace(c_name, '#', '.')) || '@other.test'
+            ELSE lower(replace(c_name, '#', '.')) || '@corp.test' END AS email,
+       coalesce({case('c_mktsegment', ROLE_BY_SEGMENT)}, 'MEMBER') AS new_role
+FROM customer"""
+
+
+MEMBERSHIP_CHANGES = _membership_changes()
+
+TICKET_PATCHES = f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS ticket_id, l_shipdate AS patched_at,
+       l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+       CASE WHEN l_linestatus = 'F' THEN '' ELSE 'Part ' || CAST(l_partkey AS VARCHAR) END AS title,
+       CAST(NULL AS VARCHAR) AS content,
+       CASE WHEN l_returnflag = 'N' THEN '' ELSE {case('l_returnflag', RETURNFLAG_STATUS)} END AS status,
+       l_discount >= 0.05 AS has_assignee_id,
+       CASE WHEN l_tax >= 0.04 THEN l_suppkey END AS assignee_id
+FROM lineitem"""
+
+TICKET_SUGGESTIONS = """
+SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+                 CAST(l_suppkey AS VARCHAR), CAST(datediff('day', DATE '1970-01-01', l_shipdate) AS VARCHAR))
+         AS source_key,
+       o_custkey AS meeting_id, 'Part ' || CAST(l_partkey AS VARCHAR) AS title,
+       'qty ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS content,
+       CASE WHEN l_linestatus = 'O' THEN NULL ELSE 'IN_PROGRESS' END AS status,
+       CAST(NULL AS BIGINT) AS assignee_id, l_shipdate AS created_at
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""

@@ -144,3 +144,80 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_quantity").alias("kafka_delivery_ms"),
                      F.col("l_extendedprice").alias("processing_ms"),
                      F.col("l_discount").alias("total_ms"))
+
+
+# --- derived change feeds ----------------------------------------------------
+# Membership change requests on customer rows: the user of each block of ten
+# ids (an admin of its own group) asks to change the target user's membership.
+MEMBERSHIP_ACTIONS = ("create", "invite", "role", "remove")
+OTHER_DOMAIN_SEGMENT = "HOUSEHOLD"     # these targets use an e-mail no user has
+ROLE_BY_SEGMENT = {"BUILDING": "ADMIN", "MACHINERY": "OWNER"}   # anything else: MEMBER
+
+
+def membership_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    action = F.element_at(F.array(*[F.lit(a) for a in MEMBERSHIP_ACTIONS]),
+                          (F.col("c_custkey") % len(MEMBERSHIP_ACTIONS) + 1).cast("int"))
+    local = F.lower(F.regexp_replace("c_name", "#", "."))
+    email = (F.when(F.col("c_acctbal") < 0, F.col("c_name"))
+              .when(F.col("c_mktsegment") == OTHER_DOMAIN_SEGMENT, F.concat(local, F.lit("@other.test")))
+              .otherwise(F.concat(local, F.lit("@corp.test"))))
+    return c.select(
+        F.col("c_custkey").alias("change_id"),
+        (F.col("c_custkey") - F.col("c_custkey") % ADMIN_EVERY).alias("requester_id"),
+        F.col("c_nationkey").cast("long").alias("group_id"),
+        action.alias("action"),
+        F.col("c_name").alias("name"),
+        email.alias("email"),
+        map_values("c_mktsegment", ROLE_BY_SEGMENT, "MEMBER").alias("new_role"),
+    )
+
+
+def ticket_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial ticket updates, one per lineitem row (several per ticket)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").cast("string").alias("ticket_id"),
+        F.col("l_shipdate").alias("patched_at"),
+        *[F.col(c) for c in HISTORY_TIEBREAK],
+        F.when(F.col("l_linestatus") == "F", F.lit(""))
+         .otherwise(F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))).alias("title"),
+        F.lit(None).cast("string").alias("content"),
+        F.when(F.col("l_returnflag") == "N", F.lit(""))
+         .otherwise(map_values("l_returnflag", RETURNFLAG_STATUS)).alias("status"),
+        (F.col("l_discount") >= 0.05).alias("has_assignee_id"),
+        F.when(F.col("l_tax") >= 0.04, F.col("l_suppkey")).alias("assignee_id"),
+    )
+
+
+def ticket_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New-ticket suggestions: one per lineitem, in the meeting of its order."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                      F.unix_date(F.to_date("l_shipdate")).cast("string"))
+    return j.select(
+        key.alias("source_key"),
+        F.col("o_custkey").alias("meeting_id"),
+        F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"),
+        F.concat(F.lit("qty "), F.col("l_quantity").cast("long").cast("string")).alias("content"),
+        F.when(F.col("l_linestatus") == "O", F.lit(None).cast("string")).otherwise(F.lit("IN_PROGRESS")).alias("status"),
+        F.lit(None).cast("long").alias("assignee_id"),
+        F.col("l_shipdate").alias("created_at"),
+    )
+
+
+MALFORMED_EVENT_TYPE = "error"   # these deliveries carry a cut-off JSON value
+
+
+def transcript_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript deliveries as a JSON ``value`` column, like a Kafka record."""
+    e = table(spark, sf_dir, "events")
+    payload = F.to_json(F.struct(
+        F.col("user_id").alias("meetingId"), F.col("event_id").alias("audioId"),
+        F.get_json_object("props", "$.k").cast("long").alias("groupId"),
+        F.col("event_type").alias("transcript"),
+        (F.col("event_type") != "purchase").alias("isPartial")))
+    value = F.when(F.col("event_type") == MALFORMED_EVENT_TYPE, F.substring(payload, 1, 20)).otherwise(payload)
+    return e.select(F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"), value.alias("value"))
