@@ -1 +1,116 @@
-"""Queries (filled in as operators land)."""
+"""Queries over model-answer documents and ML topics."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from agendum.operators import analysis as A
+from agendum.operators import topics as TP
+from agendum.plans.registry import query
+from agendum.plans.sqlviews import (GROUP_MEMBERS, MEETINGS, ORDERED_TRANSCRIPTS, TICKETS, USERS,
+                                    case, with_views)
+from agendum.sources import testdata as td
+
+_VALID = f"""
+, j AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        WHERE o_orderpriority <> '{td.MALFORMED_PRIORITY}')
+, new AS (SELECT o_orderkey AS doc_id, o_custkey AS meeting_id, 'Part ' || CAST(l_partkey AS VARCHAR) AS title,
+                 'qty ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS content,
+                 CASE WHEN l_returnflag = 'N' THEN NULL ELSE {case('l_returnflag', td.RETURNFLAG_STATUS)} END AS status,
+                 l_suppkey AS assignee_id
+          FROM j WHERE l_linestatus = 'O')
+, upd AS (SELECT o_orderkey AS doc_id, o_custkey AS meeting_id,
+                 CASE WHEN l_returnflag = 'N' THEN CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)
+                      ELSE CAST(l_orderkey AS VARCHAR) END AS ticket_id,
+                 {case('l_returnflag', td.RETURNFLAG_STATUS)} AS status,
+                 CASE WHEN l_tax >= 0.04 THEN l_suppkey END AS assignee_id
+          FROM j WHERE l_linestatus = 'F')
+"""
+
+
+def decoded(spark, d):
+    return A.decode_analysis(td.analysis_documents(spark, d))
+
+
+@query("analysis_new_tickets", sql=with_views(_VALID + "SELECT * FROM new", x="SELECT 1"))
+def q_analysis_new_tickets(spark, d):
+    return decoded(spark, d)["new_tickets"]
+
+
+@query("meeting_metrics_from_analysis", sql=with_views(_VALID + """
+, per_doc AS (SELECT o_orderkey, o_custkey, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS a,
+                     count(*) AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS b
+              FROM j GROUP BY o_orderkey, o_custkey)
+SELECT o_custkey AS meeting_id, CAST(sum(a) AS BIGINT) AS actionable_items_count,
+       CAST(sum(s) AS BIGINT) AS status_updates_count, CAST(sum(b) AS BIGINT) AS blockers_mentioned,
+       count(*) AS n_analyses
+FROM per_doc GROUP BY o_custkey""", x="SELECT 1"))
+def q_meeting_metrics_from_analysis(spark, d):
+    return A.meeting_metrics_from_analysis(decoded(spark, d)["meeting_metrics"])
+
+
+def _member_ok(alias: str) -> str:
+    return (f"({alias}.assignee_id IS NULL OR EXISTS (SELECT 1 FROM m JOIN gm ON gm.group_id = m.group_id "
+            f"WHERE m.meeting_id = {alias}.meeting_id AND gm.user_id = {alias}.assignee_id))")
+
+
+@query("apply_ticket_updates", sql=with_views(_VALID + f"""
+SELECT 'created' AS event_type,
+       sha256(CAST(meeting_id AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR) || '|' || coalesce(title, '') || '|'
+              || coalesce(content, '')) AS ticket_id,
+       meeting_id, coalesce(nullif(status, ''), 'TODO') AS status, assignee_id,
+       CASE WHEN {_member_ok('new')} THEN NULL ELSE 'assignee_not_member' END AS reject_reason
+FROM new
+UNION ALL
+SELECT 'updated', ticket_id, meeting_id, status, assignee_id,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM t WHERE t.ticket_id = upd.ticket_id) THEN 'unknown_ticket'
+            WHEN NOT {_member_ok('upd')} THEN 'assignee_not_member' END
+FROM upd""", t=TICKETS, m=MEETINGS, gm=GROUP_MEMBERS))
+def q_apply_ticket_updates(spark, d):
+    return A.apply_analysis(td.tickets(spark, d), decoded(spark, d), td.meetings(spark, d),
+                            td.group_members(spark, d))
+
+
+@query("analysis_context", sql=with_views("""
+, s AS (SELECT * FROM ot WHERE text IS NOT NULL AND text <> '')
+, l AS (SELECT *, lag(text) OVER (PARTITION BY meeting_id ORDER BY seq) AS prev FROM s)
+, st AS (SELECT meeting_id, seq // 1000 AS piece, string_agg(text, chr(10) ORDER BY seq) AS transcript
+         FROM l WHERE prev IS DISTINCT FROM text GROUP BY ALL)
+, mt AS (SELECT DISTINCT meeting_id FROM ot)
+SELECT meeting_id, '1_transcript' AS section, CAST(piece AS VARCHAR) AS item, transcript AS line FROM st
+UNION ALL
+SELECT mt.meeting_id, '2_members', CAST(gm.user_id AS VARCHAR),
+       '- ' || coalesce(nullif(u.name, ''), 'Unknown') || ' (ID: ' || CAST(gm.user_id AS VARCHAR) || ')'
+FROM mt JOIN m ON m.meeting_id = mt.meeting_id JOIN gm ON gm.group_id = m.group_id
+LEFT JOIN u ON u.user_id = gm.user_id
+UNION ALL
+SELECT meeting_id, '3_tickets', ticket_id, '- [' || status || '] ' || title || ' (ID: ' || ticket_id || ')'
+FROM t WHERE meeting_id IN (SELECT meeting_id FROM mt)
+UNION ALL
+SELECT meeting_id, '3_tickets', '', 'No existing tickets.' FROM mt
+WHERE meeting_id NOT IN (SELECT meeting_id FROM t)""",
+    ot=ORDERED_TRANSCRIPTS, m=MEETINGS, gm=GROUP_MEMBERS, u=USERS, t=TICKETS))
+def q_analysis_context(spark, d):
+    return A.analysis_context(td.ordered_transcripts(spark, d), td.tickets(spark, d),
+                              td.group_members(spark, d), td.users(spark, d), td.meetings(spark, d))
+
+
+KEYWORD_FEATURES = 1 << 12
+TOPICS_K = 5
+
+
+@query("keyword_features")
+def q_keyword_features(spark, d):
+    seg = td.ordered_transcripts(spark, d).select("meeting_id", "seq", "text")
+    model = TP.fit_keywords(seg, num_features=KEYWORD_FEATURES)
+    arr = vector_to_array(F.col("tfidf_vec"))
+    return (TP.keyword_features(model, seg)
+            .select("meeting_id", "seq", F.size(F.filter(arr, lambda x: x > 0)).alias("n_terms"),
+                    F.round(F.array_max(arr), 6).alias("max_weight")))
+
+
+@query("topic_clusters")
+def q_topic_clusters(spark, d):
+    seg = td.ordered_transcripts(spark, d).select("meeting_id", "seq", "text")
+    return TP.cluster_topics(seg, k=TOPICS_K, min_count=1).select("meeting_id", "seq", "topic")

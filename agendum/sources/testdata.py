@@ -221,3 +221,37 @@ def transcript_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") != "purchase").alias("isPartial")))
     value = F.when(F.col("event_type") == MALFORMED_EVENT_TYPE, F.substring(payload, 1, 20)).otherwise(payload)
     return e.select(F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"), value.alias("value"))
+
+
+MALFORMED_PRIORITY = "5-LOW"   # analysis documents of these orders are cut off
+
+
+def analysis_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model-answer JSON document per order (meeting = its customer):
+    open lines propose new tickets, finished lines update tickets (lines
+    flagged N point at ids that do not exist)."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    status = map_values("l_returnflag", RETURNFLAG_STATUS)
+    new_item = F.when(F.col("l_linestatus") == "O", F.struct(
+        F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"),
+        F.concat(F.lit("qty "), F.col("l_quantity").cast("long").cast("string")).alias("content"),
+        F.when(F.col("l_returnflag") == "N", F.lit(None).cast("string")).otherwise(status).alias("status"),
+        F.col("o_custkey").alias("meetingId"), F.col("l_suppkey").alias("assigneeId")))
+    upd_item = F.when(F.col("l_linestatus") == "F", F.struct(
+        F.when(F.col("l_returnflag") == "N",
+               F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+         .otherwise(F.col("l_orderkey").cast("string")).alias("ticketId"),
+        status.alias("newStatus"),
+        F.when(F.col("l_tax") >= 0.04, F.col("l_suppkey")).alias("assigneeId"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("reason")))
+    docs = j.groupBy("o_orderkey", "o_custkey", "o_orderpriority").agg(
+        F.collect_list(new_item).alias("newTickets"), F.collect_list(upd_item).alias("ticketUpdates"),
+        F.struct(F.sum((F.col("l_linestatus") == "F").cast("long")).alias("actionableItemsCount"),
+                 F.count(F.lit(1)).alias("statusUpdatesCount"),
+                 F.sum((F.col("l_returnflag") == "R").cast("long")).alias("blockersMentioned")).alias("meetingMetrics"))
+    value = F.to_json(F.struct("newTickets", "ticketUpdates", "meetingMetrics"))
+    return docs.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("meeting_id"),
+                       F.when(F.col("o_orderpriority") == MALFORMED_PRIORITY, F.substring(value, 1, 30))
+                        .otherwise(value).alias("value"))
