@@ -1,0 +1,22 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a *skinny* input before CPU-heavy per-row work (tokenizing,
+    JSON parsing).
+
+    A scan of a few large row groups gives fewer tasks than the cluster has
+    cores, and everything before the first shuffle then runs on those few
+    tasks. The check is made when the plan is built (no job runs); inputs
+    that already have enough partitions — every large table — are returned
+    unchanged, so at scale this adds no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or target <= 1:
+        return df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -6,6 +6,11 @@ time or a range of sequence numbers); the offset or running value is computed
 inside each segment in parallel, and the one value that crosses a segment
 border is carried over from a per-segment summary that has one row per
 segment.
+
+The summary is read off the same windowed rows (the border row of each
+segment), so the large input is shuffled and sorted once; the plan reuses
+that exchange for the summary branch. Only the small summary is shuffled
+by key.
 """
 
 from __future__ import annotations
@@ -16,10 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ordered_struct(order_cols: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order_cols])
-
-
 def segmented_shift(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                     value_cols: Sequence[str], segment: Column, direction: str = "lag",
                     prefix: str | None = None) -> DataFrame:
@@ -33,27 +34,25 @@ def segmented_shift(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str
         raise ValueError(direction)
     prefix = prefix or ("prev_" if direction == "lag" else "next_")
     seg = "__seg"
-    df = df.withColumn(seg, segment)
     within = Window.partitionBy(*keys, seg).orderBy(*order_cols)
-    shift = F.lag if direction == "lag" else F.lead
-    edge = "__edge"
-    out = df.withColumn(edge, shift(F.lit(1)).over(within).isNull())
+    shift, other = (F.lag, F.lead) if direction == "lag" else (F.lead, F.lag)
+    out = (df.withColumn(seg, segment)
+             .withColumn("__edge", shift(F.lit(1)).over(within).isNull())      # first (lag) / last (lead) row
+             .withColumn("__border", other(F.lit(1)).over(within).isNull()))   # row whose value crosses over
     for c in value_cols:
         out = out.withColumn(prefix + c, shift(F.col(c)).over(within))
 
-    # One row per (key, segment): the value at its last (lag) or first (lead) row.
-    pick = F.max_by if direction == "lag" else F.min_by
-    summary = df.groupBy(*keys, seg).agg(
-        pick(F.struct(*[F.col(c) for c in value_cols]), _ordered_struct(order_cols)).alias("__v"))
     across = Window.partitionBy(*keys).orderBy(seg)
-    summary = summary.withColumn("__carry", shift(F.col("__v")).over(across)).drop("__v")
-
+    summary = (out.filter(F.col("__border"))
+                  .select(*keys, seg, F.struct(*[F.col(c) for c in value_cols]).alias("__v"))
+                  .withColumn("__carry", shift(F.col("__v")).over(across))
+                  .select(*keys, seg, "__carry"))
     out = out.join(summary, on=[*keys, seg], how="left")
     for c in value_cols:
         out = out.withColumn(
             prefix + c,
-            F.when(F.col(edge), F.col("__carry")[c]).otherwise(F.col(prefix + c)))
-    return out.drop(seg, edge, "__carry")
+            F.when(F.col("__edge"), F.col("__carry")[c]).otherwise(F.col(prefix + c)))
+    return out.drop(seg, "__edge", "__border", "__carry")
 
 
 def segmented_running_count(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
@@ -63,18 +62,19 @@ def segmented_running_count(df: DataFrame, keys: Sequence[str], order_cols: Sequ
     rows of the key where ``flag`` is true, without one task per key.
     """
     seg = "__seg"
-    df = df.withColumn(seg, segment).withColumn("__flag", flag.cast("long"))
     within = Window.partitionBy(*keys, seg).orderBy(*order_cols)
-    local = (df.withColumn("__rn", F.row_number().over(within))
-               .withColumn("__fb", F.coalesce(
-                   F.sum("__flag").over(within.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0))))
-    totals = df.groupBy(*keys, seg).agg(F.count(F.lit(1)).alias("__n"), F.sum("__flag").alias("__f"))
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    local = (df.withColumn(seg, segment).withColumn("__flag", flag.cast("long"))
+               .withColumn("__rn", F.row_number().over(within))
+               .withColumn("__fi", F.sum("__flag").over(upto))                 # flags up to this row
+               .withColumn("__last", F.lead(F.lit(1)).over(within).isNull()))
     before = Window.partitionBy(*keys).orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (totals.withColumn("__n0", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-                    .withColumn("__f0", F.coalesce(F.sum("__f").over(before), F.lit(0)))
-                    .select(*keys, seg, "__n0", "__f0"))
+    totals = (local.filter(F.col("__last"))
+                   .select(*keys, seg, F.col("__rn").alias("__n"), F.col("__fi").alias("__f"))
+                   .withColumn("__n0", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+                   .withColumn("__f0", F.coalesce(F.sum("__f").over(before), F.lit(0)))
+                   .select(*keys, seg, "__n0", "__f0"))
     out = local.join(totals, on=[*keys, seg], how="inner")
     return (out.withColumn(rank_name, F.col("__n0") + F.col("__rn"))
-               .withColumn(before_name, F.col("__f0") + F.col("__fb"))
-               .drop(seg, "__flag", "__rn", "__fb", "__n0", "__f0"))
+               .withColumn(before_name, F.col("__f0") + F.col("__fi") - F.col("__flag"))
+               .drop(seg, "__flag", "__rn", "__fi", "__last", "__n0", "__f0"))

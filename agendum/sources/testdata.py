@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agendum.functions.expressions import map_values
+from agendum.functions.partitioning import spread
 
 # --- fixed values -----------------------------------------------------------
 # How the generic test tables stand in for tickets and their statuses.
@@ -116,7 +117,7 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordered_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript segments in turn order; two audio streams per meeting."""
-    cv = table(spark, sf_dir, "conversations")
+    cv = spread(table(spark, sf_dir, "conversations"))
     return cv.select(
         F.col("conv_id").alias("meeting_id"),
         (F.col("conv_id") * 10 + F.col("turn") % 2).alias("audio_id"),
@@ -128,7 +129,7 @@ def ordered_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcript_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "text")
+    return spread(d.select("doc_id", "text"))
 
 
 def audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +214,7 @@ MALFORMED_EVENT_TYPE = "error"   # these deliveries carry a cut-off JSON value
 
 def transcript_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript deliveries as a JSON ``value`` column, like a Kafka record."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     payload = F.to_json(F.struct(
         F.col("user_id").alias("meetingId"), F.col("event_id").alias("audioId"),
         F.get_json_object("props", "$.k").cast("long").alias("groupId"),
