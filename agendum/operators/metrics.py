@@ -200,23 +200,21 @@ def latency_stats(latency: DataFrame, metrics=("kafka_delivery_ms", "processing_
     cum = hist.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
     basic = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("avg"),
                                        F.max("v").alias("max"))
-    out = basic
-    for p in probs:
-        name = f"p{int(round(p * 100))}"
-        # 0-based positions around (n-1)*p, and the values found at them.
-        pos = (basic.select("metric", "n",
-                            F.floor((F.col("n") - 1) * F.lit(p)).alias("i0"),
-                            F.ceil((F.col("n") - 1) * F.lit(p)).alias("i1"),
-                            ((F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))).alias("frac")))
-        at = cum.join(pos.select("metric", "i0", "i1"), "metric")
-        v0 = (at.filter((F.col("lo") <= F.col("i0")) & (F.col("i0") < F.col("hi")))
-                .select("metric", F.col("v").alias("v0")))
-        v1 = (at.filter((F.col("lo") <= F.col("i1")) & (F.col("i1") < F.col("hi")))
-                .select("metric", F.col("v").alias("v1")))
-        q = (pos.join(v0, "metric").join(v1, "metric")
-                .select("metric", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias(name)))
-        out = out.join(q, "metric", "left")
-    return out
+    # 0-based positions around (n-1)*p for every p: one small row per (metric, p).
+    names = [f"p{int(round(p * 100))}" for p in probs]
+    h = (F.col("n") - 1) * F.col("t.p")
+    targets = (basic.select("metric", "n", F.explode(F.array(*[
+        F.struct(F.lit(nm).alias("name"), F.lit(float(p)).alias("p")) for nm, p in zip(names, probs)
+    ])).alias("t")).select("metric", "t.name", F.floor(h).alias("i0"), F.ceil(h).alias("i1"),
+                           (h - F.floor(h)).alias("frac")))
+    in0 = (F.col("lo") <= F.col("i0")) & (F.col("i0") < F.col("hi"))
+    in1 = (F.col("lo") <= F.col("i1")) & (F.col("i1") < F.col("hi"))
+    picked = (cum.join(targets, "metric").filter(in0 | in1)
+              .groupBy("metric", "name", "frac")
+              .agg(F.max(F.when(in0, F.col("v"))).alias("v0"), F.max(F.when(in1, F.col("v"))).alias("v1"))
+              .select("metric", "name", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("q")))
+    quant = picked.groupBy("metric").pivot("name", names).agg(F.first("q"))
+    return basic.join(quant, "metric", "left")
 
 
 def meeting_efficiency(transcripts: DataFrame, tickets: DataFrame, ts: str = "ts") -> DataFrame:

@@ -68,7 +68,9 @@ def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     back on the term (AQE broadcasts it or splits hot terms)."""
     tf = term_frequencies(docs, doc, text)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # df = documents in which the term occurs (tf > 0); reading tf here lets the
+    # plan reuse the (doc, term) shuffle instead of tokenizing twice.
+    dfreq = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return (tf.join(dfreq, "term")
               .withColumn("idf", F.ln((n_docs + F.lit(1)).cast("double") / (F.col("df") + 1).cast("double")))
               .withColumn("tfidf", F.col("tf").cast("double") * F.col("idf")))
