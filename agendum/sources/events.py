@@ -73,7 +73,7 @@ def decode_transcripts(messages: DataFrame, value: str = "value") -> tuple[DataF
                          F.col("__p.meetingId").alias("meeting_id"), F.col("__p.audioId").alias("audio_id"),
                          F.col("__p.groupId").alias("group_id"), F.col("__p.transcript").alias("text"),
                          F.coalesce(F.col("__p.isPartial"), F.lit(False)).alias("is_partial"),
-                         ids_ok.alias("__ok"), F.json_object_keys(F.col(value)).isNull().alias("__bad"))
+                         ids_ok.alias("__ok"), F.json_object_keys(F.coalesce(F.col(value), F.lit("{}"))).isNull().alias("__bad"))
     valid = flat.filter(F.col("__ok")).drop("__ok", "__bad", value)
     rejects = (flat.filter(~F.col("__ok"))
                .withColumn("reject_reason", F.when(F.col("__bad"), F.lit("malformed"))
