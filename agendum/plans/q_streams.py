@@ -42,7 +42,7 @@ def q_save_windows(spark, d):
 
 @query("meeting_sessions", sql=with_views(f"""
 , l AS (SELECT meeting_id, ts, seq, lag(ts) OVER (PARTITION BY meeting_id ORDER BY ts, seq) AS prev FROM tt)
-, f AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL '{SESSION_GAP}' THEN 1 ELSE 0 END)
+, f AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL '{SESSION_GAP}' THEN 1 ELSE 0 END)
                     OVER (PARTITION BY meeting_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS sess FROM l)
 SELECT meeting_id, min(ts) AS session_start, max(ts) + INTERVAL '{SESSION_GAP}' AS session_end,
        count(*) AS n_events

@@ -55,8 +55,9 @@ def save_windows(segments: DataFrame, window_duration: str = "30 seconds", key:
 def meeting_sessions(segments: DataFrame, gap: str = "6 hours", key: str = "meeting_id",
                      ts: str = "ts", tiebreak: Sequence[str] = ("seq",),
                      watermark: str = "2 minutes") -> DataFrame:
-    """A meeting ends after ``gap`` of silence. Session = [first event,
-    last event + gap), like ``session_window``.
+    """A meeting ends after more than ``gap`` of silence. Session =
+    [first event, last event + gap), like ``session_window`` (an event exactly
+    ``gap`` after the previous one still joins its session).
 
     Streams use ``session_window``. The batch twin numbers sessions with a
     gaps-and-islands pass (previous event time, then a running count of
@@ -72,7 +73,7 @@ def meeting_sessions(segments: DataFrame, gap: str = "6 hours", key: str = "meet
     seg = F.date_trunc("day", F.col(ts))
     prev = segmented_shift(segments.select(key, *order), [key], order, [ts], seg, "lag", prefix="__prev_")
     flagged = prev.withColumn("__new", F.col(f"__prev_{ts}").isNull()
-                              | (F.col(ts) >= F.col(f"__prev_{ts}") + _interval(gap)))
+                              | (F.col(ts) > F.col(f"__prev_{ts}") + _interval(gap)))
     numbered = segmented_running_count(flagged, [key], order, F.col("__new"), seg,
                                        rank_name="__rank", before_name="__before")
     sess = numbered.withColumn("__session", F.col("__before") + F.col("__new").cast("long"))
