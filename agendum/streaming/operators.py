@@ -21,6 +21,12 @@ def to_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.to_timestamp(F.col(ts).cast("string")))
 
 
+def watermarked(df: DataFrame, ts: str, delay: str | None) -> DataFrame:
+    """Apply the watermark on streams; ``None`` means the stream already
+    carries one from upstream (Spark refuses to redefine it)."""
+    return df.withWatermark(ts, delay) if (delay and df.isStreaming) else df
+
+
 def _interval(spec: str):
     return F.expr(f"INTERVAL {spec}")
 
@@ -30,7 +36,7 @@ def dedup_events(df: DataFrame, keys: Sequence[str] = ("event_id",), ts: str = "
     """Drop repeated deliveries of one event. Streams keep a key only
     within the watermark (bounded state); batch is a plain dropDuplicates."""
     if df.isStreaming:
-        return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
+        return watermarked(df, ts, watermark).dropDuplicatesWithinWatermark(list(keys))
     return df.dropDuplicates(list(keys))
 
 
@@ -40,7 +46,7 @@ def save_windows(segments: DataFrame, window_duration: str = "30 seconds", key:
     """The 30-second save: per meeting and window, the partial texts in
     order joined by a space, their number, and whether the window holds the
     meeting's final marker. Empty texts (the marker itself) add no text."""
-    df = segments.withWatermark(ts, watermark) if segments.isStreaming else segments
+    df = watermarked(segments, ts, watermark)
     nonempty = F.when(F.col(text).isNotNull() & (F.col(text) != ""),
                       F.struct(F.col(ts).alias("t"), F.col(seq).alias("s"), F.col(text).alias("x")))
     g = df.groupBy(F.window(ts, window_duration).alias("w"), key).agg(
@@ -64,7 +70,7 @@ def meeting_sessions(segments: DataFrame, gap: str = "6 hours", key: str = "meet
     session starts) computed per day segment, so a meeting with most of the
     events does not become one task."""
     if segments.isStreaming:
-        g = (segments.withWatermark(ts, watermark)
+        g = (watermarked(segments, ts, watermark)
              .groupBy(F.session_window(ts, gap).alias("s"), key)
              .agg(F.count(F.lit(1)).alias("n_events")))
         return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
@@ -94,9 +100,9 @@ def await_transcripts(requests: DataFrame, transcripts: DataFrame, bound: str =
     interval join with watermarks on both sides (left outer, append mode)
     and return matched pairs; a NULL transcript marks a time-out."""
     if requests.isStreaming:
-        r = requests.withWatermark(ts, watermark).select(
+        r = watermarked(requests, ts, watermark).select(
             request_id, F.col(key).alias("__rk"), F.col(ts).alias("requested_at"))
-        t = transcripts.withWatermark(ts, watermark).select(
+        t = watermarked(transcripts, ts, watermark).select(
             F.col(key).alias("__tk"), F.col(ts).alias("transcript_at"))
         cond = ((F.col("__rk") == F.col("__tk")) & (F.col("transcript_at") >= F.col("requested_at"))
                 & (F.col("transcript_at") <= F.col("requested_at") + _interval(bound)))

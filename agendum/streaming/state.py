@@ -75,7 +75,8 @@ def meeting_state(segments: DataFrame, timeout: str = "1 hour", watermark: str =
     """Keyed by meeting; event-time timeout; append output. ``segments``
     needs meeting_id, audio_id, group_id, seq, text, is_partial and a
     TIMESTAMP ``ts``."""
-    return (segments.withWatermark(ts, watermark)
+    from agendum.streaming.operators import watermarked
+    return (watermarked(segments, ts, watermark)
             .select("meeting_id", "audio_id", "group_id", "seq", "text", "is_partial", F.col(ts).alias("ts"))
             .groupBy("meeting_id")
             .applyInPandasWithState(_step(pd.Timedelta(timeout)), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
