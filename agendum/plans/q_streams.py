@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agendum.operators.trends import group_trends
-from agendum.plans.q_metrics import DAY, HOUR, realtime_scores, ticket_metrics_df
+from agendum.plans.q_metrics import DAY, HOUR, realtime_scores, ticket_metrics_df, ticket_metrics_sql
 from agendum.plans.registry import query
-from agendum.plans.sqlviews import TIMED_TRANSCRIPTS, with_views
+from agendum.plans.sqlviews import MEETINGS, TICKET_EVENTS, TIMED_TRANSCRIPTS, with_views
 from agendum.sinks.writers import route_metrics
 from agendum.sources import events as EV
 from agendum.sources import testdata as td
@@ -95,12 +95,42 @@ def q_meeting_state(spark, d):
     return Z.meeting_runs(valid_segments(spark, d), RUN_TIMEOUT)
 
 
-@query("route_metrics_envelope")
+def _route_sql() -> str:
+    tm = ticket_metrics_sql(DAY)
+    return with_views(f"""
+, tm AS ({tm})
+, rt AS (SELECT meeting_id FROM seg JOIN tck USING (ws, meeting_id))
+, tr_rt AS ({_trend_keys()})
+SELECT 'analytics.ticket.metrics' AS topic, CAST(meeting_id AS VARCHAR) AS key, 'ticket_metrics' AS msg_type,
+       6 AS n_fields, meeting_id FROM tm
+UNION ALL SELECT 'analytics.productivity', CAST(meeting_id AS VARCHAR), 'productivity', 8, meeting_id FROM rt
+UNION ALL SELECT 'analytics.trends.groups', CAST(NULL AS VARCHAR), 'trends', 8, CAST(NULL AS BIGINT) FROM tr_rt""",
+        te=TICKET_EVENTS, tt=TIMED_TRANSCRIPTS, seg=_SEG_DAY, tck=_TCK_DAY)
+
+
+def _trend_keys() -> str:
+    b = "time_bucket(INTERVAL '1 hour', ts)"
+    return f"""SELECT DISTINCT m.group_id, time_bucket(INTERVAL '7 days', s.ws) AS period_start
+        FROM (SELECT {b} AS ws, meeting_id FROM tt GROUP BY ALL) s
+        JOIN (SELECT {b} AS ws, meeting_id FROM te GROUP BY ALL) k USING (ws, meeting_id)
+        JOIN ({MEETINGS}) m USING (meeting_id)"""
+
+
+_SEG_DAY = "SELECT time_bucket(INTERVAL '1 day', ts) AS ws, meeting_id FROM tt GROUP BY ALL"
+_TCK_DAY = "SELECT time_bucket(INTERVAL '1 day', ts) AS ws, meeting_id FROM te GROUP BY ALL"
+
+
+@query("route_metrics_envelope", sql=_route_sql())
 def q_route_metrics_envelope(spark, d):
+    """S3: the routed (topic, key, value) rows, checked through what a
+    consumer reads back: topic, key, message type and the data fields."""
     frames = {
         "ticket_metrics": ticket_metrics_df(spark, d, DAY),
         "productivity": realtime_scores(spark, d, DAY),
         "trends": group_trends(realtime_scores(spark, d, HOUR), ticket_metrics_df(spark, d, HOUR),
                                td.meetings(spark, d), "week").withColumnRenamed("period_start", "window_start"),
     }
-    return route_metrics(frames, key="meeting_id")
+    routed = route_metrics(frames, key="meeting_id")
+    return routed.select("topic", "key", F.get_json_object("value", "$.type").alias("msg_type"),
+                         F.size(F.json_object_keys(F.get_json_object("value", "$.data"))).alias("n_fields"),
+                         F.get_json_object("value", "$.data.meeting_id").cast("long").alias("meeting_id"))
