@@ -18,8 +18,8 @@ def decode_analysis(docs: DataFrame, value: str = "value") -> dict[str, DataFram
     (new tickets, ticket updates, meeting metrics) plus rejects for
     unparsable documents. Keys (doc_id, meeting_id) are carried along."""
     keys = [c for c in docs.columns if c != value]
-    p = docs.withColumn("__a", F.from_json(F.col(value), S.ANALYSIS)) \
-            .withColumn("__bad", F.json_object_keys(F.col(value)).isNull())
+    p = docs.withColumn("__a", F.from_json(F.col(value), S.with_corrupt(S.ANALYSIS), S.JSON_OPTIONS)) \
+            .withColumn("__bad", F.col("__a").isNull() | F.col(f"__a.{S.CORRUPT}").isNotNull())
     ok = p.filter(~F.col("__bad"))
     new = ok.select(*keys, F.explode("__a.newTickets").alias("t")).select(
         *keys, F.col("t.title").alias("title"), F.col("t.content").alias("content"),

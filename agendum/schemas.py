@@ -62,3 +62,16 @@ TICKET_PATTERN = _s(("meeting_id", LongType()), ("avg_status_change_duration", D
                     ("blocker_count", LongType()), ("analysis_date", TimestampType()))
 PRODUCTIVITY_PATTERN = _s(("hour_of_day", IntegerType()), ("avg_score", DoubleType()),
                           ("meeting_count", LongType()))
+
+
+CORRUPT = "_corrupt"
+
+
+def with_corrupt(schema: StructType) -> StructType:
+    """The schema plus a string field that receives unparsable records
+    (``from_json`` option ``columnNameOfCorruptRecord``): malformed input is
+    told apart from ``{}`` in the same parse."""
+    return StructType(schema.fields + [StructField(CORRUPT, StringType(), True)])
+
+
+JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}

@@ -64,7 +64,8 @@ def decode_transcripts(messages: DataFrame, value: str = "value") -> tuple[DataF
     Valid when meetingId, audioId and groupId are all present and non-zero
     (JS falsy rule). Returns (valid, rejects with a reason)."""
     parsed = messages.withColumn(
-        "__p", F.from_json(F.coalesce(F.col(value), F.lit("{}")), S.TRANSCRIPT_MESSAGE))
+        "__p", F.from_json(F.coalesce(F.col(value), F.lit("{}")), S.with_corrupt(S.TRANSCRIPT_MESSAGE),
+                           S.JSON_OPTIONS))
     ids_ok = F.lit(True)
     for c in ("meetingId", "audioId", "groupId"):
         ids_ok = ids_ok & (F.coalesce(F.col(f"__p.{c}"), F.lit(0)) != 0)
@@ -73,7 +74,8 @@ def decode_transcripts(messages: DataFrame, value: str = "value") -> tuple[DataF
                          F.col("__p.meetingId").alias("meeting_id"), F.col("__p.audioId").alias("audio_id"),
                          F.col("__p.groupId").alias("group_id"), F.col("__p.transcript").alias("text"),
                          F.coalesce(F.col("__p.isPartial"), F.lit(False)).alias("is_partial"),
-                         ids_ok.alias("__ok"), F.json_object_keys(F.coalesce(F.col(value), F.lit("{}"))).isNull().alias("__bad"))
+                         ids_ok.alias("__ok"),
+                         (F.col("__p").isNull() | F.col(f"__p.{S.CORRUPT}").isNotNull()).alias("__bad"))
     valid = flat.filter(F.col("__ok")).drop("__ok", "__bad", value)
     rejects = (flat.filter(~F.col("__ok"))
                .withColumn("reject_reason", F.when(F.col("__bad"), F.lit("malformed"))

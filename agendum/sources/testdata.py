@@ -231,7 +231,7 @@ def analysis_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model-answer JSON document per order (meeting = its customer):
     open lines propose new tickets, finished lines update tickets (lines
     flagged N point at ids that do not exist)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     status = map_values("l_returnflag", RETURNFLAG_STATUS)
