@@ -78,3 +78,44 @@ def segmented_running_count(df: DataFrame, keys: Sequence[str], order_cols: Sequ
     return (out.withColumn(rank_name, F.col("__n0") + F.col("__rn"))
                .withColumn(before_name, F.col("__f0") + F.col("__fi") - F.col("__flag"))
                .drop(seg, "__flag", "__rn", "__fi", "__last", "__n0", "__f0"))
+
+
+def segmented_runs(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
+                   carry_cols: Sequence[str], starts, segment: Column, run_name: str = "run") -> DataFrame:
+    """Number runs per key in one segmented pass: a row opens a new run when
+    it is the key's first row or ``starts(prev, cur)`` is true, where
+    ``prev``/``cur`` map each of ``carry_cols`` to the previous/current row's
+    column. Runs are numbered 1, 2, ... per key in order.
+
+    Inside a segment the boundary flags and their running sum come from one
+    window; the first row of each segment is decided from the previous
+    segment's last row, carried by a one-row-per-segment summary."""
+    seg = "__seg"
+    within = Window.partitionBy(*keys, seg).orderBy(*order_cols)
+    local = (df.withColumn(seg, segment)
+               .withColumn("__first", F.lag(F.lit(1)).over(within).isNull())
+               .withColumn("__last", F.lead(F.lit(1)).over(within).isNull()))
+    prev = {c: F.lag(F.col(c)).over(within) for c in carry_cols}
+    cur = {c: F.col(c) for c in carry_cols}
+    local = (local.withColumn("__s", F.when(F.col("__first"), F.lit(0))
+                              .otherwise(F.coalesce(starts(prev, cur), F.lit(False)).cast("int")))
+                  .withColumn("__cum", F.sum("__s").over(within.rowsBetween(Window.unboundedPreceding, 0))))
+    vals = F.struct(*[F.col(c) for c in carry_cols])
+    summ = (local.filter(F.col("__first") | F.col("__last"))
+                 .select(*keys, seg, F.when(F.col("__first"), vals).alias("__fv"),
+                         F.when(F.col("__last"), vals).alias("__lv"),
+                         F.when(F.col("__last"), F.col("__cum")).alias("__tot"))
+                 .groupBy(*keys, seg)
+                 .agg(F.max("__fv").alias("__fv"), F.max("__lv").alias("__lv"), F.max("__tot").alias("__tot")))
+    across = Window.partitionBy(*keys).orderBy(seg)
+    carry = F.lag("__lv").over(across)
+    summ = (summ.withColumn("__carry", carry)
+                .withColumn("__edge", F.when(F.col("__carry").isNull(), F.lit(1)).otherwise(F.coalesce(
+                    starts({c: F.col("__carry")[c] for c in carry_cols},
+                           {c: F.col("__fv")[c] for c in carry_cols}), F.lit(False)).cast("int")))
+                .withColumn("__segtot", F.col("__tot") + F.col("__edge")))
+    summ = summ.withColumn("__before", F.coalesce(
+        F.sum("__segtot").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = local.join(summ.select(*keys, seg, "__edge", "__before"), on=[*keys, seg], how="inner")
+    return (out.withColumn(run_name, (F.col("__before") + F.col("__edge") + F.col("__cum")).cast("long"))
+               .drop(seg, "__first", "__last", "__s", "__cum", "__edge", "__before"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agendum.functions.windows import segmented_running_count, segmented_shift
+from agendum.functions.windows import segmented_runs
 
 
 def to_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -76,13 +76,9 @@ def meeting_sessions(segments: DataFrame, gap: str = "6 hours", key: str = "meet
         return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
                         "n_events")
     order = [ts, *tiebreak]
-    seg = F.date_trunc("day", F.col(ts))
-    prev = segmented_shift(segments.select(key, *order), [key], order, [ts], seg, "lag", prefix="__prev_")
-    flagged = prev.withColumn("__new", F.col(f"__prev_{ts}").isNull()
-                              | (F.col(ts) > F.col(f"__prev_{ts}") + _interval(gap)))
-    numbered = segmented_running_count(flagged, [key], order, F.col("__new"), seg,
-                                       rank_name="__rank", before_name="__before")
-    sess = numbered.withColumn("__session", F.col("__before") + F.col("__new").cast("long"))
+    gap_iv = _interval(gap)
+    sess = segmented_runs(segments.select(key, *order), [key], order, [ts],
+                          lambda p, c: c[ts] > p[ts] + gap_iv, F.date_trunc("day", F.col(ts)), "__session")
     g = sess.groupBy(key, "__session").agg(F.min(ts).alias("session_start"), F.max(ts).alias("__last"),
                                             F.count(F.lit(1)).alias("n_events"))
     return g.select(key, "session_start", (F.col("__last") + _interval(gap)).alias("session_end"), "n_events")
@@ -132,14 +128,11 @@ def meeting_runs(segments: DataFrame, timeout: str = "1 hour", key: str = "meeti
     Run numbers come from the previous row (segmented lag) and a running
     count of run starts, so a long meeting is still split over many tasks."""
     order = [ts, seq]
-    seg = F.date_trunc("day", F.col(ts))
     base = segments.withColumn("__final", ~F.coalesce(F.col(is_partial), F.lit(False)))
-    prev = segmented_shift(base, [key], order, [ts, "__final"], seg, "lag", prefix="__prev_")
-    starts = prev.withColumn("__start", F.col(f"__prev_{ts}").isNull() | F.col("__prev___final")
-                             | (F.col(ts) > F.col(f"__prev_{ts}") + _interval(timeout)))
-    numbered = segmented_running_count(starts, [key], order, F.col("__start"), seg,
-                                       rank_name="__rank", before_name="__before")
-    runs = numbered.withColumn("run", F.col("__before") + F.col("__start").cast("long"))
+    timeout_iv = _interval(timeout)
+    runs = segmented_runs(base, [key], order, [ts, "__final"],
+                          lambda p, c: p["__final"] | (c[ts] > p[ts] + timeout_iv),
+                          F.date_trunc("day", F.col(ts)), "run")
     return runs.groupBy(key, "run").agg(
         F.min("audio_id").alias("audio_id"), F.min("group_id").alias("group_id"),
         F.sum((~F.col("__final")).cast("int")).cast("long").alias("n_partials"),
