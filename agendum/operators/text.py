@@ -114,26 +114,27 @@ def match_titles(mentions: DataFrame, tickets: DataFrame, threshold: float = 0.5
     """Every (mention, ticket) pair, within the same ``block`` keys, whose
     token sets have Jaccard similarity >= ``threshold``. Exact.
 
-    Prefix filtering: order each token set by (global token frequency,
-    token); two sets with Jaccard >= t share a token among the first
-    ``|x| - ceil(t * |x|) + 1`` tokens of each. Candidates come from an
-    equi-join on those prefix tokens (rare tokens first, so common words
-    seldom pair anything), then the exact similarity is verified.
+    Prefix filtering: with any fixed global order of tokens, two sets with
+    Jaccard >= t share a token among the first ``|x| - ceil(t * |x|) + 1``
+    tokens of each. The order used is (frequency among ticket titles, token):
+    tokens no ticket has come first and can never pair, and common title words
+    come last, so few candidates are produced. Candidates come from an
+    equi-join on prefix tokens, then the exact similarity is verified.
     """
     m = _token_sets(mentions, mention_id, mention_text, block)
     t = _token_sets(tickets, ticket_id, title, block)
-    freq = (m.select(F.explode("__set").alias("tok"))
-            .unionByName(t.select(F.explode("__set").alias("tok")))
-            .groupBy("tok").agg(F.count(F.lit(1)).alias("f")))
+    freq = (t.select(F.explode("__set").alias("tok")).groupBy("tok")
+            .agg(F.count(F.lit(1)).alias("f")))
 
     def prefixes(s: DataFrame) -> DataFrame:
         e = s.select(*block, "__id", F.explode("__set").alias("tok"), F.size("__set").alias("__n"))
-        e = e.join(freq, "tok")
+        e = e.join(freq, "tok", "left").withColumn("f", F.coalesce("f", F.lit(0)))
         # the epsilon keeps n * t from rounding up past an integer
         plen = F.col("__n") - F.ceil(F.col("__n") * F.lit(threshold) - F.lit(1e-9)) + 1
         w = Window.partitionBy(*block, "__id").orderBy("f", "tok")
-        return e.withColumn("__pos", F.row_number().over(w)).filter(F.col("__pos") <= plen) \
-                .select(*block, "__id", "tok")
+        return (e.withColumn("__pos", F.row_number().over(w))
+                 .filter((F.col("__pos") <= plen) & (F.col("f") > 0))     # f = 0: no ticket has it
+                 .select(*block, "__id", "tok"))
 
     cand = (prefixes(m).join(prefixes(t).withColumnRenamed("__id", "__tid"), [*block, "tok"])
             .select(*block, F.col("__id").alias("__mid"), "__tid").distinct())
