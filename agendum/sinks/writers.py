@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -98,18 +99,24 @@ def write_metric_batch(df: DataFrame, kind: str, target: str, batch_id: int) ->
 def upsert_metric_table(spark: SparkSession, df: DataFrame, target: str, keys: Sequence[str],
                         update_cols: Sequence[str], version: int) -> str:
     """S5 (upsert kind, e.g. the hour-of-day pattern): merge the batch into
-    the latest version of the table and write the result as a new version
-    folder; readers take the highest complete version. Idempotent per
-    version number."""
-    import os
+    the newest earlier version of the table and write the result as version
+    ``version`` (a ``v=`` partition folder); readers take the highest version.
+    Rewriting a version is idempotent. Versions are found by Spark's own
+    partition discovery, so this works on any file system the cluster uses."""
     base_dir = f"{target}/versions"
-    path = f"{base_dir}/v={version:012d}"
-    prev = None
-    if os.path.isdir(base_dir):
-        done = sorted(p for p in os.listdir(base_dir) if p.startswith("v=") and p < f"v={version:012d}")
-        if done:
-            prev = spark.read.parquet(f"{base_dir}/{done[-1]}")
-    merged = df if prev is None else upsert(prev, df.select(*prev.columns), keys, update_cols)
+    path = f"{base_dir}/v={version}"
+    try:
+        versions = spark.read.parquet(base_dir)
+    except AnalysisException:
+        versions = None
+    merged = df
+    # one number (the newest earlier version) comes back; the filter on it is a
+    # literal, so only that version's folder is read, never the one being written
+    latest = (versions.filter(F.col("v") < version).agg(F.max("v")).first()[0]
+              if versions is not None else None)
+    if latest is not None:
+        prev = versions.filter(F.col("v") == F.lit(latest)).drop("v")
+        merged = upsert(prev, df.select(*prev.columns), keys, update_cols)
     merged.write.mode("overwrite").parquet(path)
     return path
 

@@ -40,8 +40,9 @@ def test_upsert_metric_table_versions(spark, tmp_path):
     v1 = spark.createDataFrame([(9, 1.0, 1), (10, 2.0, 1)], "hour_of_day int, avg_score double, meeting_count long")
     v2 = spark.createDataFrame([(10, 3.0, 2), (11, 4.0, 1)], "hour_of_day int, avg_score double, meeting_count long")
     W.upsert_metric_table(spark, v1, str(tmp_path), ["hour_of_day"], ["avg_score", "meeting_count"], 1)
-    p = W.upsert_metric_table(spark, v2, str(tmp_path), ["hour_of_day"], ["avg_score", "meeting_count"], 2)
-    assert rows_of(spark.read.parquet(p)) == [(9, 1.0, 1), (10, 3.0, 2), (11, 4.0, 1)]
+    for _ in range(2):      # rewriting a version gives the same table
+        p = W.upsert_metric_table(spark, v2, str(tmp_path), ["hour_of_day"], ["avg_score", "meeting_count"], 2)
+        assert rows_of(spark.read.parquet(p)) == [(9, 1.0, 1), (10, 3.0, 2), (11, 4.0, 1)]
 
 
 def test_jdbc_write_and_partitioned_read(spark):
