@@ -14,11 +14,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     tasks. The check is made when the plan is built (no job runs); inputs
     that already have enough partitions — every large table — are returned
     unchanged, so at scale this adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or target <= 1:
+    if df.isStreaming:
         return df
     try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
         return df
-    return df if n >= target else df.repartition(target)
+    return df if target <= 1 or n >= target else df.repartition(target)
