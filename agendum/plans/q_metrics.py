@@ -209,3 +209,13 @@ SELECT meeting_id, segment_count, duration_sec, actionable_tickets,
 FROM s JOIN a USING (meeting_id)""", tt=TIMED_TRANSCRIPTS, te=TICKET_EVENTS))
 def q_meeting_efficiency(spark, d):
     return rounded(M.meeting_efficiency(td.timed_transcripts(spark, d), td.ticket_events(spark, d)))
+
+
+@query("blocker_tickets", sql=with_views(f"""
+SELECT ticket_id, meeting_id, title, status FROM t
+WHERE regexp_matches(content, '{td.ORDER_BLOCKER_PATTERN}')""", t=TICKETS))
+def q_blocker_tickets(spark, d):
+    from agendum.functions.expressions import mentions_blocker
+    t = td.tickets(spark, d)
+    return (t.filter(mentions_blocker("content", td.ORDER_BLOCKER_PATTERN) == 1)
+             .select("ticket_id", "meeting_id", "title", "status"))
