@@ -6,17 +6,21 @@ Rows with equal shingle sets are one class; the join runs over classes.
 1. *Global order.* Every distinct shingle of every row is counted in a table of
    ``2**COUNT_BITS`` hashed counters (fixed size, summed by Spark). Shingles are
    ordered by (counter, hash): rare first, and the same for all rows.
-2. *Prefix index.* Of a set of n shingles the first n - ceil(0.8 n) + 1 are
-   indexed as (shingle, class, n, position), partitioned by shingle once.
-3. *Star round.* In each (shingle, size band) the smallest class is the pivot.
-   Each class is compared with the pivot it shares most prefix shingles with and
-   with its smallest one: a linear number of pairs, however large the group.
-4. *Closing round.* All pairs with a common prefix shingle that pass the length
-   and positional filters and whose classes are still in different components.
-   Pairs inside one component are never made: they can't change a component.
-5. Each pair goes once through the suffix filter (a lower bound of the symmetric
-   difference from counts of both sets over ranges of the shingle hashes) and,
-   if it passes, through the exact intersection.
+2. *Prefix index.* Of a set of n shingles the first n - ceil(0.8 n) + 1 are its
+   prefix. One pass counts the prefix shingles; those that occur once can't join.
+   A bitmap of fixed size over the others (``2**MAP_BITS`` bits; false positives only)
+   lets a second pass index what may join, as (shingle, class, n, position).
+3. *Star rounds.* In each (shingle, size band) a class chosen by a hash of the round
+   is the pivot. Each class is compared with the pivot of another component with
+   which it shares most prefix shingles: a linear number of pairs, however
+   large the group.
+4. *Closing round.* All pairs with a common prefix shingle that pass the filters
+   and whose classes are still in different components. Pairs inside one
+   component are never made: they can't change a component.
+5. Pairs pass the length filter, the positional filter and the suffix filter (a
+   lower bound of the symmetric difference from counts of both sets over ranges
+   of the shingle hashes) in the join; then each goes once through the exact
+   intersection.
 
 Components come from alternating large-star and small-star steps on the edges.
 
@@ -45,7 +49,9 @@ WIDTH = 5
 PERCENT = 80
 COUNT_BITS = 19
 BLOCK = 1 << 12           # counters a row of the summed table holds
-SKETCH = 16               # ranges of the suffix filter
+SKETCH = 32               # ranges of the suffix filter
+MAP_BITS = 26             # an 8 MB bitmap of prefix shingles that occur more than once
+ROUNDS = 3
 BROADCAST_ROWS = 2_000_000  # of (doc_id) pairs of longs: 32 MB
 MAX_STEPS = 40
 
@@ -115,7 +121,8 @@ def least_overlap(n, m, percent: int):
     return -(-(percent * (n + m)) // (100 + percent))
 
 
-def _index(batches: Iterator[pa.RecordBatch], levels, width: int, percent: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], levels, width: int, percent: int, bits: int):
+    """(token, class, set size, position) arrays of the prefixes of the batches' sets."""
     seen: set[int] = set()
     level = levels.value
     for batch in batches:
@@ -138,16 +145,60 @@ def _index(batches: Iterator[pa.RecordBatch], levels, width: int, percent: int,
             head = np.flatnonzero(np.append(True, row2[1:] != row2[:-1]))
             place = np.arange(len(h2)) - np.repeat(head, np.diff(np.append(head, len(h2))))
             keep = place < prefix_length(n, percent)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(h2[keep].view(np.int64)), pa.array(cls[row2[keep]]),
-                pa.array((n[keep] << 32) | place[keep])], names=["token", "cls", "size_pos"])
+            yield h2[keep], cls[row2[keep]], n[keep], place[keep]
+
+
+def _prefix_tokens(batches, levels, width, percent, bits) -> Iterator[pa.RecordBatch]:
+    for token, _, _, _ in _prefixes(batches, levels, width, percent, bits):
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))], names=["token"])
+
+
+def _bit(token: np.ndarray) -> np.ndarray:
+    return (mix(token) >> _U(64 - MAP_BITS)).astype(np.int64)
+
+
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << MAP_BITS, bool)
+    for batch in batches:
+        bits[_bit(batch.column(0).to_numpy().view(np.uint64))] = True
+    wide = BLOCK * 64
+    for b in range(0, 1 << MAP_BITS, wide):
+        part = bits[b:b + wide]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([b // wide]), pa.array([np.packbits(part).tobytes()])], names=["block", "bits"])
+
+
+def _either(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK * 8, np.uint8)
+    for c in table.column("bits"):
+        total |= np.frombuffer(c.as_buffer(), np.uint8)
+    return pa.table({"block": [key[0].as_py()], "bits": [total.tobytes()]})
+
+
+def shared_map(tokens: DataFrame) -> np.ndarray:
+    """Bitmap of the tokens that occur more than once. Its size is fixed."""
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    parts = often.coalesce(16).mapInArrow(_bitmap, "block long, bits binary").groupBy("block").applyInArrow(_either, "block long, bits binary")
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in parts.collect():    # 2**MAP_BITS bits at most
+        out[r.block * BLOCK * 8:(r.block + 1) * BLOCK * 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _index(batches, levels, shared, width, percent, bits) -> Iterator[pa.RecordBatch]:
+    for token, cls, n, place in _prefixes(batches, levels, width, percent, bits):
+        at = _bit(token)
+        keep = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        yield pa.RecordBatch.from_arrays([
+            pa.array(token[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep]), pa.array(place[keep])],
+            names=["token", "cls", "n", "pos"])
 
 
 def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, h, row in sets_of(batch.column(1), width):
             cls, size = class_ids(h, row, j - i)
-            sketch = np.bincount(row * SKETCH + (h >> _U(60)).astype(np.int64), minlength=(j - i) * SKETCH)
+            sketch = np.bincount(row * SKETCH + (h >> _U(59)).astype(np.int64), minlength=(j - i) * SKETCH)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(i, j - i), pa.array(cls), pa.array(size.astype(np.int64)),
                 pa.FixedSizeListArray.from_arrays(pa.array(np.minimum(sketch, 32767).astype(np.int16)), SKETCH).cast(pa.list_(pa.int16()))],
@@ -175,25 +226,27 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
+def may_link(x: str, y: str, percent: int) -> F.Column:
+    """Length, positional and suffix filter of index rows with columns n, pos and sketch under the two prefixes."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    need = F.ceil((n + m) * percent / (100 + percent))
+    apart = F.aggregate(F.zip_with(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), lambda a, b: F.abs(a.cast("long") - b)), F.lit(0).cast("long"), lambda t, d: t + d)
+    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+            & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= need) & (apart <= n + m - 2 * need))
+
+
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link. ``classes``: cls, n, sketch, doc_id of one member."""
-    sizes = classes.select("cls", "n", "sketch")
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    apart = F.aggregate(F.zip_with("sk_a", "sk_b", lambda x, y: F.abs(x.cast("long") - y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    passed = cut(
-        pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a")), "a")
-        .join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b")), "b")
-        .where(apart <= F.col("n_a") + F.col("n_b") - 2 * need).select("a", "b"), "ngram-pairs")
-    wanted = cut(passed.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls"), "ngram-wanted")
+    """The pairs (a, b) of classes that link. ``classes``: cls, doc_id of one member."""
+    pairs = cut(pairs, "ngram-pairs")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls"), "ngram-wanted")
     rows = wanted.count()
     texts = docs.join(broadcast_if_small(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), rows, BROADCAST_ROWS),
                       F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = (texts.select("text").mapInArrow(lambda b: _full_sets(b, width), "cls long, shingles binary")
-            .join(broadcast_if_small(wanted.select("cls"), rows, BROADCAST_ROWS), "cls", "left_semi"))
-    sets = cut(sets.dropDuplicates(["cls"]), "ngram-sets")
-    both = (passed.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
+            .join(broadcast_if_small(wanted.select("cls"), rows, BROADCAST_ROWS), "cls", "left_semi").dropDuplicates(["cls"]))
+    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b"))
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: _verify(b, percent), "a long, b long")
+    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: _verify(b, percent), "a long, b long"), "ngram-edges")
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -218,7 +271,19 @@ def star_components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def merge_components(comp: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, root) after the edges join components; nodes that are roots aren't listed."""
+    if comp is None:
+        return star_components(edges)
+    of = comp.select(F.col("node").alias("n"), "root")
+    mapped = (edges.join(of.withColumnsRenamed({"n": "a", "root": "ra"}), "a", "left").join(of.withColumnsRenamed({"n": "b", "root": "rb"}), "b", "left")
+              .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    new = star_components(mapped)
+    moved = comp.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(moved.union(new), "components")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     ship_code(spark)
@@ -227,40 +292,38 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     bits = COUNT_BITS
 
     described = cut(docs.mapInArrow(lambda b: _describe(b, width), "doc_id long, cls long, n long, sketch array<short>"), "ngram-rows")
-    classes = cut(described.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "ngram-classes")
-
-    index = docs.select("text").mapInArrow(lambda b: _index(b, levels, width, percent, bits), "token long, cls long, size_pos long")
-    index = index.repartition("token")
-    shared = index.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    n = F.shiftright("size_pos", 32)
-    index = cut(index.join(shared, "token").select(
-        "token", "cls", n.alias("n"), F.col("size_pos").bitwiseAND(0xFFFFFFFF).alias("pos"),
-        F.floor(F.log(n.cast("double")) / math.log(100 / percent)).alias("band")).distinct(), "ngram-index")
-
-    # Star round: per class the pivot it shares most prefix shingles with, and its smallest.
-    pivots = index.groupBy("token", "band").agg(F.min(F.struct("n", "cls", "pos")).alias("p"), F.count("*").alias("in_band")).where("in_band > 1")
-    star = (index.join(pivots, ["token", "band"]).where("cls <> p.cls")
-            .where(F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos")) >= F.ceil((F.col("n") + F.col("p.n")) * percent / (100 + percent)))
-            .groupBy("cls", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn")).agg(F.count("*").alias("shared"))
-            .groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("most"), F.min(F.struct("pn", "pivot")).alias("least"))
-            .select("cls", F.explode(F.array_distinct(F.array("most", "least.pivot"))).alias("pivot")))
-    pairs = star.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    edges = cut(linked(docs, classes, pairs, width, percent), "ngram-edges")
-    comp = star_components(edges)
+    classes = cut(described.where("n > 0").groupBy("cls").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "ngram-classes")
+
+    shared = spark.sparkContext.broadcast(shared_map(docs.select("text").mapInArrow(lambda b: _prefix_tokens(b, levels, width, percent, bits), "token long")))
+    index = cut(docs.select("text").mapInArrow(lambda b: _index(b, levels, shared, width, percent, bits), "token long, cls long, n long, pos long"), "ngram-index")
+    several = index.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
+    index = cut(index.distinct().join(several, "token").join(classes.select("cls", "sketch"), "cls")
+                .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "ngram-index")
+
+    comp = None
+    for r in range(rounds):
+        rows = index.withColumn("root", F.col("cls"))
+        if comp is not None:
+            rows = index.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+            rows = rows.join(mixed, "token")
+        pivots = rows.groupBy("token", "band").agg(
+            F.min_by(F.struct("cls", "root", "n", "pos", "sketch"), F.xxhash64("cls", F.lit(r))).alias("p"), F.count("*").alias("in_band")).where("in_band > 1")
+        star = (rows.alias("x").join(pivots, ["token", "band"]).where("x.root <> p.root").where(may_link("x", "p", percent))
+                .groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count("*").alias("shared"))
+                .groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")))
+        pairs = star.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+        comp = merge_components(comp, linked(docs, classes, pairs, width, percent))
 
     # Closing round: what is left between components.
     tagged = index.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = tagged.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     left = cut(tagged.join(mixed, "token"), "ngram-open")
-    x = left.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
-    y = left.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), "band")
-    open_pairs = (x.join(y, ["token", "band"])
-                  .where((F.col("ra") != F.col("rb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))))
-                  .where(F.col("na") * 100 >= F.col("nb") * percent)
-                  .where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)))
-                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = cut(linked(docs, classes, open_pairs, width, percent), "ngram-edges")
-    comp = star_components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    x = left.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).alias("x")
+    open_pairs = (x.join(left.alias("y"), ["token", "band"])
+                  .where("x.root <> y.root and (x.n < y.n or (x.n = y.n and x.cls < y.cls))").where(may_link("x", "y", percent))
+                  .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
+    comp = merge_components(comp, linked(docs, classes, open_pairs, width, percent))
 
     first = classes.select("cls", F.col("doc_id").alias("first_id"))
     groups = comp.union(comp.select("root", "root").distinct())
