@@ -61,31 +61,31 @@ class Runs:
          .option("path", path).saveAsTable(name))
         return self.spark.table(name)
 
-    def all(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.union(run)
+    @staticmethod
+    def merge(runs: list[DataFrame]) -> DataFrame:
+        """One run with the counts of all: keys are unique in a run, so sorted
+        runs merge by outer joins, bucket by bucket."""
+        out = runs[0]
+        for run in runs[1:]:
+            both = out.withColumnRenamed("n", "n1").join(run.withColumnRenamed("n", "n2"), ["h1", "h2"], "full")
+            out = both.select("h1", "h2", (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
         return out
 
-    def settled(self) -> DataFrame | None:
-        """Keys that a run alone shows in ``min_docs`` documents."""
-        runs = self.all()
-        return None if runs is None else runs.where(F.col("n") >= self.min_docs).select("h1", "h2")
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def add(self, batch: DataFrame) -> None:
+        """Add the batch's (document, key) rows, but for the keys that a run
+        alone shows in ``min_docs`` documents."""
         counts = batch.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-        known = self.settled()
-        if known is not None:
-            counts = counts.join(known, ["h1", "h2"], "left_anti")
+        for run in self.runs():
+            counts = counts.join(run.where(F.col("n") >= self.min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(self._write(counts))
         level = 0
         while len(self.levels[level]) >= FANOUT:
-            merged = self.levels[level][0]
-            for run in self.levels[level][1:]:
-                merged = merged.union(run)
-            merged = self._write(merged.groupBy("h1", "h2").agg(F.sum("n").alias("n")))
+            merged = self._write(self.merge(self.levels[level]))
             self.levels[level] = []
             level += 1
             if level == len(self.levels):
@@ -93,7 +93,7 @@ class Runs:
             self.levels[level].append(merged)
 
     def common(self) -> DataFrame:
-        return self.all().groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h1", "h2")
+        return self.merge(self.runs()).where(F.col("n") >= self.min_docs).select("h1", "h2")
 
 
 def marked_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:

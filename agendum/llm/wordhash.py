@@ -77,7 +77,8 @@ def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np
     if not len(data):
         e = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), e, e, e
-    inside = ~separators[data]
+    folded = LOWER[data]
+    inside = ~separators[folded]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     first = inside.copy()
@@ -97,7 +98,7 @@ def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np
     power = np.full(int(width.max()), _BASE)
     power[0] = 1
     power = np.multiply.accumulate(power)
-    value = _BYTE[LOWER[data[inside]]] * power[place]
+    value = _BYTE[folded[inside]] * power[place]
     h = mix(np.add.reduceat(value, cum) + width.astype(np.uint64))
     text = np.searchsorted(off, starts, "right") - 1
     return h, starts, ends, text.astype(np.int64) if n_texts else text
