@@ -17,10 +17,10 @@ Rows with equal shingle sets are one class; the join runs over classes.
 4. *Closing round.* All pairs with a common prefix shingle that pass the filters
    and whose classes are still in different components. Pairs inside one
    component are never made: they can't change a component.
-5. Pairs pass the length filter, the positional filter and the suffix filter (a
-   lower bound of the symmetric difference from counts of both sets over ranges
-   of the shingle hashes) in the join; then each goes once through the exact
-   intersection.
+5. Pairs pass the length filter, the positional filter and the suffix filter: a
+   set's sketch has one bit per hash bucket, the parity of the set's shingles in
+   it, so the bits in which two sketches differ are a lower bound of the
+   symmetric difference. Then each pair goes once through the exact intersection.
 
 Components come from alternating large-star and small-star steps on the edges.
 
@@ -49,9 +49,9 @@ WIDTH = 5
 PERCENT = 80
 COUNT_BITS = 19
 BLOCK = 1 << 12           # counters a row of the summed table holds
-SKETCH = 32               # ranges of the suffix filter
+SKETCH_BITS = 512         # of a set for the suffix filter
 MAP_BITS = 26             # an 8 MB bitmap of prefix shingles that occur more than once
-ROUNDS = 3
+ROUNDS = 2
 BROADCAST_ROWS = 2_000_000  # of (doc_id) pairs of longs: 32 MB
 MAX_STEPS = 40
 
@@ -190,7 +190,7 @@ def _index(batches, levels, shared, width, percent, bits) -> Iterator[pa.RecordB
         at = _bit(token)
         keep = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
         yield pa.RecordBatch.from_arrays([
-            pa.array(token[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep]), pa.array(place[keep])],
+            pa.array(token[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32))],
             names=["token", "cls", "n", "pos"])
 
 
@@ -198,10 +198,12 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
     for batch in batches:
         for i, j, h, row in sets_of(batch.column(1), width):
             cls, size = class_ids(h, row, j - i)
-            sketch = np.bincount(row * SKETCH + (h >> _U(59)).astype(np.int64), minlength=(j - i) * SKETCH)
+            bucket = row * SKETCH_BITS + (h >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+            odd = np.bincount(bucket, minlength=(j - i) * SKETCH_BITS) & 1
+            longs = np.packbits(odd.astype(bool)).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(i, j - i), pa.array(cls), pa.array(size.astype(np.int64)),
-                pa.FixedSizeListArray.from_arrays(pa.array(np.minimum(sketch, 32767).astype(np.int16)), SKETCH).cast(pa.list_(pa.int16()))],
+                pa.FixedSizeListArray.from_arrays(pa.array(longs), SKETCH_BITS // 64).cast(pa.list_(pa.int64()))],
                 names=["doc_id", "cls", "n", "sketch"])
 
 
@@ -227,12 +229,29 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def may_link(x: str, y: str, percent: int) -> F.Column:
-    """Length, positional and suffix filter of index rows with columns n, pos and sketch under the two prefixes."""
+    """Length and positional filter of index rows (columns n, pos) under the two prefixes."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = F.ceil((n + m) * percent / (100 + percent))
-    apart = F.aggregate(F.zip_with(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), lambda a, b: F.abs(a.cast("long") - b)), F.lit(0).cast("long"), lambda t, d: t + d)
     return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-            & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= need) & (apart <= n + m - 2 * need))
+            & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= least(n, m, percent)))
+
+
+def least(n: F.Column, m: F.Column, percent: int) -> F.Column:
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def sketches_allow(n: F.Column, a: F.Column, m: F.Column, b: F.Column, percent: int) -> F.Column:
+    """Suffix filter: the sketches' differing bits don't exceed the symmetric difference of sets that link."""
+    apart = F.lit(0)
+    for k in range(SKETCH_BITS // 64):
+        apart = apart + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+    return apart <= n + m - 2 * least(n, m, percent)
+
+
+def sketched(pairs: DataFrame, classes: DataFrame, a: str, b: str, percent: int) -> DataFrame:
+    """The pairs (columns ``a`` and ``b`` of classes) that pass the suffix filter."""
+    side = lambda c, k: classes.select(F.col("cls").alias(c), F.col("n").alias(f"_n{k}"), F.col("sketch").alias(f"_s{k}"))
+    return (pairs.join(side(a, 1), a).join(side(b, 2), b)
+            .where(sketches_allow(F.col("_n1"), F.col("_s1"), F.col("_n2"), F.col("_s2"), percent)).select(*pairs.columns))
 
 
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -283,6 +302,13 @@ def merge_components(comp: DataFrame | None, edges: DataFrame) -> DataFrame:
     return cut(moved.union(new), "components")
 
 
+def with_roots(index: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``index`` with the component (root) of each row's class."""
+    if comp is None:
+        return index.withColumn("root", F.col("cls"))
+    return index.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -291,37 +317,35 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     levels = spark.sparkContext.broadcast(rank_levels(count_table(docs, width)))
     bits = COUNT_BITS
 
-    described = cut(docs.mapInArrow(lambda b: _describe(b, width), "doc_id long, cls long, n long, sketch array<short>"), "ngram-rows")
-    classes = cut(described.where("n > 0").groupBy("cls").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "ngram-classes")
+    described = cut(docs.mapInArrow(lambda b: _describe(b, width), "doc_id long, cls long, n long, sketch array<long>"), "ngram-rows")
+    classes = cut(described.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "ngram-classes")
 
     shared = spark.sparkContext.broadcast(shared_map(docs.select("text").mapInArrow(lambda b: _prefix_tokens(b, levels, width, percent, bits), "token long")))
-    index = cut(docs.select("text").mapInArrow(lambda b: _index(b, levels, shared, width, percent, bits), "token long, cls long, n long, pos long"), "ngram-index")
+    index = cut(docs.select("text").mapInArrow(lambda b: _index(b, levels, shared, width, percent, bits), "token long, cls long, n int, pos int"), "ngram-index")
     several = index.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    index = cut(index.distinct().join(several, "token").join(classes.select("cls", "sketch"), "cls")
-                .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "ngram-index")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    index = cut(index.join(several, "token").withColumn("band", band), "ngram-index")
 
     comp = None
     for r in range(rounds):
-        rows = index.withColumn("root", F.col("cls"))
-        if comp is not None:
-            rows = index.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-            rows = rows.join(mixed, "token")
-        pivots = rows.groupBy("token", "band").agg(
-            F.min_by(F.struct("cls", "root", "n", "pos", "sketch"), F.xxhash64("cls", F.lit(r))).alias("p"), F.count("*").alias("in_band")).where("in_band > 1")
+        rows = with_roots(index, comp)
+        pivots = (rows.groupBy("token", "band").agg(
+            F.min_by(F.struct("cls", "root", "n", "pos"), F.xxhash64("cls", F.lit(r))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .where("lo <> hi").select("token", "band", "p"))
         star = (rows.alias("x").join(pivots, ["token", "band"]).where("x.root <> p.root").where(may_link("x", "p", percent))
-                .groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count("*").alias("shared"))
+                .groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count("*").alias("shared")))
+        best = (sketched(star, classes, "cls", "pivot", percent)
                 .groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")))
-        pairs = star.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+        pairs = best.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
         comp = merge_components(comp, linked(docs, classes, pairs, width, percent))
 
     # Closing round: what is left between components.
-    tagged = index.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = tagged.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    left = cut(tagged.join(mixed, "token"), "ngram-open")
-    x = left.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).alias("x")
-    open_pairs = (x.join(left.alias("y"), ["token", "band"])
+    rows = with_roots(index, comp)
+    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    left = cut(rows.join(mixed, "token").join(classes.select("cls", "sketch"), "cls").drop("band"), "ngram-open")
+    open_pairs = (left.alias("x").join(left.alias("y"), "token")
                   .where("x.root <> y.root and (x.n < y.n or (x.n = y.n and x.cls < y.cls))").where(may_link("x", "y", percent))
+                  .where(sketches_allow(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), percent))
                   .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
     comp = merge_components(comp, linked(docs, classes, open_pairs, width, percent))
 
