@@ -3,35 +3,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agendum import schemas as S
 from agendum.functions.expressions import blank_to_null
+from agendum.operators.relational import meeting_groups, patch
 from agendum.operators.text import stitch_transcripts
 
-NO_TICKETS_LINE = "No existing tickets."   # fixed value: the context's empty-ticket line
+# --- fixed values -----------------------------------------------------------
+NO_TICKETS_LINE = "No existing tickets."      # the context's empty-ticket line
+UPDATE_STATUSES = ("IN_PROGRESS", "DONE")     # what an answer may set a ticket to
+# ---------------------------------------------------------------------------
 
 
 def decode_analysis(docs: DataFrame, value: str = "value") -> dict[str, DataFrame]:
-    """Parse each answer with the fixed nested schema into three tables
-    (new tickets, ticket updates, meeting metrics) plus rejects for
-    unparsable documents. Keys (doc_id, meeting_id) are carried along."""
+    """Parse each answer with the fixed nested schema. ``items``: new
+    tickets and ticket updates of all answers, tagged by ``kind`` and numbered
+    in their answer (one parse, one explode); ``meeting_metrics``; ``rejects``
+    for unparsable documents. Keys (doc_id, meeting_id) are carried along."""
     keys = [c for c in docs.columns if c != value]
     p = docs.withColumn("__a", F.from_json(F.col(value), S.with_corrupt(S.ANALYSIS), S.JSON_OPTIONS)) \
             .withColumn("__bad", F.col("__a").isNull() | F.col(f"__a.{S.CORRUPT}").isNotNull())
     ok = p.filter(~F.col("__bad"))
-    new = ok.select(*keys, F.explode("__a.newTickets").alias("t")).select(
-        *keys, F.col("t.title").alias("title"), F.col("t.content").alias("content"),
-        F.col("t.status").alias("status"), F.col("t.assigneeId").alias("assignee_id"))
-    upd = ok.select(*keys, F.explode("__a.ticketUpdates").alias("u")).select(
-        *keys, F.col("u.ticketId").alias("ticket_id"), F.col("u.newStatus").alias("status"),
-        F.col("u.assigneeId").alias("assignee_id"), F.col("u.reason").alias("reason"))
+    none = F.lit(None).cast("string")
+    news = F.transform(F.coalesce("__a.newTickets", F.array()), lambda t, i: F.struct(
+        F.lit("new").alias("kind"), i.cast("int").alias("item_no"), none.alias("ticket_id"), t["title"].alias("title"),
+        t["content"].alias("content"), t["status"].alias("status"), t["assigneeId"].alias("assignee_id"), none.alias("reason")))
+    updates = F.transform(F.coalesce("__a.ticketUpdates", F.array()), lambda u, i: F.struct(
+        F.lit("update").alias("kind"), i.cast("int").alias("item_no"), u["ticketId"].alias("ticket_id"), none.alias("title"),
+        none.alias("content"), u["newStatus"].alias("status"), u["assigneeId"].alias("assignee_id"), u["reason"].alias("reason")))
+    items = ok.select(*keys, F.explode(F.concat(news, updates)).alias("t")).select(*keys, "t.*")
     met = ok.select(*keys, F.col("__a.meetingMetrics.actionableItemsCount").alias("actionable_items_count"),
                     F.col("__a.meetingMetrics.statusUpdatesCount").alias("status_updates_count"),
                     F.col("__a.meetingMetrics.blockersMentioned").alias("blockers_mentioned"))
     rej = p.filter(F.col("__bad")).select(*keys, F.lit("malformed").alias("reject_reason"))
-    return {"new_tickets": new, "ticket_updates": upd, "meeting_metrics": met, "rejects": rej}
+    return {"items": items, "meeting_metrics": met, "rejects": rej}
 
 
 def meeting_metrics_from_analysis(metrics: DataFrame) -> DataFrame:
@@ -43,59 +50,63 @@ def meeting_metrics_from_analysis(metrics: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_analyses"))
 
 
-def _member_check(df: DataFrame, meetings: DataFrame, members: DataFrame) -> DataFrame:
-    """Adds ``assignee_ok``: no assignee, or a member of the meeting's group."""
-    m = meetings.select("meeting_id", "group_id")
-    mem = members.select("group_id", F.col("user_id").alias("assignee_id"), F.lit(True).alias("__member"))
-    j = df.join(m, "meeting_id", "left").join(mem, ["group_id", "assignee_id"], "left")
-    return j.withColumn("assignee_ok", F.col("assignee_id").isNull() | F.coalesce("__member", F.lit(False))) \
-            .drop("__member", "group_id")
-
-
-def apply_analysis(tickets: DataFrame, decoded: dict[str, DataFrame], meetings: DataFrame,
-                   members: DataFrame) -> DataFrame:
-    """Ticket events from one batch of answers. New tickets get a
-    deterministic id and status TODO when absent; updates must name an
-    existing ticket; any assignee must belong to the meeting's group.
+def apply_analysis(tickets: DataFrame, items: DataFrame, meetings: DataFrame, members: DataFrame) -> DataFrame:
+    """Ticket events from the items of a batch of answers. A new ticket gets
+    an id from its place (meeting, answer, item) and content, and status TODO when
+    absent; an update must name an existing ticket and set one of
+    ``UPDATE_STATUSES``; any assignee must belong to the meeting's group.
     Rejected items stay in the output with ``reject_reason``."""
-    new = decoded["new_tickets"]
-    nid = F.sha2(F.concat_ws("|", F.col("meeting_id").cast("string"), F.col("doc_id").cast("string"),
-                             F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), 256)
-    created = _member_check(new, meetings, members).select(
-        F.lit("created").alias("event_type"), nid.alias("ticket_id"), "meeting_id",
-        F.coalesce(blank_to_null(F.col("status")), F.lit("TODO")).alias("status"), "assignee_id",
-        F.when(~F.col("assignee_ok"), F.lit("assignee_not_member")).alias("reject_reason"))
     known = tickets.select("ticket_id", F.lit(True).alias("__known"))
-    upd = _member_check(decoded["ticket_updates"].join(known, "ticket_id", "left"), meetings, members)
-    updated = upd.select(
-        F.lit("updated").alias("event_type"), "ticket_id", "meeting_id", "status", "assignee_id",
-        F.when(F.col("__known").isNull(), F.lit("unknown_ticket"))
-         .when(~F.col("assignee_ok"), F.lit("assignee_not_member")).alias("reject_reason"))
-    return created.unionByName(updated)
+    member = members.select("group_id", F.col("user_id").alias("assignee_id"), F.lit(True).alias("__member"))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    new_id = F.sha2(F.concat_ws("|", *[part(c) for c in ("meeting_id", "doc_id", "item_no", "title", "content")]), 256)
+    is_new = F.col("kind") == "new"
+    j = (items.join(meeting_groups(meetings), "meeting_id", "left").join(member, ["group_id", "assignee_id"], "left")
+         .join(known, "ticket_id", "left"))
+    reject = (F.when(~is_new & F.col("__known").isNull(), "unknown_ticket")
+              .when(~is_new & ~F.coalesce(F.col("status").isin(*UPDATE_STATUSES), F.lit(False)), "bad_status")
+              .when(F.col("assignee_id").isNotNull() & F.col("__member").isNull(), "assignee_not_member"))
+    return j.select(F.when(is_new, "created").otherwise("updated").alias("event_type"), "doc_id", "item_no",
+                    F.when(is_new, new_id).otherwise(F.col("ticket_id")).alias("ticket_id"), "meeting_id", "title", "content",
+                    F.when(is_new, F.coalesce(blank_to_null(F.col("status")), F.lit("TODO"))).otherwise(F.col("status")).alias("status"),
+                    "assignee_id", "reason", reject.alias("reject_reason"))
+
+
+def tickets_after_analysis(tickets: DataFrame, events: DataFrame) -> DataFrame:
+    """The ticket table after the accepted events: new tickets inserted,
+    updates folded in (answer, item) order. Timestamps are left to the writer."""
+    ok = events.filter(F.col("reject_reason").isNull())
+    updates = ok.filter(F.col("event_type") == "updated").select(
+        "ticket_id", "doc_id", "item_no", "status", "assignee_id", F.col("assignee_id").isNotNull().alias("has_assignee_id"))
+    cols = ["ticket_id", "meeting_id", "title", "content", "status", "assignee_id"]
+    kept = patch(tickets.select(*cols), updates, ["doc_id", "item_no"]).select(*cols)
+    return kept.unionByName(ok.filter(F.col("event_type") == "created").select(*cols))
 
 
 def analysis_context(segments: DataFrame, tickets: DataFrame, members: DataFrame, users: DataFrame,
                      meetings: DataFrame) -> DataFrame:
-    """The model's input per meeting, as ordered lines in long form
-    (meeting_id, section, item, line): transcript pieces, one line per group
-    member, one line per existing ticket or the empty-ticket line. A consumer
-    concatenates a meeting's lines in (section, item) order; no row holds more
-    than one piece, so no meeting ever becomes one huge row."""
-    tr = stitch_transcripts(segments).select(
-        "meeting_id", F.lit("1_transcript").alias("section"), F.col("piece").cast("string").alias("item"),
-        F.col("transcript").alias("line"))
+    """The model's input as ordered lines in long form (scope, scope_id,
+    section, item, line). Scope ``meeting`` has transcript pieces, the meeting's
+    groups, and one line per existing ticket (with its assignee) or the
+    empty-ticket line; scope ``group`` has one line per member, once per group and
+    not once per meeting. A consumer concatenates a meeting's lines and those of
+    its groups in (section, item) order; no row holds more than one piece."""
+    def lines(df: DataFrame, scope: str, scope_id: str, section: str, item: Column, line: Column) -> DataFrame:
+        return df.select(F.lit(scope).alias("scope"), F.col(scope_id).alias("scope_id"), F.lit(section).alias("section"),
+                         item.cast("string").alias("item"), line.alias("line"))
+
+    names = users.select("user_id", blank_to_null(F.col("name")).alias("name"))
     mt = segments.select("meeting_id").distinct()
-    grp = mt.join(meetings.select("meeting_id", "group_id"), "meeting_id")
-    mem = (grp.join(members.select("group_id", "user_id"), "group_id")
-              .join(users.select("user_id", "name"), "user_id", "left")
-              .select("meeting_id", F.lit("2_members").alias("section"), F.col("user_id").cast("string").alias("item"),
-                      F.format_string("- %s (ID: %d)", F.coalesce(blank_to_null(F.col("name")), F.lit("Unknown")),
-                                      F.col("user_id")).alias("line")))
+    grp = mt.join(meeting_groups(meetings), "meeting_id")
+    mem = members.join(grp.select("group_id").distinct(), "group_id", "left_semi").join(names, "user_id", "left")
     tk = (tickets.join(mt, "meeting_id", "left_semi")
-                 .select("meeting_id", F.lit("3_tickets").alias("section"), F.col("ticket_id").alias("item"),
-                         F.format_string("- [%s] %s (ID: %s)", F.col("status"), F.col("title"),
-                                         F.col("ticket_id")).alias("line")))
-    none = (mt.join(tickets.select("meeting_id"), "meeting_id", "left_anti")
-              .select("meeting_id", F.lit("3_tickets").alias("section"), F.lit("").alias("item"),
-                      F.lit(NO_TICKETS_LINE).alias("line")))
-    return tr.unionByName(mem).unionByName(tk).unionByName(none)
+          .join(names.withColumnsRenamed({"user_id": "assignee_id", "name": "assignee"}), "assignee_id", "left"))
+    none = mt.join(tickets.select("meeting_id"), "meeting_id", "left_anti")
+    return (lines(stitch_transcripts(segments), "meeting", "meeting_id", "1_transcript", F.col("piece"), F.col("transcript"))
+            .unionByName(lines(grp, "meeting", "meeting_id", "2_group", F.col("group_id"), F.col("group_id").cast("string")))
+            .unionByName(lines(mem, "group", "group_id", "2_members", F.col("user_id"),
+                               F.format_string("- %s (ID: %d)", F.coalesce("name", F.lit("Unknown")), F.col("user_id"))))
+            .unionByName(lines(tk, "meeting", "meeting_id", "3_tickets", F.col("ticket_id"),
+                               F.format_string("- [%s] %s (ID: %s, Assignee: %s)", F.col("status"), F.col("title"), F.col("ticket_id"),
+                                               F.coalesce("assignee", F.lit("Unassigned")))))
+            .unionByName(lines(none, "meeting", "meeting_id", "3_tickets", F.lit(""), F.lit(NO_TICKETS_LINE))))

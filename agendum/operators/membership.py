@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agendum.functions.expressions import ROLES
-from agendum.operators.relational import authorized_changes, latest_by_key
+from agendum.operators.relational import latest_by_key, with_authorization
 
 
 def new_group_id(change_id: str = "change_id"):
@@ -25,15 +25,12 @@ def new_group_id(change_id: str = "change_id"):
 def judge_changes(members: DataFrame, users: DataFrame, changes: DataFrame) -> DataFrame:
     """Every change with ``target_user_id``, ``authorized`` and
     ``reject_reason`` (NULL when accepted)."""
-    ok, _ = authorized_changes(changes, members)
-    admin_ok = ok.select("change_id").withColumn("authorized", F.lit(True))
     u = users.select(F.col("email"), F.col("user_id").alias("target_user_id"))
     cur = members.select("group_id", F.col("user_id").alias("target_user_id"),
                          F.col("role").alias("current_role"))
-    j = (changes.join(admin_ok, "change_id", "left")
+    j = (with_authorization(changes, members)
                 .join(u, "email", "left")
-                .join(cur, ["group_id", "target_user_id"], "left")
-                .withColumn("authorized", F.coalesce("authorized", F.lit(False))))
+                .join(cur, ["group_id", "target_user_id"], "left"))
     act = F.col("action")
     reason = (F.when(act == "create", F.lit(None).cast("string"))
                .when(~F.col("authorized"), F.lit("not_admin"))

@@ -12,10 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agendum.operators.relational import meeting_groups
 from agendum.functions.expressions import (DEFAULT_BLOCKER_PATTERN, is_actionable,
                                            mentions_blocker, score)
 
 
+BANDS = 256           # bands of the number line per power of two (latency percentiles)
+BAND_SHIFT = 1100 * BANDS   # keeps band numbers of small values positive
+
+
 def _watermarked(df: DataFrame, ts: str, delay: str | None) -> DataFrame:
     return df.withWatermark(ts, delay) if (delay and df.isStreaming) else df
 
@@ -111,8 +116,7 @@ def workflow_times(status_events: DataFrame, status: str = "status", ts: str = "
 def with_group(metrics: DataFrame, meetings: DataFrame) -> DataFrame:
     """Attach group_id. The meeting table may hold one row per audio, so it
     is reduced to distinct (meeting, group) first; otherwise metrics fan out."""
-    m = meetings.select("meeting_id", "group_id").dropDuplicates(["meeting_id", "group_id"])
-    return metrics.join(m, "meeting_id", "inner")
+    return metrics.join(meeting_groups(meetings), "meeting_id", "inner")
 
 
 def completion_rate(tickets: DataFrame, meetings: DataFrame, ts: str = "created_at") -> DataFrame:
@@ -187,31 +191,38 @@ def latency_stats(latency: DataFrame, metrics=("kafka_delivery_ms", "processing_
     """Count, mean, exact percentiles (linear interpolation, like
     ``quantile_cont``) and max of each latency column.
 
-    Exact percentiles without one task holding all values: the values are
-    first reduced to a (metric, value, count) histogram (map-side combine), the
-    histogram is range-ordered to get cumulative counts, and only the one or
-    two histogram rows that straddle each target rank are kept.
+    The values are reduced once to a (metric, value, count) histogram (map-side
+    combine). Values fall into fixed bands of the number line (``BANDS`` per
+    power of two), whose counts are a small table; the prefix sums of that table
+    tell which bands hold the target ranks, and only the histogram rows of those
+    bands are ranked. No task holds all values of a metric.
     """
     long = latency.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics
     ])).alias("r")).select("r.metric", "r.v").filter(F.col("v").isNotNull())
-    hist = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("metric").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    basic = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("avg"),
-                                       F.max("v").alias("max"))
-    # 0-based positions around (n-1)*p for every p: one small row per (metric, p).
+    size = F.floor(F.log2(F.abs("v")) * BANDS)
+    band = F.when(F.col("v") == 0, F.lit(0)).otherwise(F.signum("v").cast("long") * (size + BAND_SHIFT)).cast("long")
+    hist = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("band", band)
+    bands = hist.groupBy("metric", "band").agg(F.sum("c").alias("c"), F.sum(F.col("v") * F.col("c")).alias("s"), F.max("v").alias("top"))
+    # One row per metric and band: a table of fixed size, whatever the input.
+    w = Window.partitionBy("metric").orderBy("band")
+    bands = bands.withColumn("end", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    basic = bands.groupBy("metric").agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("avg"), F.max("top").alias("max"))
     names = [f"p{int(round(p * 100))}" for p in probs]
     h = (F.col("n") - 1) * F.col("t.p")
+    # Two 0-based positions around (n-1)*p for every p.
     targets = (basic.select("metric", "n", F.explode(F.array(*[
         F.struct(F.lit(nm).alias("name"), F.lit(float(p)).alias("p")) for nm, p in zip(names, probs)
-    ])).alias("t")).select("metric", "t.name", F.floor(h).alias("i0"), F.ceil(h).alias("i1"),
-                           (h - F.floor(h)).alias("frac")))
-    in0 = (F.col("lo") <= F.col("i0")) & (F.col("i0") < F.col("hi"))
-    in1 = (F.col("lo") <= F.col("i1")) & (F.col("i1") < F.col("hi"))
-    picked = (cum.join(targets, "metric").filter(in0 | in1)
+    ])).alias("t")).select("metric", "t.name", (h - F.floor(h)).alias("frac"), F.posexplode(F.array(F.floor(h), F.ceil(h))).alias("side", "i")))
+    start = F.col("end") - F.col("c")
+    wanted = (bands.join(targets, "metric").filter((start <= F.col("i")) & (F.col("i") < F.col("end")))
+              .select("metric", "band", "name", "frac", "side", (F.col("i") - start).alias("i")))
+    inside = Window.partitionBy("metric", "band").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (hist.join(wanted.select("metric", "band").distinct(), ["metric", "band"], "left_semi")
+              .withColumn("hi", F.sum("c").over(inside)))
+    picked = (ranked.join(wanted, ["metric", "band"]).filter((F.col("hi") - F.col("c") <= F.col("i")) & (F.col("i") < F.col("hi")))
               .groupBy("metric", "name", "frac")
-              .agg(F.max(F.when(in0, F.col("v"))).alias("v0"), F.max(F.when(in1, F.col("v"))).alias("v1"))
+              .agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("v1"))
               .select("metric", "name", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("q")))
     quant = picked.groupBy("metric").pivot("name", names).agg(F.first("q"))
     return basic.join(quant, "metric", "left")

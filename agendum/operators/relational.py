@@ -95,7 +95,7 @@ def group_member_names(members: DataFrame, users: DataFrame) -> DataFrame:
 def authorized_changes(changes: DataFrame, members: DataFrame,
                        requester: str = "requester_id") -> tuple[DataFrame, DataFrame]:
     """Split changes into those whose requester is an ADMIN of the group
-    (semi join) and the rest (anti join)."""
+    (semi join) and the rest (anti join); ``with_authorization`` flags them in one join."""
     admins = (members.filter(F.col("role") == "ADMIN")
               .select("group_id", F.col("user_id").alias(requester)))
     ok = changes.join(admins, ["group_id", requester], "left_semi")
@@ -103,8 +103,22 @@ def authorized_changes(changes: DataFrame, members: DataFrame,
     return ok, denied
 
 
+def with_authorization(changes: DataFrame, members: DataFrame, requester: str = "requester_id") -> DataFrame:
+    """``authorized``: the requester is an ADMIN of the group. One left join."""
+    admins = (members.filter(F.col("role") == "ADMIN")
+              .select("group_id", F.col("user_id").alias(requester), F.lit(True).alias("authorized")).distinct())
+    return (changes.join(admins, ["group_id", requester], "left")
+            .withColumn("authorized", F.coalesce("authorized", F.lit(False))))
+
+
 # -- L2, L3 ---------------------------------------------------------------------
 
+def meeting_groups(meetings: DataFrame) -> DataFrame:
+    """Distinct (meeting_id, group_id). The meeting table has one row per
+    audio, so every join from meetings to groups goes through this."""
+    return meetings.select("meeting_id", "group_id").distinct()
+
+
 def first_row(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
     """L2: deterministic "find first": the row with the smallest ``order_col``
     per key (``min_by`` aggregates map-side, so hot keys are cheap)."""
@@ -150,25 +164,48 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str],
     return j.select(*out)
 
 
-def patch(base: DataFrame, patches: DataFrame, key: str = "ticket_id",
+def patch(base: DataFrame, patches: DataFrame, order_cols: Sequence[str], key: str = "ticket_id",
           keep_if_blank: Sequence[str] = ("title", "content", "status"),
           nullable: Sequence[str] = ("assignee_id",)) -> DataFrame:
-    """Partial update of existing rows. A blank or absent value keeps the
-    old one; columns in ``nullable`` are replaced whenever the patch sets
-    ``has_<col>`` (so an explicit NULL clears them). Unknown keys are ignored."""
-    p = patches.select(key, *[F.col(c).alias(f"__p_{c}") for c in patches.columns if c != key])
-    j = base.join(p, key, "left")
+    """Partial updates of existing rows, any number per key, folded in
+    ``order_cols`` order (total per key). Each column takes the value of the
+    last patch that sets it: a blank or absent value sets nothing; columns in
+    ``nullable`` are set by the patches with ``has_<col>`` (so an explicit NULL
+    clears them). Unknown keys are ignored. ``status_updates`` counts the
+    patches that set a status.
+
+    One map-side-combinable ``max_by`` per column, so a hot key costs one row
+    per input partition."""
+    order = F.struct(*[F.col(c) for c in order_cols])
+    aggs = []
+    for c in keep_if_blank:
+        if c in patches.columns:
+            given = blank_to_null(F.col(c))
+            aggs.append(F.max_by(given, F.when(given.isNotNull(), order)).alias(f"__p_{c}"))
+    for c in nullable:
+        if f"has_{c}" in patches.columns:
+            aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(f"has_{c}"), order)).alias(f"__p_{c}"))
+    sets_status = blank_to_null(F.col("status")).isNotNull() if "status" in patches.columns else F.lit(False)
+    aggs.append(F.count_if(sets_status).alias("__p_n"))
+    j = base.join(patches.groupBy(key).agg(*aggs), key, "left")
     out = []
     for x in base.columns:
-        if x in keep_if_blank and f"__p_{x}" in j.columns:
-            out.append(F.coalesce(blank_to_null(F.col(f"__p_{x}")), F.col(x)).alias(x))
-        elif x in nullable and f"__p_has_{x}" in j.columns:
-            out.append(F.when(F.coalesce(F.col(f"__p_has_{x}"), F.lit(False)), F.col(f"__p_{x}"))
-                        .otherwise(F.col(x)).alias(x))
-        else:
+        p = f"__p_{x}"
+        if p not in j.columns:
             out.append(F.col(x))
-    emits = (F.col("__p_status").isNotNull() & (F.col("__p_status") != "")) if "__p_status" in j.columns else F.lit(False)
-    return j.select(*out, emits.alias("emits_update"))
+        elif x in nullable:
+            out.append(F.when(F.col(p).isNotNull(), F.col(p)["v"]).otherwise(F.col(x)).alias(x))
+        else:
+            out.append(F.coalesce(F.col(p), F.col(x)).alias(x))
+    return j.select(*out, F.coalesce("__p_n", F.lit(0)).alias("status_updates"))
+
+
+def patch_events(base: DataFrame, patches: DataFrame, key: str = "ticket_id") -> DataFrame:
+    """The update events: one per patch that sets a status of an existing
+    row, with the row's meeting and the status the patch sets."""
+    rows = base.select(key, "meeting_id")
+    return (patches.withColumn("status", blank_to_null(F.col("status"))).filter(F.col("status").isNotNull())
+            .join(rows, key))
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:
@@ -188,7 +225,8 @@ def new_tickets(rows: DataFrame, id_parts: Sequence[str], ts: str = "created_at"
     """Insert with defaults: status TODO when absent, ``updated_at`` =
     creation time, and an id hashed from the row's natural key so a rerun
     produces the same ids (no random UUIDs)."""
-    tid = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in id_parts]), 256)
+    # concat_ws skips NULLs, which would let different rows share an id
+    tid = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_parts]), 256)
     return rows.select(tid.alias("ticket_id"), "meeting_id", "title", "content",
                        F.coalesce(F.col("status"), F.lit("TODO")).alias("status"),
                        "assignee_id", F.col(ts).alias("created_at"), F.col(ts).alias("updated_at"))

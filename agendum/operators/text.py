@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from agendum.functions.expressions import tokens
 from agendum.functions.windows import segmented_shift
+from agendum.operators.relational import meeting_groups
 
 # --- fixed values -----------------------------------------------------------
 # Status-change intent phrases, English and Korean, in priority order:
@@ -23,9 +24,10 @@ STATUS_INTENT_LEXICON = (
     ("IN_PROGRESS", ("in progress", "working on", "진행")),
 )
 # Ownership phrases that make a named member the assignee.
-OWNERSHIP_PHRASES = ("will", "i'll", "is going to", "is designing", "담당", "맡")
+OWNERSHIP_PHRASES = ("will", "i'll", "is going to", "is designing", "is working on", "담당", "맡")
 # ---------------------------------------------------------------------------
 
+NAME_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 STITCH_CHUNK = 1000     # segments per stitched piece (by sequence number)
 
 
@@ -149,7 +151,14 @@ def match_titles(mentions: DataFrame, tickets: DataFrame, threshold: float = 0.5
 
 
 def intent_pattern(phrases: Sequence[str]) -> str:
-    return "(?i)(" + "|".join(phrases) + ")"
+    """Any of the phrases; Latin ones stand alone (``willing`` is not ``will``)."""
+    return "(?i)(" + "|".join(rf"\b{p}\b" if p.isascii() else p for p in phrases) + ")"
+
+
+def name_tokens(col: str | Column) -> Column:
+    """Tokens without the punctuation around them, as names appear in speech."""
+    bare = F.transform(tokens(col), lambda t: F.regexp_replace(t, NAME_EDGES, ""))
+    return F.filter(bare, lambda t: t != "")
 
 
 def status_intent(segments: DataFrame, text: str = "text",
@@ -172,12 +181,12 @@ def detect_assignee(segments: DataFrame, members: DataFrame, users: DataFrame,
     Names are matched on their first token with an equi-join on
     (group, token), then the full name is verified in the text, so only
     segments that mention a name meet that member."""
-    seg = segments.join(meetings.select("meeting_id", "group_id"), "meeting_id", "left")
+    seg = segments.join(meeting_groups(meetings), "meeting_id", "left")
     owns = F.col(text).rlike(intent_pattern(OWNERSHIP_PHRASES))
-    seg_tokens = (seg.select(*seg_id, "group_id", F.explode(F.array_distinct(tokens(text))).alias("tok")))
+    seg_tokens = (seg.select(*seg_id, "group_id", F.explode(F.array_distinct(name_tokens(text))).alias("tok")))
     names = (members.join(users.select("user_id", "name"), "user_id")
              .select("group_id", "user_id", F.lower(F.col("name")).alias("lname"))
-             .withColumn("tok", F.element_at(tokens("lname"), 1))
+             .withColumn("tok", F.get(name_tokens("lname"), 0))
              .filter(F.col("tok").isNotNull()))
     hits = (seg_tokens.join(names, ["group_id", "tok"])
             .join(seg.select(*seg_id, text), list(seg_id))
@@ -193,7 +202,7 @@ def suggest_assignee(tickets: DataFrame, meetings: DataFrame) -> DataFrame:
     """Per group and title term, the assignee who most often holds
     tickets with that term (smallest id breaks ties)."""
     t = (tickets.filter(F.col("assignee_id").isNotNull())
-         .join(meetings.select("meeting_id", "group_id"), "meeting_id")
+         .join(meeting_groups(meetings), "meeting_id")
          .select("group_id", "assignee_id", F.explode(F.array_distinct(tokens("title"))).alias("term")))
     counts = t.groupBy("group_id", "term", "assignee_id").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("group_id", "term").agg(

@@ -30,9 +30,11 @@ def keyword_features(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def fit_topic_vectors(df: DataFrame, text: str = "text", size: int = 100, min_count: int = 5,
-                      seed: int = 42, max_iter: int = 1) -> Word2VecModel:
-    """M2: Word2Vec over the token lists (distinct output column ``topic_vec``)."""
-    w2v = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=max_iter,
+                      seed: int = 42, max_iter: int = 1, num_partitions: int | None = None) -> Word2VecModel:
+    """M2: Word2Vec over the token lists (distinct output column ``topic_vec``),
+    trained in ``num_partitions`` tasks (the session's parallelism by default)."""
+    parts = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    w2v = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=max_iter, numPartitions=parts,
                    inputCol="__tokens", outputCol="topic_vec")
     return w2v.fit(df.select(tokens(text).alias("__tokens")))
 

@@ -21,6 +21,7 @@ from agendum.sources import testdata as td
 
 RECENT_K = 10
 PREVIEW_CHARS = 50
+TIEBREAK_ASC = ", ".join(td.HISTORY_TIEBREAK)
 TIEBREAK_DESC = ", ".join(f"{c} DESC" for c in td.HISTORY_TIEBREAK)
 
 
@@ -185,25 +186,23 @@ def q_upsert_snapshot(spark, d):
 
 
 _PATCH_SQL = f"""
-, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id
-                                                   ORDER BY patched_at DESC, {TIEBREAK_DESC}) AS rn FROM pa)
-        WHERE rn = 1)
+, po AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY patched_at, {TIEBREAK_ASC}) AS rn FROM pa)
+, p AS (SELECT ticket_id, arg_max(title, rn) FILTER (title <> '') AS title,
+               arg_max(content, rn) FILTER (content <> '') AS content,
+               arg_max(status, rn) FILTER (status <> '') AS status,
+               max(rn) FILTER (has_assignee_id) AS assignee_rn, count(*) FILTER (status <> '') AS n
+        FROM po GROUP BY ticket_id)
 , patched AS (
-  SELECT t.ticket_id, t.meeting_id, coalesce(nullif(p.title, ''), t.title) AS title,
-         coalesce(nullif(p.content, ''), t.content) AS content,
-         coalesce(nullif(p.status, ''), t.status) AS status,
-         CASE WHEN coalesce(p.has_assignee_id, false) THEN p.assignee_id ELSE t.assignee_id END AS assignee_id,
-         t.created_at, t.updated_at,
-         coalesce(p.status IS NOT NULL AND p.status <> '', false) AS emits_update
-  FROM t LEFT JOIN p ON p.ticket_id = t.ticket_id)
+  SELECT t.ticket_id, t.meeting_id, coalesce(p.title, t.title) AS title, coalesce(p.content, t.content) AS content,
+         coalesce(p.status, t.status) AS status,
+         CASE WHEN p.assignee_rn IS NOT NULL THEN a.assignee_id ELSE t.assignee_id END AS assignee_id,
+         t.created_at, t.updated_at, coalesce(p.n, 0) AS status_updates
+  FROM t LEFT JOIN p ON p.ticket_id = t.ticket_id LEFT JOIN po a ON a.ticket_id = p.ticket_id AND a.rn = p.assignee_rn)
 """
 
 
 def patched_df(spark, d):
-    pa = td.ticket_patches(spark, d)
-    latest = R.latest_by_key(pa, ["ticket_id"], ["patched_at", *td.HISTORY_TIEBREAK]).select(
-        "ticket_id", "title", "content", "status", "has_assignee_id", "assignee_id")
-    return R.patch(td.tickets(spark, d), latest)
+    return R.patch(td.tickets(spark, d), td.ticket_patches(spark, d), ["patched_at", *td.HISTORY_TIEBREAK])
 
 
 @query("patch_tickets", sql=with_views(_PATCH_SQL + "SELECT * FROM patched", pa=TICKET_PATCHES, t=TICKETS))
@@ -226,15 +225,17 @@ def q_new_tickets(spark, d):
     return new_tickets_df(spark, d)
 
 
-@query("union_tickets", sql=with_views(_NEW_SQL + _PATCH_SQL + """
-SELECT ticket_id, meeting_id, title, status, assignee_id, created_at, 'new' AS kind FROM nt
+@query("union_tickets", sql=with_views(_NEW_SQL + """
+SELECT ticket_id, meeting_id, status, assignee_id, created_at AS event_at, 'new' AS kind FROM nt
 UNION ALL
-SELECT ticket_id, meeting_id, title, status, assignee_id, created_at, 'updated' AS kind FROM patched
-WHERE emits_update""", s=TICKET_SUGGESTIONS, pa=TICKET_PATCHES, t=TICKETS))
+SELECT pa.ticket_id, t.meeting_id, pa.status, CASE WHEN has_assignee_id THEN pa.assignee_id END, patched_at, 'updated'
+FROM pa JOIN t ON t.ticket_id = pa.ticket_id WHERE pa.status <> ''""", s=TICKET_SUGGESTIONS, pa=TICKET_PATCHES, t=TICKETS))
 def q_union_tickets(spark, d):
-    cols = ["ticket_id", "meeting_id", "title", "status", "assignee_id", "created_at"]
-    new = new_tickets_df(spark, d).select(*cols).withColumn("kind", F.lit("new"))
-    upd = patched_df(spark, d).filter("emits_update").select(*cols).withColumn("kind", F.lit("updated"))
+    new = new_tickets_df(spark, d).select("ticket_id", "meeting_id", "status", "assignee_id",
+                                          F.col("created_at").alias("event_at"), F.lit("new").alias("kind"))
+    upd = R.patch_events(td.tickets(spark, d), td.ticket_patches(spark, d)).select(
+        "ticket_id", "meeting_id", "status", F.when(F.col("has_assignee_id"), F.col("assignee_id")).alias("assignee_id"),
+        F.col("patched_at").alias("event_at"), F.lit("updated").alias("kind"))
     return R.union_all(new, upd)
 
 
@@ -246,16 +247,42 @@ def q_distinct_meetings(spark, d):
     return a.unionByName(b).distinct()
 
 
+_GROUP_SQL = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+_HAS_IDS = f"user_id <> 0 AND event_id <> 0 AND coalesce({_GROUP_SQL}, 0) <> 0"
+_EVENT_TS = f"CASE WHEN event_type = '{td.TIMED_EVENT_TYPE}' THEN date_trunc('milliseconds', ts - INTERVAL '1 minute') ELSE ts END"
+
+
 @query("valid_messages", sql=f"""
 SELECT event_id AS offset, ts AS timestamp, user_id AS meeting_id, event_id AS audio_id,
-       CAST(json_extract_string(props, '$.k') AS BIGINT) AS group_id, event_type AS text,
-       event_type <> 'purchase' AS is_partial
-FROM events
-WHERE event_type <> '{td.MALFORMED_EVENT_TYPE}' AND user_id <> 0 AND event_id <> 0
-  AND coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) <> 0""")
+       {_GROUP_SQL} AS group_id, event_type AS text, true AS is_partial, {_EVENT_TS} AS event_ts
+FROM events WHERE event_type NOT IN ('{td.MALFORMED_EVENT_TYPE}', '{td.MARKER_EVENT_TYPE}') AND {_HAS_IDS}""")
 def q_valid_messages(spark, d):
-    valid, _ = EV.decode_transcripts(td.transcript_messages(spark, d))
-    return valid
+    valid = EV.decode_transcripts(td.transcript_messages(spark, d))[0]
+    return valid.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))   # zone-free, as the events table
+
+
+@query("rejected_messages", sql=f"""
+SELECT event_id AS offset, CASE WHEN event_type = '{td.MALFORMED_EVENT_TYPE}' THEN 'malformed' ELSE 'missing_id' END AS reject_reason
+FROM events WHERE event_type = '{td.MALFORMED_EVENT_TYPE}' OR CASE WHEN event_type = '{td.MARKER_EVENT_TYPE}' THEN user_id = 0 ELSE NOT ({_HAS_IDS}) END""")
+def q_rejected_messages(spark, d):
+    return EV.decode_transcripts(td.transcript_messages(spark, d))[1].select("offset", "reject_reason")
+
+
+@query("final_markers", sql=f"""
+SELECT event_id AS offset, user_id AS meeting_id, ts AS event_ts FROM events
+WHERE event_type = '{td.MARKER_EVENT_TYPE}' AND user_id <> 0""")
+def q_final_markers(spark, d):
+    return EV.decode_transcripts(td.transcript_messages(spark, d))[2].select("offset", "meeting_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"))
+
+
+@query("normalized_tickets", sql=with_views("""
+SELECT ticket_id, meeting_id, title, status, CAST(NULL AS BIGINT) AS assignee_id, CAST(NULL AS VARCHAR) AS reason, created_at AS event_at FROM t
+UNION ALL
+SELECT h.ticket_id, t.meeting_id, NULL, h.new_status, h.l_suppkey, 'line ' || CAST(history_id AS VARCHAR), changed_at
+FROM h LEFT JOIN t ON t.ticket_id = h.ticket_id WHERE h.new_status <> 'TODO'""", h=TICKET_HISTORY, t=TICKETS))
+def q_normalized_tickets(spark, d):
+    rows = EV.with_meeting(EV.normalize_ticket_events(td.ticket_messages(spark, d)), td.tickets(spark, d))
+    return rows.select("ticket_id", "meeting_id", "title", "status", "assignee_id", "reason", F.col("timestamp").alias("event_at"))
 
 
 @query("json_props", sql="""

@@ -69,18 +69,22 @@ def q_await_transcript_timeout(spark, d):
 
 
 def valid_segments(spark, d):
-    valid, _ = EV.decode_transcripts(td.transcript_messages(spark, d))
-    return valid.select("meeting_id", "audio_id", "group_id", F.col("offset").alias("seq"), "text",
-                        "is_partial", F.col("timestamp").alias("ts"))
+    """Valid segments and the final markers of the wire."""
+    valid, _, markers = EV.decode_transcripts(td.transcript_messages(spark, d))
+    return valid.unionByName(markers).select("meeting_id", "audio_id", "group_id", F.col("offset").alias("seq"), "text",
+                                             "is_partial", F.col("event_ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("meeting_state", sql=f"""
-WITH v AS (SELECT event_id AS seq, ts, user_id AS meeting_id, event_id AS audio_id,
-                  CAST(json_extract_string(props, '$.k') AS BIGINT) AS group_id, event_type AS text,
-                  event_type <> 'purchase' AS is_partial
+WITH v AS (SELECT event_id AS seq, CASE WHEN event_type = '{td.TIMED_EVENT_TYPE}' THEN date_trunc('milliseconds', ts - INTERVAL '1 minute') ELSE ts END AS ts,
+                  user_id AS meeting_id, event_id AS audio_id,
+                  CAST(json_extract_string(props, '$.k') AS BIGINT) AS group_id, event_type AS text, true AS is_partial
            FROM events
-           WHERE event_type <> '{td.MALFORMED_EVENT_TYPE}' AND user_id <> 0 AND event_id <> 0
-             AND coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) <> 0)
+           WHERE event_type NOT IN ('{td.MALFORMED_EVENT_TYPE}', '{td.MARKER_EVENT_TYPE}') AND user_id <> 0 AND event_id <> 0
+             AND coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) <> 0
+           UNION ALL
+           SELECT event_id, ts, user_id, NULL, NULL, '', false FROM events
+           WHERE event_type = '{td.MARKER_EVENT_TYPE}' AND user_id <> 0)
 , l AS (SELECT *, NOT coalesce(is_partial, false) AS fin, lag(ts) OVER w AS pts,
                lag(NOT coalesce(is_partial, false)) OVER w AS pfin
         FROM v WINDOW w AS (PARTITION BY meeting_id ORDER BY ts, seq))

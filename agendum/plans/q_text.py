@@ -8,7 +8,7 @@ from agendum.functions.expressions import WHITESPACE_PATTERN
 from agendum.operators import text as X
 from agendum.plans.common import rounded
 from agendum.plans.registry import query
-from agendum.plans.sqlviews import (GROUP_MEMBERS, MEETINGS, ORDERED_TRANSCRIPTS, TICKETS,
+from agendum.plans.sqlviews import (GROUP_MEMBERS, MEETINGS, ORDERED_TRANSCRIPTS, SPOKEN_TRANSCRIPTS, TICKETS,
                                     TIMED_TRANSCRIPTS, USERS, with_views)
 from agendum.sources import testdata as td
 
@@ -22,6 +22,11 @@ def _tok(col: str) -> str:
     return f"list_filter(string_split_regex(lower({col}), '{WHITESPACE_PATTERN}'), lambda x: x <> '')"
 
 
+def _name_tok(col: str) -> str:
+    """DuckDB twin of ``text.name_tokens``."""
+    return f"list_filter(list_transform({_tok(col)}, lambda y: regexp_replace(y, '{X.NAME_EDGES}', '', 'g')), lambda z: z <> '')"
+
+
 @query("stitch_transcripts", sql=with_views(f"""
 , s AS (SELECT * FROM ot WHERE text IS NOT NULL AND text <> '')
 , l AS (SELECT *, lag(text) OVER (PARTITION BY meeting_id ORDER BY seq) AS prev FROM s)
@@ -106,27 +111,27 @@ def _intent_sql() -> str:
 
 
 @query("status_intent", sql=with_views(
-    f"SELECT meeting_id, seq, {_intent_sql()} AS intent FROM ot", ot=ORDERED_TRANSCRIPTS))
+    f"SELECT meeting_id, seq, {_intent_sql()} AS intent FROM ot", ot=SPOKEN_TRANSCRIPTS))
 def q_status_intent(spark, d):
-    return X.status_intent(td.ordered_transcripts(spark, d)).select("meeting_id", "seq", "intent")
+    return X.status_intent(td.spoken_transcripts(spark, d)).select("meeting_id", "seq", "intent")
 
 
 @query("detect_assignee", sql=with_views(f"""
 , seg AS (SELECT ot.meeting_id, seq, text, group_id FROM ot LEFT JOIN m ON m.meeting_id = ot.meeting_id)
-, nm AS (SELECT gm.group_id, gm.user_id, lower(u.name) AS lname, ({_tok('u.name')})[1] AS tok
+, nm AS (SELECT gm.group_id, gm.user_id, lower(u.name) AS lname, ({_name_tok('u.name')})[1] AS tok
          FROM gm JOIN u ON u.user_id = gm.user_id)
 , hits AS (SELECT seg.meeting_id, seg.seq, count(DISTINCT nm.user_id) AS n_named, min(nm.user_id) AS named_user
            FROM seg JOIN nm ON nm.group_id = seg.group_id
-           WHERE nm.tok IS NOT NULL AND list_contains({_tok('seg.text')}, nm.tok)
+           WHERE nm.tok IS NOT NULL AND list_contains({_name_tok('seg.text')}, nm.tok)
              AND instr(lower(seg.text), nm.lname) > 0
            GROUP BY ALL)
 SELECT seg.meeting_id, seg.seq,
        CASE WHEN n_named = 1 AND regexp_matches(seg.text, '{X.intent_pattern(X.OWNERSHIP_PHRASES).replace("'", "''")}')
             THEN named_user END AS assignee_id
 FROM seg LEFT JOIN hits ON hits.meeting_id = seg.meeting_id AND hits.seq = seg.seq""",
-    ot=ORDERED_TRANSCRIPTS, m=MEETINGS, gm=GROUP_MEMBERS, u=USERS))
+    ot=SPOKEN_TRANSCRIPTS, m=MEETINGS, gm=GROUP_MEMBERS, u=USERS))
 def q_detect_assignee(spark, d):
-    return X.detect_assignee(td.ordered_transcripts(spark, d), td.group_members(spark, d),
+    return X.detect_assignee(td.spoken_transcripts(spark, d), td.group_members(spark, d),
                              td.users(spark, d), td.meetings(spark, d))
 
 

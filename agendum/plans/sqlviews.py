@@ -4,7 +4,7 @@ SQL, for the oracle side. Built from the same fixed-value dictionaries."""
 from __future__ import annotations
 
 from agendum.sources.testdata import (ADMIN_EVERY, EVENT_STATUS, ORDER_STATUS,
-                                      RETURNFLAG_STATUS)
+                                      RETURNFLAG_STATUS, SPOKEN)
 
 
 def case(col: str, mapping: dict) -> str:
@@ -34,8 +34,12 @@ SELECT CAST(l_orderkey AS VARCHAR) AS ticket_id, CAST(l_linenumber AS BIGINT) AS
        l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice
 FROM lineitem"""
 
-MEETINGS = """
-SELECT c_custkey AS meeting_id, CAST(c_nationkey AS BIGINT) AS group_id FROM customer"""
+MEETING_AUDIOS = """
+SELECT c_custkey AS meeting_id, CAST(c_nationkey AS BIGINT) AS group_id, unnest([c_custkey * 10, c_custkey * 10 + 1]) AS audio_id
+FROM customer"""
+
+# One row per meeting: what a join from meetings to groups may see.
+MEETINGS = f"SELECT DISTINCT meeting_id, group_id FROM ({MEETING_AUDIOS})"
 
 USERS = """
 SELECT c_custkey AS user_id, c_name AS name,
@@ -53,6 +57,12 @@ ORDERED_TRANSCRIPTS = """
 SELECT conv_id AS meeting_id, conv_id * 10 + turn % 2 AS audio_id, turn AS seq,
        role AS speaker, text FROM conversations"""
 
+_SAID = ", ".join("'" + x + "'" for x in SPOKEN)
+SPOKEN_TRANSCRIPTS = f"""
+SELECT conv_id AS meeting_id, turn AS seq,
+       coalesce(text, '') || ' ' || replace(([{_SAID}])[turn % {len(SPOKEN)} + 1], '{{name}}', 'Customer#' || lpad(CAST(conv_id AS VARCHAR), 9, '0')) AS text
+FROM conversations"""
+
 AUDIO_CHUNKS = """
 SELECT lang AS meeting_id, doc_id AS seq, n_chars AS n_bytes FROM documents"""
 

@@ -14,20 +14,21 @@ def _s(*fields) -> StructType:
     return StructType([StructField(n, t, True) for n, t in fields])
 
 
-# Transcript delivery (partial text, or the final marker with empty text).
-TRANSCRIPT_MESSAGE = _s(("meetingId", LongType()), ("audioId", LongType()), ("groupId", LongType()),
+# Transcript delivery (partial text, or the final marker with empty text). Ids
+# come as numbers or strings: a string field takes both.
+TRANSCRIPT_MESSAGE = _s(("meetingId", StringType()), ("audioId", StringType()), ("groupId", StringType()),
                         ("transcript", StringType()), ("isPartial", BooleanType()),
                         ("timestamp", TimestampType()))
 
 TICKET_ITEM = _s(("ticketId", StringType()), ("title", StringType()), ("content", StringType()),
-                 ("status", StringType()), ("meetingId", LongType()), ("assigneeId", LongType()),
+                 ("status", StringType()), ("meetingId", StringType()), ("assigneeId", StringType()),
                  ("createdAt", TimestampType()), ("updatedAt", TimestampType()),
                  ("assigneeName", StringType()))
 
 # Superset of the bulk shape {meetingId, tickets[]} and the flat update shape.
-TICKET_EVENT_ENVELOPE = _s(("meetingId", LongType()), ("tickets", ArrayType(TICKET_ITEM)),
+TICKET_EVENT_ENVELOPE = _s(("meetingId", StringType()), ("tickets", ArrayType(TICKET_ITEM)),
                            ("ticketId", StringType()), ("status", StringType()),
-                           ("assigneeId", LongType()), ("assigneeName", StringType()),
+                           ("assigneeId", StringType()), ("assigneeName", StringType()),
                            ("reason", StringType()))
 
 # Model answer: new tickets, updates of existing tickets, meeting counters.

@@ -6,7 +6,7 @@ Kafka; decoding is ``from_json`` with a fixed schema (no inference).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agendum import schemas as S
@@ -19,16 +19,15 @@ def read_events(spark: SparkSession, source: str, schema=None, options: dict | N
 
     Kafka records are reduced to (key, value STRING, topic, partition, offset,
     timestamp); with a ``schema`` the JSON value is parsed and flattened,
-    unparsable values give NULL fields (PERMISSIVE).
+    unparsable values give NULL fields (PERMISSIVE). Lost offsets fail the
+    query and a trigger takes all there is, unless ``options`` say otherwise
+    (``failOnDataLoss``, ``maxOffsetsPerTrigger``).
     """
     opts = dict(options or {})
     reader = spark.readStream if stream else spark.read
     if fmt == "kafka":
         opts.setdefault("subscribe", source)
         opts.setdefault("startingOffsets", "latest" if stream else "earliest")
-        opts.setdefault("failOnDataLoss", "false")
-        if stream:
-            opts.setdefault("maxOffsetsPerTrigger", "1000")
         raw = reader.format("kafka").options(**opts).load()
         df = raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
                         "topic", "partition", "offset", "timestamp")
@@ -59,29 +58,51 @@ def read_table(spark: SparkSession, name: str, source: str, fmt: str = "parquet"
     return spark.read.format(fmt).options(**opts).load(f"{source}/{name}.{fmt}" if fmt == "parquet" else source)
 
 
-def decode_transcripts(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+def wire_id(col: str) -> Column:
+    """An id sent as a number or a string; NULL for what is neither."""
+    return F.col(col).try_cast("long")
+
+
+def decode_transcripts(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parse transcript deliveries; a missing payload counts as ``{}``.
-    Valid when meetingId, audioId and groupId are all present and non-zero
-    (JS falsy rule). Returns (valid, rejects with a reason)."""
+
+    Returns (valid, rejects with a reason, final markers). Valid rows have
+    meetingId, audioId and groupId, all non-zero (JS falsy rule). A meeting's
+    final marker has a meeting, ``isPartial`` false, no text and no audio: its
+    audio_id and group_id are NULL. ``event_ts`` is the payload's time, else the
+    record's; there is no clock fallback, so a replay gives the same rows."""
     parsed = messages.withColumn(
         "__p", F.from_json(F.coalesce(F.col(value), F.lit("{}")), S.with_corrupt(S.TRANSCRIPT_MESSAGE),
                            S.JSON_OPTIONS))
-    ids_ok = F.lit(True)
-    for c in ("meetingId", "audioId", "groupId"):
-        ids_ok = ids_ok & (F.coalesce(F.col(f"__p.{c}"), F.lit(0)) != 0)
+    given = lambda c: F.coalesce(wire_id(f"__p.{c}"), F.lit(0)) != 0
+    ids_ok = given("meetingId") & given("audioId") & given("groupId")
+    marker = (given("meetingId") & ~ids_ok & (F.col("__p.isPartial") == F.lit(False))
+              & (F.coalesce(F.col("__p.transcript"), F.lit("")) == ""))
+    record_ts = F.col("timestamp") if "timestamp" in messages.columns else F.lit(None).cast("timestamp")
     rest = [c for c in messages.columns if c != value]
     flat = parsed.select(*rest, value,
-                         F.col("__p.meetingId").alias("meeting_id"), F.col("__p.audioId").alias("audio_id"),
-                         F.col("__p.groupId").alias("group_id"), F.col("__p.transcript").alias("text"),
+                         wire_id("__p.meetingId").alias("meeting_id"), wire_id("__p.audioId").alias("audio_id"),
+                         wire_id("__p.groupId").alias("group_id"), F.col("__p.transcript").alias("text"),
                          F.coalesce(F.col("__p.isPartial"), F.lit(False)).alias("is_partial"),
-                         ids_ok.alias("__ok"),
+                         F.coalesce(F.col("__p.timestamp"), record_ts).alias("event_ts"),
+                         F.coalesce(F.when(ids_ok, "valid").when(marker, "marker"), F.lit("reject")).alias("__kind"),
                          (F.col("__p").isNull() | F.col(f"__p.{S.CORRUPT}").isNotNull()).alias("__bad"))
-    valid = flat.filter(F.col("__ok")).drop("__ok", "__bad", value)
-    rejects = (flat.filter(~F.col("__ok"))
+    valid = flat.filter(F.col("__kind") == "valid").drop("__kind", "__bad", value)
+    markers = (flat.filter(F.col("__kind") == "marker").drop("__kind", "__bad", value)
+               .withColumn("audio_id", F.lit(None).cast("long")).withColumn("group_id", F.lit(None).cast("long")))
+    rejects = (flat.filter(F.col("__kind") == "reject")
                .withColumn("reject_reason", F.when(F.col("__bad"), F.lit("malformed"))
                                               .otherwise(F.lit("missing_id")))
-               .drop("__ok", "__bad"))
-    return valid, rejects
+               .drop("__kind", "__bad"))
+    return valid, rejects, markers
+
+
+def with_meeting(events: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Flat updates name no meeting; they get their ticket's (a
+    stream-static join on a stream)."""
+    known = tickets.select("ticket_id", F.col("meeting_id").alias("__ticket_meeting"))
+    return (events.join(known, "ticket_id", "left")
+            .withColumn("meeting_id", F.coalesce("meeting_id", "__ticket_meeting")).drop("__ticket_meeting"))
 
 
 def normalize_ticket_events(messages: DataFrame, value: str = "value",
@@ -105,8 +126,8 @@ def normalize_ticket_events(messages: DataFrame, value: str = "value",
     return out.select(
         *keep,
         F.col("t.ticketId").alias("ticket_id"),
-        F.coalesce(F.col("t.meetingId"), F.col("__mid")).alias("meeting_id"),
+        F.coalesce(wire_id("t.meetingId"), wire_id("__mid")).alias("meeting_id"),
         F.col("t.title").alias("title"), F.col("t.content").alias("content"),
-        F.col("t.status").alias("status"), F.col("t.assigneeId").alias("assignee_id"),
+        F.col("t.status").alias("status"), wire_id("t.assigneeId").alias("assignee_id"),
         F.col("t.assigneeName").alias("assignee_name"), F.col("t.createdAt").alias("created_at"),
         F.col("t.updatedAt").alias("updated_at"), "reason")

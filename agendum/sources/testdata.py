@@ -7,11 +7,10 @@ logical table needs are selected, so Catalyst prunes the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agendum.functions.expressions import map_values
-from agendum.functions.partitioning import spread
 
 # --- fixed values -----------------------------------------------------------
 # How the generic test tables stand in for tickets and their statuses.
@@ -87,10 +86,11 @@ def ticket_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meeting to group mapping (one row per meeting)."""
+    """Meeting rows: one per audio, two audios a meeting."""
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("meeting_id"),
-                    F.col("c_nationkey").cast("long").alias("group_id"))
+                    F.col("c_nationkey").cast("long").alias("group_id"),
+                    F.explode(F.array(F.col("c_custkey") * 10, F.col("c_custkey") * 10 + 1)).alias("audio_id"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordered_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript segments in turn order; two audio streams per meeting."""
-    cv = spread(table(spark, sf_dir, "conversations"))
+    cv = table(spark, sf_dir, "conversations")
     return cv.select(
         F.col("conv_id").alias("meeting_id"),
         (F.col("conv_id") * 10 + F.col("turn") % 2).alias("audio_id"),
@@ -127,9 +127,27 @@ def ordered_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What is said in the turns of a conversation, by turn number modulo their count;
+# {name} is the meeting's own member.
+SPOKEN = ("The API documentation is in progress.", "The login page has been completed!", "Ask {name}, who will do it.",
+          "{name} is willing to listen.", "{name} is working on this.", "백엔드 작업이 완료되었습니다.", "Nothing new.")
+
+
+def member_name(meeting_id: str = "conv_id") -> Column:
+    return F.concat(F.lit("Customer#"), F.lpad(F.col(meeting_id).cast("string"), 9, "0"))
+
+
+def spoken_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript segments whose last sentence announces, assigns or does neither."""
+    said = F.element_at(F.array(*[F.lit(x) for x in SPOKEN]), (F.col("turn") % len(SPOKEN) + 1).cast("int"))
+    cv = table(spark, sf_dir, "conversations")
+    return cv.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seq"),
+                     F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.replace(said, F.lit("{name}"), member_name())).alias("text"))
+
+
 def transcript_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return spread(d.select("doc_id", "text"))
+    return d.select("doc_id", "text")
 
 
 def audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,21 +227,46 @@ def ticket_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MALFORMED_EVENT_TYPE = "error"   # these deliveries carry a cut-off JSON value
+# Event types that stand for special deliveries.
+MALFORMED_EVENT_TYPE = "error"   # a cut-off JSON value
+MARKER_EVENT_TYPE = "purchase"   # the meeting's final marker: no audio, no group, no text
+STRING_ID_EVENT_TYPE = "click"   # ids sent as strings
+TIMED_EVENT_TYPE = "signup"      # a payload time one minute before the record's
 
 
 def transcript_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript deliveries as a JSON ``value`` column, like a Kafka record."""
-    e = spread(table(spark, sf_dir, "events"))
-    payload = F.to_json(F.struct(
-        F.col("user_id").alias("meetingId"), F.col("event_id").alias("audioId"),
-        F.get_json_object("props", "$.k").cast("long").alias("groupId"),
-        F.col("event_type").alias("transcript"),
-        (F.col("event_type") != "purchase").alias("isPartial")))
-    value = F.when(F.col("event_type") == MALFORMED_EVENT_TYPE, F.substring(payload, 1, 20)).otherwise(payload)
+    e = table(spark, sf_dir, "events")
+    is_type = lambda t: F.col("event_type") == t
+    group = F.get_json_object("props", "$.k").cast("long")
+    fields = [("transcript", F.col("event_type")), ("isPartial", F.lit(True)),
+              ("timestamp", F.when(is_type(TIMED_EVENT_TYPE), F.col("ts") - F.expr("INTERVAL 1 MINUTE")))]
+
+    def payload(cast: str) -> Column:
+        ids = [("meetingId", F.col("user_id")), ("audioId", F.col("event_id")), ("groupId", group)]
+        return F.to_json(F.struct(*[c.cast(cast).alias(n) for n, c in ids], *[c.alias(n) for n, c in fields]))
+
+    marker = F.to_json(F.struct(F.col("user_id").alias("meetingId"), F.lit("").alias("transcript"), F.lit(False).alias("isPartial")))
+    value = (F.when(is_type(MALFORMED_EVENT_TYPE), F.substring(payload("long"), 1, 20)).when(is_type(MARKER_EVENT_TYPE), marker)
+             .when(is_type(STRING_ID_EVENT_TYPE), payload("string")).otherwise(payload("long")))
     return e.select(F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"), value.alias("value"))
 
 
+def ticket_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticket deliveries: per order one bulk message that creates it, per
+    lineitem with a status one flat update, which names no meeting."""
+    o = table(spark, sf_dir, "orders")
+    created = o.select(F.col("o_orderdate").alias("timestamp"), F.to_json(F.struct(
+        F.col("o_custkey").cast("string").alias("meetingId"), F.array(F.struct(
+            F.col("o_orderkey").cast("string").alias("ticketId"), F.col("o_orderpriority").alias("title"),
+            map_values("o_orderstatus", ORDER_STATUS).alias("status"))).alias("tickets"))).alias("value"))
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") != "N")
+    updated = li.select(F.col("l_shipdate").alias("timestamp"), F.to_json(F.struct(
+        F.col("l_orderkey").cast("string").alias("ticketId"), map_values("l_returnflag", RETURNFLAG_STATUS).alias("status"),
+        F.col("l_suppkey").alias("assigneeId"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("reason"))).alias("value"))
+    return created.unionByName(updated)
+
+
 MALFORMED_PRIORITY = "5-LOW"   # analysis documents of these orders are cut off
 
 
@@ -231,7 +274,7 @@ def analysis_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model-answer JSON document per order (meeting = its customer):
     open lines propose new tickets, finished lines update tickets (lines
     flagged N point at ids that do not exist)."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     status = map_values("l_returnflag", RETURNFLAG_STATUS)
@@ -247,8 +290,14 @@ def analysis_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("newStatus"),
         F.when(F.col("l_tax") >= 0.04, F.col("l_suppkey")).alias("assigneeId"),
         F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("reason")))
+
+    def in_order(item: Column) -> Column:
+        """The order's items by line (an order has a handful)."""
+        key = F.struct(*[F.col(c) for c in HISTORY_TIEBREAK])
+        return F.transform(F.array_sort(F.collect_list(F.when(item.isNotNull(), F.struct(key.alias("k"), item.alias("i"))))), lambda x: x["i"])
+
     docs = j.groupBy("o_orderkey", "o_custkey", "o_orderpriority").agg(
-        F.collect_list(new_item).alias("newTickets"), F.collect_list(upd_item).alias("ticketUpdates"),
+        in_order(new_item).alias("newTickets"), in_order(upd_item).alias("ticketUpdates"),
         F.struct(F.sum((F.col("l_linestatus") == "F").cast("long")).alias("actionableItemsCount"),
                  F.count(F.lit(1)).alias("statusUpdatesCount"),
                  F.sum((F.col("l_returnflag") == "R").cast("long")).alias("blockersMentioned")).alias("meetingMetrics"))

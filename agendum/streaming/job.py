@@ -3,25 +3,26 @@ metric tables out.
 
     transcripts ─┐
                  ├─ productivity_score (A2, J1) ──┐
-    tickets ─────┼─ ticket_metrics (A3) ──────────┼─ route_metrics (S3) → topics (S2)
-                 │                                └─ foreachBatch tables (S5, Z10)
-                 └─ (trends run as a batch job, or chained on window_time)
+    tickets ─────┼─ ticket_metrics (A3) ──────────┼─ one foreachBatch per metric: topic (S3)
+    transcripts ─┴─ save_windows (Z6, with final  ┘  and table (S5, Z10), the hour-of-day
+                    markers)                         pattern upserted
 
-Every query gets its own checkpoint under the session's
+Trends run as a batch job over the metric tables. Every query gets its own checkpoint under the session's
 ``spark.checkpoint.dir``; shuffle partitions are fixed by the first
 checkpoint, so they are set before the first start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agendum.operators import metrics as M
 from agendum.sinks import writers as W
-from agendum.sources.events import decode_transcripts, normalize_ticket_events, read_events
+from agendum.streaming import operators as Z
+from agendum.sources.events import decode_transcripts, normalize_ticket_events, read_events, with_meeting
 from agendum.session import stream_checkpoint
 
 # --- fixed values -----------------------------------------------------------
@@ -30,51 +31,83 @@ TOPICS = {"transcripts": "transcription.completed", "ticket_created": "ticket.cr
 # ---------------------------------------------------------------------------
 
 
-def transcript_stream(raw: DataFrame) -> DataFrame:
+def transcript_stream(raw: DataFrame, with_markers: bool = False) -> DataFrame:
     """Kafka-shaped records → valid transcript segments with event time
     (payload time if present, else the record time)."""
-    valid, _ = decode_transcripts(raw)
-    ts = F.col("timestamp") if "timestamp" in valid.columns else F.current_timestamp()
-    return valid.withColumn("ts", ts).withColumn("seq", F.col("offset") if "offset" in valid.columns else F.lit(None))
+    valid, _, markers = decode_transcripts(raw)
+    both = valid if not with_markers else valid.unionByName(markers)
+    return both.withColumnRenamed("event_ts", "ts").withColumn("seq", F.col("offset") if "offset" in both.columns else F.lit(None))
 
 
-def ticket_stream(raw_created: DataFrame, raw_updated: DataFrame) -> DataFrame:
-    """Both ticket topics → one row per ticket event with event time."""
+def ticket_stream(raw_created: DataFrame, raw_updated: DataFrame, tickets: DataFrame | None = None) -> DataFrame:
+    """Both ticket topics → one row per ticket event with event time. Flat
+    updates take their meeting from the ticket table, if one is given."""
     created = normalize_ticket_events(raw_created).withColumn("event_type", F.lit("created"))
     updated = normalize_ticket_events(raw_updated).withColumn("event_type", F.lit("updated"))
+    if tickets is not None:
+        updated = with_meeting(updated, tickets).select(*created.columns)
     both = created.unionByName(updated)
     return both.withColumn("ts", F.coalesce("updated_at", "created_at", "timestamp"))
 
 
 def build(spark: SparkSession, sources: Mapping[str, DataFrame] | None = None,
-          window: str = "1 minute", fmt: str = "kafka",
-          options: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+          window: str = "1 minute", fmt: str = "kafka", options: Mapping[str, str] | None = None,
+          tickets: DataFrame | None = None) -> dict[str, DataFrame]:
     """The job's output frames (not started). ``sources`` may hand in
-    prepared raw streams (tests); otherwise the three topics are read."""
+    prepared raw streams (tests); otherwise the three topics are read.
+    ``tickets``: the ticket table, from which flat updates get their meeting.
+    Repeated deliveries (same topic offset) count once."""
     if sources is None:
         sources = {k: read_events(spark, topic, options=options, fmt=fmt) for k, topic in TOPICS.items()}
-    tr = transcript_stream(sources["transcripts"])
-    tk = ticket_stream(sources["ticket_created"], sources["ticket_updated"])
+    raw = sources["transcripts"]
+    tr = _once(transcript_stream(raw), "2 minutes")
+    tk = _once(ticket_stream(sources["ticket_created"], sources["ticket_updated"], tickets), "10 minutes", ["event_type", "ticket_id"])
+    saves = Z.save_windows(_once(transcript_stream(raw, with_markers=True), "2 minutes"), watermark=None)
     return {
-        "ticket_metrics": M.ticket_metrics(tk, window),
-        "productivity": M.productivity_score(tr, tk, window),
+        "ticket_metrics": M.ticket_metrics(tk, window, watermark=None),
+        "productivity": M.productivity_score(tr, tk, window, transcript_watermark=None, ticket_watermark=None),
+        "transcript_saves": saves,
     }
 
 
+def _once(events: DataFrame, delay: str, more: Sequence[str] = ()) -> DataFrame:
+    """Z4 on the wire: one row per record, remembered within the watermark,
+    which later operators of the query share."""
+    if not events.isStreaming:
+        return events
+    keys = [c for c in ("topic", "partition", "offset", *more) if c in events.columns]
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+
+
 def start(spark: SparkSession, outputs: Mapping[str, DataFrame], metrics_target: str,
           topic_fmt: str = "kafka", topic_options: Mapping[str, str] | None = None,
           topic_path: str | None = None, prefix: str = "") -> list:
-    """Start one routing query per metric kind plus one table sink each.
-    Query names (and so checkpoints) are stable across restarts; ``prefix``
-    separates independent deployments."""
-    queries = []
-    for kind, df in outputs.items():
-        routed = W.route_metrics({kind: df})
-        queries.append(W.write_events(routed, None, stream_checkpoint(spark, f"{prefix}route_{kind}"),
-                                      fmt=topic_fmt, options=topic_options,
-                                      path=f"{topic_path}/{kind}" if topic_path else None))
-        queries.append(W.start_metric_sink(df, {kind: lambda b: b}, metrics_target, f"{prefix}table_{kind}"))
-    return queries
+    """Start one query per metric. Each micro-batch is kept once and written to
+    its table and, where the metric has a topic, to the topic. Query names (and
+    so checkpoints) are stable across restarts; ``prefix`` separates independent
+    deployments."""
+    def writer(kind: str):
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.persist()
+            try:
+                W.write_metric_batch(batch, kind, metrics_target, batch_id)
+                if kind in W.METRIC_TOPICS:
+                    routed = W.route_metrics({kind: batch}).write.format(topic_fmt).options(**(topic_options or {}))
+                    if topic_path:
+                        routed.mode("overwrite").save(f"{topic_path}/{kind}/batch_id={batch_id}")
+                    else:
+                        routed.save()
+                if kind == "productivity":
+                    hourly = M.hourly_pattern(batch)
+                    W.upsert_metric_table(spark, hourly, f"{metrics_target}/hourly_pattern", ["hour_of_day"],
+                                          [c for c in hourly.columns if c != "hour_of_day"], batch_id)
+            finally:
+                batch.unpersist()
+        return write
+
+    return [df.writeStream.outputMode("append").queryName(f"{prefix}{kind}")
+            .option("checkpointLocation", stream_checkpoint(spark, f"{prefix}{kind}"))
+            .foreachBatch(writer(kind)).start() for kind, df in outputs.items()]
 
 
 def main() -> None:  # pragma: no cover - cluster entry point

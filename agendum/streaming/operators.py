@@ -93,8 +93,9 @@ def await_transcripts(requests: DataFrame, transcripts: DataFrame, bound: str =
     Batch twin: a range join made an equi-join on (meeting, time bucket of
     ``bound`` width): a request looks only at its own and the next bucket,
     so a busy meeting is not compared all-against-all. Streams use Spark's
-    interval join with watermarks on both sides (left outer, append mode)
-    and return matched pairs; a NULL transcript marks a time-out."""
+    interval join with watermarks on both sides (left outer, append mode), then
+    one row per request: the first match, or none, once the watermark has
+    passed the request's bound."""
     if requests.isStreaming:
         r = watermarked(requests, ts, watermark).select(
             request_id, F.col(key).alias("__rk"), F.col(ts).alias("requested_at"))
@@ -103,8 +104,10 @@ def await_transcripts(requests: DataFrame, transcripts: DataFrame, bound: str =
         cond = ((F.col("__rk") == F.col("__tk")) & (F.col("transcript_at") >= F.col("requested_at"))
                 & (F.col("transcript_at") <= F.col("requested_at") + _interval(bound)))
         j = r.join(t, cond, "left_outer")
-        return j.select(request_id, F.col("__rk").alias(key), "requested_at", "transcript_at",
-                        F.col("transcript_at").isNull().alias("timed_out"))
+        g = (j.groupBy(F.window("requested_at", f"{bound_seconds} seconds").alias("__w"), request_id, F.col("__rk").alias(key))
+             .agg(F.min("requested_at").alias("requested_at"), F.min("transcript_at").alias("first_transcript_at")))
+        return g.select(request_id, key, "requested_at", "first_transcript_at",
+                        F.col("first_transcript_at").isNull().alias("timed_out"))
     bucket = lambda c: F.floor(F.unix_timestamp(F.col(c)) / F.lit(bound_seconds))
     r = requests.select(request_id, key, F.col(ts).alias("requested_at"))
     r2 = r.withColumn("__b", F.explode(F.array(bucket("requested_at"), bucket("requested_at") + 1)))

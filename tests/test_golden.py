@@ -79,10 +79,14 @@ def test_decode_transcripts_rules(spark):
         ('{"meetingId": 0, "audioId": 315, "groupId": 1, "transcript": "zero"}',),
         ('{"meetingId": 131, "groupId": 1, "transcript": "no audio"}',),
         ('{"meetingId": 131, "audioId": ',),
+        ('{"meetingId": "131", "audioId": "316", "groupId": "1", "transcript": "as strings", "isPartial": true}',),
+        ('{"meetingId": 131, "transcript": "", "isPartial": false}',),
         (None,),
     ], "value string")
-    valid, rejects = EV.decode_transcripts(msgs)
-    assert rows_of(valid, ["meeting_id", "audio_id", "group_id", "text", "is_partial"]) == [(131, 315, 1, "hi", True)]
+    valid, rejects, markers = EV.decode_transcripts(msgs)
+    assert rows_of(valid, ["meeting_id", "audio_id", "group_id", "text", "is_partial"]) == [
+        (131, 315, 1, "hi", True), (131, 316, 1, "as strings", True)]
+    assert rows_of(markers, ["meeting_id", "audio_id", "group_id", "is_partial"]) == [(131, None, None, False)]
     assert sorted(r.reject_reason for r in rejects.collect()) == ["malformed", "missing_id", "missing_id", "missing_id"]
 
 
@@ -94,18 +98,27 @@ def test_normalize_ticket_events_both_shapes(spark):
     ], "value string")
     got = rows_of(EV.normalize_ticket_events(msgs), ["ticket_id", "meeting_id", "status", "assignee_id"])
     assert got == [("a", 131, "TODO", None), ("a", None, "DONE", 1), ("b", 131, "IN_PROGRESS", 2)]
+    tickets = spark.createDataFrame([("a", 131)], "ticket_id string, meeting_id long")
+    full = rows_of(EV.with_meeting(EV.normalize_ticket_events(msgs), tickets), ["ticket_id", "meeting_id", "status"])
+    assert full == [("a", 131, "DONE"), ("a", 131, "TODO"), ("b", 131, "IN_PROGRESS")]
 
 
 def test_patch_keeps_blank_and_clears_null_assignee(spark):
     base = spark.createDataFrame([("t1", "Write document", "body", "TODO", 5)],
                                  "ticket_id string, title string, content string, status string, assignee_id long")
-    p = spark.createDataFrame([("t1", "", None, "", True, None), ("zz", "x", None, "DONE", False, None)],
-                              "ticket_id string, title string, content string, status string, "
-                              "has_assignee_id boolean, assignee_id long")
-    r = R.patch(base, p).collect()
+    schema = "ticket_id string, title string, content string, status string, has_assignee_id boolean, assignee_id long, at int"
+    p = spark.createDataFrame([("t1", "", None, "", True, None, 1), ("zz", "x", None, "DONE", False, None, 1)], schema)
+    r = R.patch(base, p, ["at"]).collect()
     assert len(r) == 1
-    assert (r[0].title, r[0].content, r[0].status, r[0].assignee_id, r[0].emits_update) == \
-        ("Write document", "body", "TODO", None, False)
+    assert (r[0].title, r[0].content, r[0].status, r[0].assignee_id, r[0].status_updates) == \
+        ("Write document", "body", "TODO", None, 0)
+    # Earlier patches stay: a later one without a title keeps the title set before.
+    p = spark.createDataFrame([("t1", "", None, "DONE", False, 9, 3), ("t1", "New", None, "IN_PROGRESS", True, 7, 1),
+                               ("t1", "", "text", None, False, None, 2)], schema)
+    r = R.patch(base, p, ["at"]).first()
+    assert (r.title, r.content, r.status, r.assignee_id, r.status_updates) == ("New", "text", "DONE", 7, 2)
+    assert rows_of(R.patch_events(base.withColumn("meeting_id", F.lit(5)), p), ["ticket_id", "meeting_id", "status"]) == [
+        ("t1", 5, "DONE"), ("t1", 5, "IN_PROGRESS")]
 
 
 def test_upsert_is_idempotent(spark):
@@ -130,12 +143,15 @@ def test_detect_assignee_golden_meeting(spark):
         (131, 1, "James will write the document tomorrow. And Julia is designing the UI right now."),
         (131, 2, "James will write the document tomorrow."),
         (131, 3, "Julia likes coffee."),
+        (131, 4, "Ask James, he will do it."),
+        (131, 5, "James is willing to listen."),
+        (131, 6, "James is working on this."),
     ], "meeting_id long, seq long, text string")
     members = spark.createDataFrame([(1, 1, "ADMIN"), (1, 2, "MEMBER")], "group_id long, user_id long, role string")
     users = spark.createDataFrame([(1, "James"), (2, "Julia")], "user_id long, name string")
-    meetings = spark.createDataFrame([(131, 1)], "meeting_id long, group_id long")
+    meetings = spark.createDataFrame([(131, 1, 315), (131, 1, 316)], "meeting_id long, group_id long, audio_id long")
     got = rows_of(X.detect_assignee(segs, members, users, meetings), ["seq", "assignee_id"])
-    assert got == [(1, None), (2, 1), (3, None)]
+    assert got == [(1, None), (2, 1), (3, None), (4, 1), (5, None), (6, 1)]
 
 
 def test_status_intent_korean_and_english(spark):

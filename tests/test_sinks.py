@@ -72,13 +72,20 @@ def test_job_wiring_on_file_streams(spark, tmp_path):
          (2, "2024-03-20 11:00:00", json.dumps({"meetingId": 131, "tickets": [
              {"ticketId": "c", "title": "later", "status": "TODO", "createdAt": "2024-03-20T11:00:00"}]}))],
         "offset long, timestamp string, value string").withColumn("timestamp", F.to_timestamp("timestamp"))
-    updated = created.limit(0)
+    updated = spark.createDataFrame(
+        [(7, f"{base}40", json.dumps({"ticketId": "a", "status": "DONE", "reason": "done"})),
+         (7, f"{base}40", json.dumps({"ticketId": "a", "status": "DONE", "reason": "done"}))],      # delivered twice
+        "offset long, timestamp string, value string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    marker = spark.createDataFrame([(6, f"{base}50", json.dumps({"meetingId": 131, "transcript": "", "isPartial": False}))],
+                                   "offset long, timestamp string, value string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    tr = tr.unionByName(marker)
+    tickets = spark.createDataFrame([("a", 131), ("b", 131)], "ticket_id string, meeting_id long")
     srcs = {}
     for name, df in (("transcripts", tr), ("ticket_created", created), ("ticket_updated", updated)):
         path = f"{tmp_path}/{name}"
         df.write.parquet(path)
         srcs[name] = spark.readStream.schema(df.schema).parquet(path)
-    outs = job.build(spark, srcs, window="1 minute")
+    outs = job.build(spark, srcs, window="1 minute", tickets=tickets)
     target = f"{tmp_path}/metrics"
     queries = job.start(spark, outs, target, topic_fmt="json", topic_path=f"{tmp_path}/topics",
                         prefix=f"t{uuid.uuid4().hex[:8]}_")
@@ -86,8 +93,12 @@ def test_job_wiring_on_file_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     tm = spark.read.parquet(f"{target}/ticket_metrics")
-    assert rows_of(tm, ["meeting_id", "actionable_items_count", "status_updates_count"]) == [(131, 1, 2)]
+    assert rows_of(tm, ["meeting_id", "actionable_items_count", "status_updates_count"]) == [(131, 2, 3)]
     prod = spark.read.parquet(f"{target}/productivity")
-    assert rows_of(prod, ["meeting_id", "segment_count", "ticket_count"]) == [(131, 5, 2)]
+    assert rows_of(prod, ["meeting_id", "segment_count", "ticket_count"]) == [(131, 5, 3)]
+    saves = spark.read.parquet(f"{target}/transcript_saves")
+    assert rows_of(saves, ["text", "is_final"]) == [("", True), ("seg 1 seg 2 seg 3 seg 4 seg 5", False)]
+    hours = spark.read.parquet(f"{target}/hourly_pattern/versions")
+    assert {r.hour_of_day for r in hours.collect()} == {10}
     routed = spark.read.json(f"{tmp_path}/topics/productivity")
     assert {r.topic for r in routed.collect()} == {"analytics.productivity"}

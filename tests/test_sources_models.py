@@ -35,7 +35,7 @@ def test_read_events_directory_stream(spark, tmp_path):
 def test_decode_json_flattens(spark):
     df = spark.createDataFrame([(1, '{"meetingId": 5, "transcript": "x"}')], "offset long, value string")
     out = decode_json(df, S.TRANSCRIPT_MESSAGE).collect()[0]
-    assert (out.offset, out.meetingId, out.transcript) == (1, 5, "x")
+    assert (out.offset, out.meetingId, out.transcript) == (1, "5", "x")
 
 
 def test_models_fit_on_batch_and_score_a_stream(spark, tmp_path):
