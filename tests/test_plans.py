@@ -6,9 +6,12 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as E
+import __spark_entry__ as E  # noqa: F401 - puts the repository on the path
+from agendum.plans import registry
+from agendum.plans.registry import load_all
 
-QUERIES = E.queries()
+load_all()
+QUERIES = dict(registry.QUERIES)
 
 
 def physical(df) -> str:
@@ -41,3 +44,16 @@ def test_score_join_needs_no_extra_shuffle(spark, sf_dir):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "SortMergeJoin" in executed
     assert executed.count("Exchange hashpartitioning") == 2
+
+
+def test_latency_percentiles_scan_once_and_rank_inside_bands(spark, sf_dir):
+    plan = QUERIES["latency_stats"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # Whatever ranks values is partitioned by (metric, band); the prefix sums
+    # by metric alone run over the table of bands.
+    values = [line for line in plan.splitlines() if "Window [" in line and "[v#" in line]
+    assert values and all("band#" in line for line in values)
+
+
+def test_patches_are_folded_without_a_window(spark, sf_dir):
+    plan = QUERIES["patch_tickets"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("max_by") >= 3
