@@ -121,25 +121,31 @@ def match_titles(mentions: DataFrame, tickets: DataFrame, threshold: float = 0.5
     tokens of each. The order used is (frequency among ticket titles, token):
     tokens no ticket has come first and can never pair, and common title words
     come last, so few candidates are produced. Candidates come from an
-    equi-join on prefix tokens, then the exact similarity is verified.
+    equi-join on prefix tokens and pass a length and a positional filter (the
+    pair's first common token always does), then the exact similarity is verified.
     """
     m = _token_sets(mentions, mention_id, mention_text, block)
     t = _token_sets(tickets, ticket_id, title, block)
     freq = (t.select(F.explode("__set").alias("tok")).groupBy("tok")
             .agg(F.count(F.lit(1)).alias("f")))
 
-    def prefixes(s: DataFrame) -> DataFrame:
-        e = s.select(*block, "__id", F.explode("__set").alias("tok"), F.size("__set").alias("__n"))
-        e = e.join(freq, "tok", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    def prefixes(s: DataFrame, tag: str) -> DataFrame:
+        e = (s.select(*block, "__id", F.explode("__set").alias("tok"), F.size("__set").alias("__n"))
+             .join(freq, "tok"))                     # tokens no ticket has can't pair; they come first in the order
+        of_set = Window.partitionBy(*block, "__id")
+        unseen = F.col("__n") - F.count(F.lit(1)).over(of_set)
         # the epsilon keeps n * t from rounding up past an integer
         plen = F.col("__n") - F.ceil(F.col("__n") * F.lit(threshold) - F.lit(1e-9)) + 1
-        w = Window.partitionBy(*block, "__id").orderBy("f", "tok")
-        return (e.withColumn("__pos", F.row_number().over(w))
-                 .filter((F.col("__pos") <= plen) & (F.col("f") > 0))     # f = 0: no ticket has it
-                 .select(*block, "__id", "tok"))
-
-    cand = (prefixes(m).join(prefixes(t).withColumnRenamed("__id", "__tid"), [*block, "tok"])
-            .select(*block, F.col("__id").alias("__mid"), "__tid").distinct())
+        return (e.withColumn("__pos", unseen + F.row_number().over(of_set.orderBy("f", "tok")))
+                 .filter(F.col("__pos") <= plen)
+                 .select(*block, F.col("__id").alias(f"__{tag}id"), "tok", F.col("__n").alias(f"__{tag}n"), F.col("__pos").alias(f"__{tag}pos")))
+
+    nm, nt = F.col("__mn"), F.col("__tn")
+    need = F.ceil((nm + nt) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    cand = (prefixes(m, "m").join(prefixes(t, "t"), [*block, "tok"])
+            .filter(F.least(nm, nt) >= F.greatest(nm, nt) * F.lit(threshold) - F.lit(1e-9))          # sizes allow it
+            .filter(F.least(nm - F.col("__mpos"), nt - F.col("__tpos")) + 1 >= need)                  # so do the places
+            .select(*block, "__mid", "__tid").distinct())
     ms = m.select(*block, F.col("__id").alias("__mid"), F.col("__set").alias("__ms"))
     ts_ = t.select(*block, F.col("__id").alias("__tid"), F.col("__set").alias("__ts"))
     j = cand.join(ms, [*block, "__mid"]).join(ts_, [*block, "__tid"])
