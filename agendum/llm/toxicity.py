@@ -243,7 +243,7 @@ def fit(rows: pa.Table) -> Model:
         for k, v in enumerate(sketch):
             seen.setdefault((k, v), []).append(i)
         kept.append(i)
-    rows = rows.take(kept)
+    rows = rows.take(pa.array(kept, pa.int64()))
     label = rows.column("toxic").to_numpy()
     found_in = rows.column("words").to_pylist()
     n_bad = int(label.sum())

@@ -61,7 +61,7 @@ def test_odd_texts_and_clashing_columns(spark, model):
     rows = X.score(docs, model, "tox").collect()
     assert len(rows) == docs.count() and all(0 <= r.tox <= 1 for r in rows)
     by_id = {r.doc_id: r.tox for r in rows}
-    assert by_id[0] == by_id[1] == by_id[2] < X.THRESHOLD and by_id[10] == by_id[11]
+    assert by_id[0] == by_id[1] == by_id[2] == by_id[10] < X.THRESHOLD and by_id[11] == by_id[12]
 
 
 def test_no_labels_of_one_class_and_empty_tables(spark):
