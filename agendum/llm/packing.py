@@ -20,6 +20,7 @@ input are ignored. A null doc_id stays null.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agendum.llm.storage import cut, ship_code
-from agendum.llm.wordhash import _BYTE, byte_set, mix, slices
+from agendum.llm.wordhash import _BYTE, SLICE_BYTES, byte_set, mix, slices
 
 LENGTH = 1024
 END_ID = 0
 DIMS, BITS = 4, 12
-CACHE = 300_000   # chunks a worker remembers
+CACHE = 350_000   # chunks in each of the two generations a worker remembers
 
 _U = np.uint64
 _STOP = byte_set((0x00, 0x20))
@@ -52,7 +53,7 @@ def tokenizer(path: str):
         from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True   # their strings in a text are ordinary text
-        _worker.update(path=path, tokenizer=t, cache={})
+        _worker.update(path=path, tokenizer=t, cache=[{}, {}])
     return _worker["tokenizer"], _worker["cache"]
 
 
@@ -75,7 +76,7 @@ def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cutp)
 
 
-def encode_slice(tok, cache: dict, data: np.ndarray, off: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(tok, cache: list, data: np.ndarray, off: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, ids per text). ``whole``: texts to encode in one piece."""
     n = len(off) - 1
     if not len(data):
@@ -93,19 +94,26 @@ def encode_slice(tok, cache: dict, data: np.ndarray, off: np.ndarray, whole: np.
     key = mix(np.add.reduceat(_BYTE[data] * power[place], starts) + width.astype(np.uint64))
     uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
     keys = uniq.tolist()
-    new = [i for i, k in enumerate(keys) if k not in cache]
-    if new:
+    if len(cache[0]) > CACHE:
+        cache[:] = {}, cache[0]
+    young, old = cache
+    parts, unknown = [], []
+    for i, k in enumerate(keys):
+        ids = young.get(k)
+        if ids is None:
+            ids = old.get(k)
+            if ids is None:
+                unknown.append(i)
+            else:
+                young[k] = ids
+        parts.append(ids)
+    if unknown:
         raw = data.tobytes()
-        strings = [raw[starts[first[i]]:ends[first[i]]].decode("utf-8") for i in new]
-        if len(cache) + len(new) > CACHE:
-            keep = {k: cache[k] for k in keys if k in cache}
-            cache.clear()
-            cache.update(keep)
-        for i, e in zip(new, tok.encode_batch(strings, add_special_tokens=False), strict=True):
-            cache[keys[i]] = np.asarray(e.ids, np.uint32)
-    parts = [cache[k] for k in keys]
-    size = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-    flat = np.concatenate(parts)
+        strings = [raw[starts[first[i]]:ends[first[i]]].decode("utf-8") for i in unknown]
+        for i, e in zip(unknown, tok.encode_batch(strings, add_special_tokens=False), strict=True):
+            parts[i] = young[keys[i]] = array("I", e.ids).tobytes()
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat = np.frombuffer(b"".join(parts), np.uint32)
     base = np.cumsum(size) - size
     per_chunk = size[inverse]
     at = np.repeat(base[inverse] - (np.cumsum(per_chunk) - per_chunk), per_chunk) + np.arange(int(per_chunk.sum()))
@@ -169,7 +177,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         col = batch.column(1).cast(pa.large_string())
         whole = pc.fill_null(pc.match_substring_regex(col, _WIDE_SPACE), False).to_numpy(zero_copy_only=False)
         dtype = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
-        for i, j, data, off in slices(col):
+        for i, j, data, off in slices(col, 2 * SLICE_BYTES):
             ids, counts = encode_slice(tok, cache, data, off, whole[i:j])
             keys = curve_keys(ids, counts, table)
             counts = counts + 1
