@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agendum.llm.storage import broadcast_if_small, cut, ship_code
@@ -239,12 +239,17 @@ def least(n: F.Column, m: F.Column, percent: int) -> F.Column:
     return F.ceil((n + m) * percent / (100 + percent))
 
 
-def sketches_allow(n: F.Column, a: F.Column, m: F.Column, b: F.Column, percent: int) -> F.Column:
-    """Suffix filter: the sketches' differing bits don't exceed the symmetric difference of sets that link."""
+def bits_apart(a: F.Column, b: F.Column) -> F.Column:
+    """Bits in which two sketches differ: at most the symmetric difference of the sets."""
     apart = F.lit(0)
     for k in range(SKETCH_BITS // 64):
         apart = apart + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
-    return apart <= n + m - 2 * least(n, m, percent)
+    return apart
+
+
+def sketches_allow(n: F.Column, a: F.Column, m: F.Column, b: F.Column, percent: int) -> F.Column:
+    """Suffix filter: the sketches don't differ more than sets that link may."""
+    return bits_apart(a, b) <= n + m - 2 * least(n, m, percent)
 
 
 def sketched(pairs: DataFrame, classes: DataFrame, a: str, b: str, percent: int) -> DataFrame:
@@ -342,12 +347,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # Closing round: what is left between components.
     rows = with_roots(index, comp)
     mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    left = cut(rows.join(mixed, "token").join(classes.select("cls", "sketch"), "cls").drop("band"), "ngram-open")
-    open_pairs = (left.alias("x").join(left.alias("y"), "token")
-                  .where("x.root <> y.root and (x.n < y.n or (x.n = y.n and x.cls < y.cls))").where(may_link("x", "y", percent))
-                  .where(sketches_allow(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), percent))
-                  .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
-    comp = merge_components(comp, linked(docs, classes, open_pairs, width, percent))
+    # ``prev``: the open prefix shingle before this one. Where both rows of a pair
+    # have the same, the pair is found there already, so each run of common
+    # shingles gives a pair once.
+    left = cut(rows.join(mixed, "token").join(classes.select("cls", "sketch"), "cls").drop("band")
+               .withColumn("prev", F.lag("token").over(Window.partitionBy("cls").orderBy("pos", "token"))), "ngram-open")
+    open_pairs = cut(
+        left.alias("x").join(left.alias("y"), "token")
+        .where("x.root <> y.root and (x.n < y.n or (x.n = y.n and x.cls < y.cls))").where(may_link("x", "y", percent))
+        .where(~F.coalesce(F.col("x.prev") == F.col("y.prev"), F.lit(False)))
+        .where(sketches_allow(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), percent))
+        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"),
+                bits_apart(F.col("x.sketch"), F.col("y.sketch")).alias("apart")).distinct(), "ngram-open-pairs")
+    # First the nearest of each other component, which joins most components that
+    # belong together; then every pair that is still between components.
+    nearest = (open_pairs.groupBy("a", "rb").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b")
+               .union(open_pairs.groupBy("b", "ra").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")).distinct())
+    nearest = cut(nearest, "ngram-nearest")
+    comp = merge_components(comp, linked(docs, classes, nearest, width, percent))
+    of = comp.select("node", "root")
+    still = (open_pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+             .join(of.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
+             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    comp = merge_components(comp, linked(docs, classes, still, width, percent))
 
     first = classes.select("cls", F.col("doc_id").alias("first_id"))
     groups = comp.union(comp.select("root", "root").distinct())
