@@ -37,6 +37,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -44,7 +45,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from agendum.llm.storage import ship_code
 from agendum.llm.wordhash import mix, slices
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2500, 5000, 100_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 50_000
 LANDMARKS = 512
 ROUNDS = 4
 DECAY, REACH, WINDOW = 0.5, 6, 24
@@ -184,22 +185,26 @@ def _sample_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i + k, 1), pa.array([sketch], pa.list_(pa.int64())), pa.array([row_words], pa.list_(pa.binary()))], names=["toxic", "sketch", "words"])
 
 
-def _instances(found: list[bytes]):
-    c = np.frombuffer(b"".join(found), np.uint8)
-    n = np.fromiter(map(len, found), np.int64, len(found))
-    return c, np.cumsum(n) - n, n
+def _instances(found):
+    """(letters, start, length) of words: a list of bytes or an Arrow binary array."""
+    if isinstance(found, list):
+        found = pa.array(found, pa.binary())
+    found = pa.concat_arrays([found])       # no slice, no offset
+    off = np.frombuffer(found.buffers()[1], np.int32)[found.offset:found.offset + len(found) + 1].astype(np.int64)
+    c = np.frombuffer(found.buffers()[2], np.uint8) if off[-1] else np.zeros(0, np.uint8)
+    return c, off[:-1], np.diff(off)
 
 
 def _kernel(found: list[bytes], basis: np.ndarray) -> np.ndarray:
     """Kernel values of words and landmarks; ``basis``: a column of triple weights per landmark."""
-    out = np.zeros((len(found), basis.shape[1]))
-    for i in range(0, len(found), 500):
-        part = _instances(found[i:i + 500])
+    out = np.zeros((len(found), basis.shape[1]), np.float32)
+    for i in range(0, len(found), 100):
+        part = _instances(found[i:i + 100])
         who, feat, w = triples(*part)
         norm = np.sqrt(np.bincount(who, w * w, len(part[1])))
         order = np.argsort(who, kind="stable")
         heads = np.searchsorted(who[order], np.arange(len(part[1])))
-        out[i:i + 500] = np.add.reduceat(basis[feat[order]] * w[order][:, None], heads) / norm[:, None]
+        out[i:i + 100] = np.add.reduceat(basis[feat[order]] * w[order][:, None], heads) / norm[:, None]
     return out
 
 
@@ -213,14 +218,14 @@ def _basis(marks: list[bytes]) -> np.ndarray:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Primal squared-hinge SVM by finite Newton steps."""
-    z1 = np.column_stack([z, np.ones(len(z))])
+    z1 = np.column_stack([z, np.ones(len(z), np.float32)])
     ridge = np.eye(z1.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(z1.shape[1])
     active = np.ones(len(z), bool)
     for _ in range(30):
-        za = z1[active] * weight[active][:, None]
-        w = np.linalg.solve(za.T @ z1[active] + ridge, za.T @ y[active])
+        za = z1[active] * weight[active][:, None].astype(np.float32)
+        w = np.linalg.solve((za.T @ z1[active]).astype(float) + ridge, (za.T @ y[active].astype(np.float32)).astype(float))
         now = y * (z1 @ w) < 1
         if (now == active).all():
             break
@@ -245,73 +250,83 @@ def fit(rows: pa.Table) -> Model:
         kept.append(i)
     rows = rows.take(pa.array(kept, pa.int64()))
     label = rows.column("toxic").to_numpy()
-    found_in = rows.column("words").to_pylist()
     n_bad = int(label.sum())
-    names = sorted({x for found in found_in for x in found})
-    if not n_bad or n_bad == len(label) or not names:
+    lists = rows.column("words").combine_chunks() if len(rows) else pa.array([], pa.list_(pa.binary()))
+    size = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    words = coded.indices.to_numpy().astype(np.int32)    # the texts' words, by number
+    names = coded.dictionary                              # each distinct word once
+    if not n_bad or n_bad == len(label) or not len(names):
         return none
-    number = {x: i for i, x in enumerate(names)}
-    texts = [np.array([number[x] for x in found], np.int64) for found in found_in]
-    bad_texts = [t for t, y in zip(texts, label, strict=True) if y]
-    calm = np.bincount(np.concatenate([t for t, y in zip(texts, label, strict=True) if not y] + [np.zeros(0, np.int64)]), minlength=len(names))
-    sure = _telling_words(bad_texts, calm, len(names), len(label) - n_bad)
+    text = np.repeat(np.arange(len(label), dtype=np.int32), size)
+    in_bad = label[text] > 0
+    calm = np.bincount(words[~in_bad], minlength=len(names))
+    sure = _telling_words(words[in_bad], text[in_bad], calm, len(label) - n_bad)
+    name = lambda at: names.take(pa.array(at, pa.int64())).to_pylist()
     clean = np.flatnonzero(calm >= 1)
-    bad = [names[i] for i in sure]
-    others = _with_insertions(bad, number)
-    frequent = clean[np.argsort(-calm[clean], kind="stable")[:2000]]
-    rest = clean[np.argsort([crc32(names[i]) for i in clean], kind="stable")[:2000]]
-    negative = dict.fromkeys(names[i] for i in np.concatenate([frequent, rest]) if i not in set(sure))
+    bad = name(sure)
+    others = _with_insertions(bad, names)
+    told = np.zeros(len(names), bool)
+    told[sure] = True
+    order = np.fromiter((crc32(x.as_py()) for x in names), np.int64, len(names))    # a fixed order of words, whatever the batches
+    calm_order = clean[np.lexsort((order[clean], -calm[clean]))]
+    negative = dict.fromkeys(name([i for i in [*calm_order[:2000], *clean[np.argsort(order[clean], kind="stable")[:2000]]] if not told[i]]))
     hard = list(negative)[:LANDMARKS // 4] + list(negative)[-LANDMARKS // 4:]
-    pool = _instances([names[i] for i in clean])
+    pool = _instances(names)
     for _ in range(ROUNDS):
         marks = list(dict.fromkeys(bad[:LANDMARKS // 3] + hard))[:LANDMARKS]
         basis = _basis(marks)
-        values, vectors = np.linalg.eigh(_kernel(marks, basis))
+        values, vectors = np.linalg.eigh(_kernel(marks, basis).astype(float))
         good = values > 1e-5 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         found = bad + others + list(negative)
         y = np.append(np.ones(len(bad) + len(others)), -np.ones(len(negative)))
         even = max(1.0, len(negative) / (len(bad) + len(others)))
         cost = np.concatenate([np.full(len(bad), 20 * even), np.full(len(others), 5 * even), np.full(len(negative), 20.0)])
-        w, bias = _svm(_kernel(found, basis) @ root, y, cost)
+        w, bias = _svm((_kernel(found, basis) @ root.astype(np.float32)), y, cost)
         weights = (basis @ (root @ w)).astype(np.float32)
-        scores = np.concatenate([raw_scores(pool[0], pool[1][i:i + 20000], pool[2][i:i + 20000], weights, bias) for i in range(0, len(clean), 20000)])
-        worst = [names[i] for i in clean[np.argsort(-scores, kind="stable")[:1000]] if i not in set(sure)]
+        scores = np.concatenate([raw_scores(pool[0], pool[1][i:i + 4000], pool[2][i:i + 4000], weights, bias) for i in range(0, len(names), 4000)])
+        worst = name([i for i in clean[np.lexsort((order[clean], -scores[clean]))][:1000] if not told[i]])
         negative |= dict.fromkeys(worst)
         hard = worst[:LANDMARKS // 2] + hard
-    raw = np.array([max([bias, *raw_scores(*_instances(f), weights, bias)]) if f else bias for f in found_in])
+    raw = np.full(len(label), bias)
+    full = np.flatnonzero(size)
+    if len(full):
+        raw[full] = np.maximum(bias, np.maximum.reduceat(scores[words], (np.cumsum(size) - size)[full]))
     return Model(weights, bias, *_curve(raw, label.astype(float)))
 
 
-def _telling_words(bad_texts: list[np.ndarray], calm: np.ndarray, n_words: int, n_calm: int) -> np.ndarray:
+def _telling_words(words: np.ndarray, text: np.ndarray, calm: np.ndarray, n_calm: int) -> np.ndarray:
     """Words that stand in toxic texts far oftener than chance allows, strongest
-    first. Texts that a found word explains are set aside, then the rest is
-    looked at alone, so that rarer kinds of insults are found as well."""
-    left, out = bad_texts, {}
+    first. ``words``, ``text``: the distinct words of each toxic text; ``calm``: clean
+    texts per word. Texts that a found word explains are set aside, then the rest
+    is looked at alone, so that rarer kinds of insults are found as well."""
+    out: dict = {}
     for _ in range(ROUNDS):
-        if not left:
+        if not len(words):
             break
-        n = np.bincount(np.concatenate(left), minlength=n_words)
-        share = len(left) / (len(left) + n_calm)
+        n = np.bincount(words, minlength=len(calm))
+        n_bad = len(np.unique(text))
+        share = n_bad / (n_bad + n_calm)
         both = n + calm
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = n * np.log(np.maximum(n, 1e-9) / (both * share)) + np.where(calm > 0, calm * np.log(np.maximum(calm, 1e-9) / (both * (1 - share))), 0)
         gain = np.where((n > both * share) & (n >= 3) & (calm <= 0.05 * n), gain, 0)
-        limit = np.log((both >= 3).sum() + 1) + 1
-        new = np.flatnonzero(gain >= limit)
+        new = np.flatnonzero(gain >= np.log((both >= 3).sum() + 1) + 1)
         if not len(new) and not out:
             new = np.argsort(-gain, kind="stable")[:20]
             new = new[gain[new] > 0]
         if not len(new):
             break
-        out |= {i: gain[i] for i in new if i not in out}
-        mark = np.zeros(n_words, bool)
-        mark[list(out)] = True
-        left = [t for t in left if not mark[t].any()]
+        out |= {int(i): gain[i] for i in new if int(i) not in out}
+        told = np.zeros(len(calm), bool)
+        told[list(out)] = True
+        left = ~np.isin(text, text[told[words]])
+        words, text = words[left], text[left]
     return np.array(sorted(out, key=lambda i: (-out[i], i))[:1500], np.int64)
 
 
-def _with_insertions(bad: list[bytes], known: dict) -> list[bytes]:
+def _with_insertions(bad: list[bytes], known: pa.Array) -> list[bytes]:
     """Each word with one letter put in, at two places: virtual examples."""
     out = []
     for x in bad[:300]:
@@ -319,10 +334,9 @@ def _with_insertions(bad: list[bytes], known: dict) -> list[bytes]:
             h = crc32(x)
             for k in range(2):
                 at = 1 + (h >> (8 * k)) % (len(x) - 1)
-                y = x[:at] + bytes([1 + (h >> (5 + 8 * k)) % 26]) + x[at:]
-                if y not in known:
-                    out.append(y)
-    return out
+                out.append(x[:at] + bytes([1 + (h >> (5 + 8 * k)) % 26]) + x[at:])
+    seen = pc.is_in(pa.array(out, pa.binary()), value_set=known).to_pylist() if out else []
+    return [x for x, s in zip(out, seen, strict=True) if not s]
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
