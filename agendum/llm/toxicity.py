@@ -45,7 +45,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from agendum.llm.storage import ship_code
 from agendum.llm.wordhash import mix, slices
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 50_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 30_000
 LANDMARKS = 512
 ROUNDS = 4
 DECAY, REACH, WINDOW = 0.5, 6, 24
@@ -293,7 +293,10 @@ def fit(rows: pa.Table) -> Model:
     full = np.flatnonzero(size)
     if len(full):
         raw[full] = np.maximum(bias, np.maximum.reduceat(scores[words], (np.cumsum(size) - size)[full]))
-    return Model(weights, bias, *_curve(raw, label.astype(float)))
+    model = Model(weights, bias, *_curve(raw, label.astype(float)))
+    del rows, lists, coded, words, names, text, pool, scores, order, basis
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _telling_words(words: np.ndarray, text: np.ndarray, calm: np.ndarray, n_calm: int) -> np.ndarray:
