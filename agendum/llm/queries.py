@@ -93,7 +93,7 @@ def op5(spark, sf_dir):
 
 @query("op6_license_scan")
 def op6(spark, sf_dir):
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+    return license_scan.scan_windows(table(spark, sf_dir, "documents")).drop("matches")
 
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
