@@ -5,8 +5,9 @@ which letters may be skipped: an occurrence that spans s letters weighs
 ``DECAY**(s - 3)``, up to ``REACH`` letters apart. So an insult with an inserted
 or a dropped character, or with another ending, still resembles the plain one.
 Punctuation inside a word is dropped and accents and look-alike digits are
-folded before; letters that stand alone one after another (``i d i o t``) are
-read as one word. A word longer than ``WINDOW`` letters is scored in
+folded before; letters outside a-z, of any script, share ``OTHERS`` codes by
+their place in Unicode; letters that stand alone one after another (``i d i o t``)
+are read as one word. Scripts without spaces between words are not segmented. A word longer than ``WINDOW`` letters is scored in
 overlapping windows.
 
 Training takes a bounded sample of labelled texts (``MAX_TOXIC``, ``MAX_CLEAN``
@@ -30,6 +31,7 @@ every score is 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,26 +56,46 @@ CLEAN_WEIGHT = 4
 SKETCH = 8
 
 _U = np.uint64
-ABC = 30                  # 0 ignored, 1-26 letters, 27 other letters, 28 word start, 29 word end
-OTHER, START, END, SPACE = 27, 28, 29, 255
+# 0 ignored, 1-26 letters, then OTHERS codes of other letters, word start, word end
+OTHERS = 48
+OTHER = 27
+START, END, ABC, SPACE = OTHER + OTHERS, OTHER + OTHERS + 1, OTHER + OTHERS + 2, 255
 # Digits and signs read as the letters they resemble.
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+# Beyond the table: ideographs up to the first number, then nothing that is a letter.
+TABLE, IDEOGRAPHS = 0x20000, 0x40000
 
 
-def _fold_table(size: int = 0x250) -> np.ndarray:
-    out = np.zeros(size, np.uint8)
-    for cp in range(size):
+def _fold_table() -> np.ndarray:
+    """The code of each character. Neighbours in an alphabet have different codes."""
+    out = (OTHER + np.arange(TABLE) % OTHERS).astype(np.uint8)
+    plain = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]     # ideographs and Hangul syllables
+    for cp in itertools.chain(range(plain[0][0]), range(plain[0][1] + 1, plain[1][0]), range(plain[1][1] + 1, plain[2][0]), range(plain[2][1] + 1, TABLE)):
         ch = chr(cp)
-        base = unicodedata.normalize("NFKD", LOOK_ALIKE.get(ch, ch)).lower()[:1]
-        if ch in " \t\n\r\x0b\x0c\x85\xa0":
+        kind = unicodedata.category(ch)
+        if ch in " \t\n\r\x0b\x0c\x85" or kind[0] == "Z":
             out[cp] = SPACE
-        elif "a" <= base <= "z":
-            out[cp] = ord(base) - 96
-        elif ch.isalpha():
-            out[cp] = OTHER
+            continue
+        if ch not in LOOK_ALIKE and kind[0] not in "LMNS":
+            out[cp] = 0
+            continue
+        parts = unicodedata.normalize("NFKD", LOOK_ALIKE.get(ch, ch)).lower()
+        # Accents are dropped; other signs (a voiced kana's) make another letter.
+        base = parts[:1] if all(unicodedata.combining(x) >= 200 for x in parts[1:]) else unicodedata.normalize("NFKC", ch).lower()[:1]
+        if "a" <= parts[:1] <= "z" and (kind[0] != "S" or len(parts) == 1):
+            out[cp] = ord(parts[0]) - 96
+        elif kind[0] == "L" or kind[0] == "M" and kind != "Me" and not unicodedata.combining(ch) and not _joins(cp):
+            out[cp] = OTHER + ord(base) % OTHERS
+        else:
+            out[cp] = 0
     return out
 
 
+def _joins(cp: int) -> bool:
+    """Joiners and variation selectors: marks without a sound of their own."""
+    return cp == 0x34F or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F
+
+
 FOLD = _fold_table()
 PAIRS = [(j, k) for k in range(2, REACH) for j in range(1, k)]
 
@@ -93,8 +115,9 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """(letters, start, length, text number) of each word window of the texts."""
     lead = (data & 0xC0) != 0x80
     cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    codes = FOLD[np.minimum(cps, len(FOLD) - 1)]
-    codes = np.where(cps >= len(FOLD), OTHER, codes)
+    codes = FOLD[np.minimum(cps, TABLE - 1)]
+    far = np.flatnonzero(cps >= TABLE)
+    codes[far] = np.where(cps[far] < IDEOGRAPHS, OTHER + cps[far] % OTHERS, 0)
     at = np.concatenate(([0], np.cumsum(lead)))[off]
     begin = np.zeros(len(codes) + 1, bool)
     begin[at] = True
@@ -195,8 +218,8 @@ def _instances(found):
     return c, off[:-1], np.diff(off)
 
 
-def _kernel(found: list[bytes], basis: np.ndarray) -> np.ndarray:
-    """Kernel values of words and landmarks; ``basis``: a column of triple weights per landmark."""
+def _kernel(found: list[bytes], row: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Kernel values of words and landmarks; ``row``, ``basis``: as ``_basis`` gives them."""
     out = np.zeros((len(found), basis.shape[1]), np.float32)
     for i in range(0, len(found), 100):
         part = _instances(found[i:i + 100])
@@ -204,16 +227,22 @@ def _kernel(found: list[bytes], basis: np.ndarray) -> np.ndarray:
         norm = np.sqrt(np.bincount(who, w * w, len(part[1])))
         order = np.argsort(who, kind="stable")
         heads = np.searchsorted(who[order], np.arange(len(part[1])))
-        out[i:i + 100] = np.add.reduceat(basis[feat[order]] * w[order][:, None], heads) / norm[:, None]
+        out[i:i + 100] = np.add.reduceat(basis[row[feat[order]]] * w[order][:, None], heads) / norm[:, None]
     return out
 
 
-def _basis(marks: list[bytes]) -> np.ndarray:
+def _basis(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(triples of the landmarks, row of each triple, a column of weights per
+    landmark); the last row is that of all other triples."""
     part = _instances(marks)
     who, feat, w = triples(*part)
-    basis = np.zeros((ABC ** 3, len(marks)), np.float32)
-    np.add.at(basis, (feat, who), w)
-    return basis / np.sqrt(np.bincount(who, w * w, len(marks)))
+    own, at = np.unique(feat, return_inverse=True)
+    row = np.full(ABC ** 3, len(own), np.int32)
+    row[own] = np.arange(len(own))
+    basis = np.zeros((len(own) + 1, len(marks)), np.float32)
+    np.add.at(basis, (at, who), w)
+    basis /= np.sqrt(np.bincount(who, w * w, len(marks))).astype(np.float32)
+    return own, row, basis
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -275,16 +304,17 @@ def fit(rows: pa.Table) -> Model:
     pool = _instances(names)
     for _ in range(ROUNDS):
         marks = list(dict.fromkeys(bad[:LANDMARKS // 3] + hard))[:LANDMARKS]
-        basis = _basis(marks)
-        values, vectors = np.linalg.eigh(_kernel(marks, basis).astype(float))
+        own, row, basis = _basis(marks)
+        values, vectors = np.linalg.eigh(_kernel(marks, row, basis).astype(float))
         good = values > 1e-5 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
         found = bad + others + list(negative)
         y = np.append(np.ones(len(bad) + len(others)), -np.ones(len(negative)))
         even = max(1.0, len(negative) / (len(bad) + len(others)))
         cost = np.concatenate([np.full(len(bad), 20 * even), np.full(len(others), 5 * even), np.full(len(negative), 20.0)])
-        w, bias = _svm((_kernel(found, basis) @ root.astype(np.float32)), y, cost)
-        weights = (basis @ (root @ w)).astype(np.float32)
+        w, bias = _svm((_kernel(found, row, basis) @ root.astype(np.float32)), y, cost)
+        weights = np.zeros(ABC ** 3, np.float32)
+        weights[own] = basis[:-1] @ (root @ w)
         scores = np.concatenate([raw_scores(pool[0], pool[1][i:i + 4000], pool[2][i:i + 4000], weights, bias) for i in range(0, len(names), 4000)])
         worst = name([i for i in clean[np.lexsort((order[clean], -scores[clean]))][:1000] if not told[i]])
         negative |= dict.fromkeys(worst)
