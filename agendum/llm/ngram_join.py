@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from agendum.llm.storage import broadcast_if_small, cut, ship_code
 from agendum.llm.wordhash import WHITE, mix, shingles, slices, words
@@ -316,6 +317,11 @@ def with_roots(index: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return components(docs, width, percent, rounds).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n, cls, root, component_id of every row; ``root``: one class of the component."""
     spark = docs.sparkSession
     ship_code(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -375,18 +381,34 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     groups = comp.union(comp.select("root", "root").distinct())
     named = groups.join(first.withColumnRenamed("cls", "node"), "node")
     names = named.groupBy("root").agg(F.min("first_id").alias("name"))
-    names = named.join(names, "root").select(F.col("node").alias("cls"), "name")
-    of_class = first.join(names, "cls", "left").select("cls", F.coalesce("name", "first_id").alias("component_id"))
+    names = named.join(names, "root").select(F.col("node").alias("cls"), "name", "root")
+    of_class = first.join(names, "cls", "left").select("cls", F.coalesce("name", "first_id").alias("component_id"), F.coalesce("root", "cls").alias("root"))
     return (described.select("doc_id", "n", "cls").join(of_class.withColumn("some", F.lit(1)), (described.cls == of_class.cls) & (described.n > 0), "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("some").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+            .select("doc_id", "n", described.cls, "root", F.when(F.col("some").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the
-    smallest doc_id stays, once. Rows without a doc_id and unlinked rows stay."""
-    groups = near_duplicates(docs, width, percent)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_copies"), F.max("n_shingles").alias("_n"))
-    stay = cut(stay, "ngram-stay")
-    once = docs.join(stay.where("_copies = 1 or _n = 0").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(stay.where("_copies > 1 and _n > 0").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).union(docs.where("doc_id is null"))
+    smallest doc_id stays, once. Rows without a doc_id and unlinked rows stay,
+    also where several rows have one doc_id."""
+    groups = cut(components(docs, width, percent).where("doc_id is not null"), "ngram-groups")
+    stay = groups.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("s")).select("s.doc_id", "s.cls")
+    shared = cut(groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "ngram-shared-ids")
+    once = stay.select("doc_id").union(groups.where("n = 0").select("doc_id")).join(shared, "doc_id", "left_anti")
+    names = docs.columns
+    at = names.index("text")
+    schema = StructType([*docs.schema.fields, StructField("_cls", LongType()), StructField("_n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, row in sets_of(batch.column(at), width):
+                cls, size = class_ids(h, row, j - i)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cls), pa.array(size.astype(np.int64))], names=[*names, "_cls", "_n"])
+
+    # Rows that share their doc_id are known by their class as well.
+    columns = ["`" + c.replace("`", "``") + "`" for c in names]
+    several = docs.join(shared, "doc_id", "left_semi").select(*columns).mapInArrow(run, schema)
+    of_class = several.where("_n > 0").join(stay.withColumnRenamed("cls", "_cls"), ["doc_id", "_cls"], "left_semi").dropDuplicates(["doc_id", "_cls"])
+    return (docs.join(once, "doc_id", "left_semi").select(*columns).union(of_class.select(*columns))
+            .union(several.where("_n = 0").select(*columns)).union(docs.where("doc_id is null")))
