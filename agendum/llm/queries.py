@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agendum.llm import (decontamination, license_scan, line_dedup, ngram_join, packing, pii, sharding, topk,
-                         toxicity, url_filter)
+from agendum.llm import (decontamination, divergence, license_scan, line_dedup, ngram_join, packing, pii, sharding,
+                         suffix_dedup, topk, toxicity, url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -158,3 +158,54 @@ WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floo
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op10(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _share_sql(count: str, total: str) -> str:
+    return f"CASE WHEN v > 0 THEN CAST(1 + (1000000000::HUGEINT * ({count} + 5)) // greatest({total} + 5 * v, 1) AS BIGINT) ELSE 0 END"
+
+
+@query("op11_divergence_skyband", sql=f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+     k AS (SELECT lang, term, count(*) AS lc FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+     c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+     l AS (SELECT lang, sum(lc) AS nl, count(*) AS v FROM k GROUP BY lang),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     gt AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS ng FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+     gl AS (SELECT gt.*, coalesce(nl, 0) AS nl, coalesce(v, 0) AS v FROM gt LEFT JOIN l USING (lang)),
+     p AS (SELECT gl.lang, gl.source, k.term, c.n, {_share_sql("coalesce(c.n, 0)", "ng")} AS p, {_share_sql("lc", "nl")} AS q
+           FROM gl JOIN k ON gl.lang = k.lang LEFT JOIN c ON c.lang = gl.lang AND c.source = gl.source AND c.term = k.term),
+     s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+     tr AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+           FROM (SELECT * FROM pr UNION ALL SELECT * FROM tr))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""")
+def op11(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query("op12_suffix_doubling_dedup", sql="""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+     s AS (SELECT r, doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS g FROM (SELECT r, doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+     f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+     b AS (SELECT r, i, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS new FROM s JOIN f USING (g) WHERE doc_id > first WINDOW w AS (PARTITION BY r ORDER BY i)),
+     u AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM b),
+     x AS (SELECT r, run, min(i) AS lo, max(i) + 50 AS hi FROM u GROUP BY ALL),
+     y AS (SELECT r, run, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM x),
+     z AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last FROM y GROUP BY r),
+     k AS (SELECT r, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (lo - before) AS BIGINT)), '' ORDER BY lo) AS pieces FROM y JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(pieces, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN z USING (r) LEFT JOIN k USING (r)""")
+def op12(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
+    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
+@query("op13_jacobi_davidson_whitening")
+def op13(spark, sf_dir):
+    out = whitening.by_component(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))

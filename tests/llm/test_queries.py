@@ -18,12 +18,15 @@ COLUMNS = {
     "op8": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
     "op9": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
     "op10": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op11": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op13": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
 }
 
 
 def test_one_query_per_operator():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
@@ -34,5 +37,5 @@ def test_contract(spark, sf_dir, name):
     rows = df.toArrow()
     if name in Q.ORACLE:
         assert compare(rows, duck_connection(sf_dir).sql(Q.ORACLE[name]).to_arrow_table()) == []
-    elif not name.startswith(("op1_", "op2_")):
+    elif not name.startswith(("op1_", "op2_", "op13_")):
         assert rows.num_rows == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
