@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agendum.operators.metrics import with_group
+from agendum.functions.expressions import is_actionable, score
+from agendum.operators.metrics import segment_counts, with_group
 
 
 def period_bounds(ts: str, period: str) -> tuple:
@@ -44,6 +45,37 @@ def group_trends(realtime: DataFrame, ticket_metrics: DataFrame, meetings: DataF
                  F.count_distinct("meeting_id").alias("distinct_meetings")))
 
 
+def group_trends_stream(transcripts: DataFrame, tickets: DataFrame, meetings: DataFrame, window_duration: str = "1 minute",
+                        transcript_watermark: str | None = "2 minutes", ticket_watermark: str | None = "10 minutes",
+                        ts: str = "ts") -> DataFrame:
+    """Z2 with A8: weekly group trends of the short metric windows, on a stream.
+
+    Aggregates are chained in append mode: short windows per meeting, their join,
+    then by ``window_time`` weekly (Monday-based) sums per meeting, then per group.
+    The middle step makes the distinct meetings exact and lets a group with most of
+    the meetings be summed by many tasks. Sums are exact decimals, so the result
+    doesn't depend on the micro-batches. Rows as ``group_trends(..., "week")``."""
+    short = F.window(ts, window_duration).alias("window")
+    seg = segment_counts(transcripts, window_duration, transcript_watermark, ts)
+    if ticket_watermark and tickets.isStreaming:
+        tickets = tickets.withWatermark(ts, ticket_watermark)
+    tck = tickets.groupBy(short, "meeting_id").agg(
+        F.count("ticket_id").alias("ticket_count"), F.sum(is_actionable("status")).cast("long").alias("actionable_tickets"),
+        F.count("status").alias("status_updates_count"))
+    rows = with_group(seg.join(tck, ["window", "meeting_id"], "inner"), meetings)
+    exact = score("actionable_tickets", "ticket_count").cast("decimal(28,6)")
+    per_meeting = (rows.groupBy(F.window(F.window_time("window"), "7 days", "7 days", "4 days").alias("week"), "group_id", "meeting_id")
+                   .agg(F.sum(exact).alias("score"), F.sum("actionable_tickets").alias("actionable"),
+                        F.sum("status_updates_count").alias("updates"), F.count("meeting_id").alias("n")))
+    mean = lambda c: F.col(c).cast("double") / F.col("meeting_count")
+    out = (per_meeting.groupBy("week", "group_id")
+           .agg(F.sum("score").alias("score"), F.sum("actionable").alias("actionable"), F.sum("updates").alias("updates"),
+                F.sum("n").alias("meeting_count"), F.count("meeting_id").alias("distinct_meetings")))
+    return out.select("group_id", F.col("week.start").alias("period_start"), F.col("week.end").alias("period_end"),
+                      mean("score").alias("avg_productivity"), mean("actionable").alias("avg_actionable_items"),
+                      mean("updates").alias("avg_status_updates"), "meeting_count", "distinct_meetings")
+
+
 def kpi_series(events: DataFrame, ts: str = "ts") -> DataFrame:
     """Daily KPI values in long form (kpi, period, value)."""
     daily = events.groupBy(F.to_date(ts).alias("period")).agg(

@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so their decorators run."""
     from agendum.plans import (q_analysis, q_history, q_metrics, q_quality,  # noqa: F401
-                               q_relational, q_streams, q_text, q_trends)
+                               q_relational, q_sketches, q_streams, q_text, q_trends)

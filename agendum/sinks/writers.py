@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from agendum.operators.relational import upsert
+from agendum.operators.sketches import merge_partials
 from agendum.session import stream_checkpoint
 
 # --- fixed values -----------------------------------------------------------
@@ -96,31 +97,62 @@ def write_metric_batch(df: DataFrame, kind: str, target: str, batch_id: int) ->
     df.write.mode("overwrite").parquet(_batch_path(target, kind, batch_id))
 
 
-def upsert_metric_table(spark: SparkSession, df: DataFrame, target: str, keys: Sequence[str],
-                        update_cols: Sequence[str], version: int) -> str:
-    """S5 (upsert kind, e.g. the hour-of-day pattern): merge the batch into
-    the newest earlier version of the table and write the result as version
-    ``version`` (a ``v=`` partition folder); readers take the highest version.
-    Rewriting a version is idempotent. Versions are found by Spark's own
-    partition discovery, so this works on any file system the cluster uses."""
-    base_dir = f"{target}/versions"
-    path = f"{base_dir}/v={version}"
+KEEP_VERSIONS = 3     # newest versions that stay, for readers at work and replays
+
+
+def _newest(spark: SparkSession, base_dir: str, below: int | None = None) -> tuple[DataFrame | None, list[int]]:
+    """(newest version's rows without ``v``, all version numbers) of a versioned table."""
     try:
         versions = spark.read.parquet(base_dir)
     except AnalysisException:
-        versions = None
-    merged = df
-    # one number (the newest earlier version) comes back; the filter on it is a
-    # literal, so only that version's folder is read, never the one being written
-    latest = (versions.filter(F.col("v") < version).agg(F.max("v")).first()[0]
-              if versions is not None else None)
-    if latest is not None:
-        prev = versions.filter(F.col("v") == F.lit(latest)).drop("v")
-        merged = upsert(prev, df.select(*prev.columns), keys, update_cols)
-    merged.write.mode("overwrite").parquet(path)
+        return None, []
+    numbers = sorted(r["v"] for r in versions.select("v").distinct().collect())     # at most KEEP_VERSIONS + 1
+    earlier = [v for v in numbers if below is None or v < below]
+    # The filter is a literal: only that version's folder is read, never the one being written.
+    return (versions.filter(F.col("v") == F.lit(earlier[-1])).drop("v") if earlier else None), numbers
+
+
+def _write_version(spark: SparkSession, target: str, version: int, merge: Callable[[DataFrame | None], DataFrame]) -> str:
+    """Write ``merge(newest earlier version)`` as ``version``. Rewriting a version is
+    idempotent; versions older than the newest ``KEEP_VERSIONS`` are removed."""
+    base_dir = f"{target}/versions"
+    path = f"{base_dir}/v={version}"
+    before, numbers = _newest(spark, base_dir, version)
+    merge(before).write.mode("overwrite").parquet(path)
+    for old in sorted({*numbers, version})[:-KEEP_VERSIONS]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base_dir}/v={old}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return path
 
 
+def upsert_metric_table(spark: SparkSession, df: DataFrame, target: str, keys: Sequence[str],
+                        update_cols: Sequence[str], version: int) -> str:
+    """S5 (upsert kind): replace the batch's keys in the newest earlier version of
+    the table and write the result as version ``version`` (a ``v=`` partition
+    folder); readers take the highest version (``read_versioned``). Versions are
+    found by Spark's own partition discovery, on any file system the cluster uses."""
+    return _write_version(spark, target, version,
+                          lambda prev: df if prev is None else upsert(prev, df.select(*prev.columns), keys, update_cols))
+
+
+def merge_metric_table(spark: SparkSession, partials: DataFrame, target: str, keys: Sequence[str],
+                       merges: Mapping[str, str], version: int) -> str:
+    """S5 (mergeable kind): add the batch's partial rows to those stored, column by
+    column (``merges``: SQL aggregate per column). The result is the same however
+    the rows were cut into batches, and a replayed batch starts from the version
+    before it, so it counts once."""
+    return _write_version(spark, target, version, lambda prev: merge_partials(
+        partials if prev is None else prev.unionByName(partials.select(*prev.columns)), keys, merges))
+
+
+def read_versioned(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version of an upserted or merged table."""
+    rows, _ = _newest(spark, f"{target}/versions")
+    if rows is None:
+        raise FileNotFoundError(f"{target}/versions")
+    return rows
+
+
 def metrics_foreach_batch(writers: Mapping[str, Callable[[DataFrame], DataFrame]], target: str):
     """A ``foreachBatch`` function that persists the micro-batch once
     and writes every metric kind from it, then releases it."""

@@ -42,7 +42,7 @@ def read_events(spark: SparkSession, source: str, schema=None, options: dict | N
 
 def decode_json(df: DataFrame, schema, value: str = "value") -> DataFrame:
     """Parse ``value`` with ``schema``, keep the record time, flatten."""
-    keep = [c for c in ("topic", "offset", "timestamp") if c in df.columns]
+    keep = [c for c in ("topic", "partition", "offset", "timestamp") if c in df.columns]
     return df.select(*keep, F.from_json(F.col(value), schema).alias("data")).select(*keep, "data.*")
 
 

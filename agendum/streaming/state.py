@@ -1,84 +1,122 @@
-"""Per-meeting running state on a stream.
+"""Per-meeting running state on a stream (State API v2, RocksDB store).
 
-State per meeting holds metadata and running counters only (never the text,
-which is saved by the 30-second windows), so it stays small however long a
-meeting runs. A run's row is emitted when the final marker arrives, or when
-event time passes ``last event + timeout`` (silent disconnect); the state is
-then removed. ``streaming.operators.meeting_runs`` is the batch twin.
+Rows are reduced before they reach the state: an aggregate over (meeting, time
+slot) turns a slot's segments into its pieces of runs, split at final markers, so
+a meeting with most of the rows is spread over its slots and the state sees one
+row a slot, whatever the number of segments. The state of a meeting holds
+metadata and counters only, never text. A run's row is emitted when its final
+marker arrives, or when event time passes ``last event + timeout`` (silent
+disconnect, an event-time timer); the state is then removed.
+``streaming.operators.meeting_runs`` is the batch twin.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT_SCHEMA = ("meeting_id long, audio_id long, group_id long, n_partials long, n_chars long, "
                  "first_ts timestamp, last_ts timestamp, ended boolean")
-STATE_SCHEMA = ("audio_id long, group_id long, n_partials long, n_chars long, "
-                "first_ts timestamp, last_ts timestamp")
-_EMPTY = [None, None, 0, 0, None, None]
-
-
-def _row(mid, st, ended: bool) -> dict:
-    return {"meeting_id": mid, "audio_id": st[0], "group_id": st[1], "n_partials": st[2],
-            "n_chars": st[3], "first_ts": st[4], "last_ts": st[5], "ended": ended}
-
-
-def _min(a, b):
-    return b if a is None else (a if b is None or pd.isna(b) else min(a, b))
-
-
-def _step(timeout: pd.Timedelta):
-    timeout_ms = int(timeout / pd.Timedelta(milliseconds=1))
-
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mid = int(key[0])
-        if state.hasTimedOut:
-            st = list(state.get)
-            state.remove()
-            yield pd.DataFrame([_row(mid, st, False)])
-            return
-        st = list(state.get) if state.exists else list(_EMPTY)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if st[5] is not None and r.ts - st[5] > timeout:
-                out.append(_row(mid, st, False))
-                st = list(_EMPTY)
-            st[0] = _min(st[0], None if pd.isna(r.audio_id) else int(r.audio_id))
-            st[1] = _min(st[1], None if pd.isna(r.group_id) else int(r.group_id))
-            final = not bool(r.is_partial) if r.is_partial is not None else True
-            st[2] += 0 if final else 1
-            st[3] += len(r.text or "")
-            st[4] = r.ts if st[4] is None else min(st[4], r.ts)
-            st[5] = r.ts if st[5] is None else max(st[5], r.ts)
-            if final:
-                out.append(_row(mid, st, True))
-                st = list(_EMPTY)
-        if st[5] is None:
-            if state.exists:
-                state.remove()
+STATE_SCHEMA = "audio_id string, group_id string, n_partials long, n_chars long, first_us long, last_us long"
+PIECE = "struct<n_partials:bigint,n_chars:bigint,first_us:bigint,last_us:bigint,ended:boolean,audio:bigint,grp:bigint>"
+
+
+def _pieces(rows: Column, timeout_us: int) -> Column:
+    """Fold a slot's ordered (us, s, final, chars, audio, grp) into its pieces of runs."""
+    def piece(r: Column, old: Column | None = None) -> Column:
+        n, chars, first, audio, grp = (~r["final"]).cast("long"), r["chars"], r["us"], r["audio"], r["grp"]
+        if old is not None:
+            n, chars, first = old["n_partials"] + n, old["n_chars"] + chars, old["first_us"]
+            audio, grp = F.least(old["audio"], audio), F.least(old["grp"], grp)
+        return F.array(F.struct(n, chars, first, r["us"], r["final"], audio, grp).cast(PIECE))
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        opens = (F.size(done) == 0) | last["ended"] | (r["us"] - last["last_us"] > timeout_us)
+        return F.when(opens, F.concat(done, piece(r))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), piece(r, last)))
+    return F.aggregate(rows, F.array().cast(f"array<{PIECE}>"), step)
+
+
+def slot_pieces(segments: DataFrame, slot: str = "1 minute", timeout: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """One row per meeting and time slot with the slot's pieces of runs in order, as
+    JSON. Segments are reduced to times, ids and lengths first; a slot holds what one
+    meeting says in ``slot``."""
+    timeout_us = int(pd.Timedelta(timeout) / pd.Timedelta(microseconds=1))
+    final = ~F.coalesce(F.col("is_partial"), F.lit(False))
+    row = F.struct(F.unix_micros(F.col(ts)).alias("us"), F.col("seq").alias("s"), final.alias("final"),
+                   F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"),
+                   F.col("audio_id").cast("long").alias("audio"), F.col("group_id").cast("long").alias("grp"))
+    g = segments.groupBy(F.window(ts, slot).alias("slot"), "meeting_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return g.select("meeting_id", F.window_time("slot").alias("ts"), F.to_json(_pieces(F.col("rows"), timeout_us)).alias("pieces"))
+
+
+class MeetingRuns(StatefulProcessor):
+    """Joins the pieces of a meeting's slots into runs."""
+
+    def __init__(self, timeout: str):
+        self.timeout_us = int(pd.Timedelta(timeout) / pd.Timedelta(microseconds=1))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        slots = [json.loads(text) for chunk in rows for text in chunk["pieces"]]
+        pieces = sorted((p for slot in slots for p in slot), key=lambda p: (p["first_us"], p["last_us"]))
+        run = list(self.run.get()) if self.run.exists() else None
+        done = []
+        for p in pieces:
+            if run is not None and p["first_us"] - run[5] > self.timeout_us:
+                done.append(self._row(key, run, False))
+                run = None
+            ids = [str(p[n]) if p.get(n) is not None else None for n in ("audio", "grp")]
+            if run is None:
+                run = [*ids, p["n_partials"], p["n_chars"], p["first_us"], p["last_us"]]
+            else:
+                run = [*(min((x for x in (a, b) if x is not None), key=int, default=None) for a, b in zip(run[:2], ids, strict=True)),
+                       run[2] + p["n_partials"], run[3] + p["n_chars"], min(run[4], p["first_us"]), max(run[5], p["last_us"])]
+            if p["ended"]:
+                done.append(self._row(key, run, True))
+                run = None
+        if run is None:
+            self.run.clear()
         else:
-            state.update(tuple(st))
-            state.setTimeoutTimestamp(int(pd.Timestamp(st[5]).timestamp() * 1000) + timeout_ms)
-        if out:
-            yield pd.DataFrame(out)
-    return fn
-
-
-def meeting_state(segments: DataFrame, timeout: str = "1 hour", watermark: str = "2 minutes",
-                  ts: str = "ts") -> DataFrame:
-    """Keyed by meeting; event-time timeout; append output. ``segments``
-    needs meeting_id, audio_id, group_id, seq, text, is_partial and a
-    TIMESTAMP ``ts``."""
-    from agendum.streaming.operators import watermarked
-    return (watermarked(segments, ts, watermark)
-            .select("meeting_id", "audio_id", "group_id", "seq", "text", "is_partial", F.col(ts).alias("ts"))
-            .groupBy("meeting_id")
-            .applyInPandasWithState(_step(pd.Timedelta(timeout)), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+            self.run.update(tuple(run))
+            self.handle.registerTimer((run[5] + self.timeout_us) // 1000 + 1)
+        yield self._frame(done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        run = list(self.run.get()) if self.run.exists() else None
+        # A timer of an earlier last event does not end a run that went on.
+        if run is not None and (run[5] + self.timeout_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.run.clear()
+            yield self._frame([self._row(key, run, False)])
+
+    @staticmethod
+    def _row(key, run, ended: bool) -> tuple:
+        when = [pd.Timestamp(us, unit="us") for us in run[4:6]]
+        return (key[0], *(None if i is None else int(i) for i in run[:2]), run[2], run[3], *when, ended)
 
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        names = [c.strip().split(" ")[0] for c in OUTPUT_SCHEMA.split(",")]
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"meeting_id": "Int64", "audio_id": "Int64", "group_id": "Int64", "n_partials": "int64", "n_chars": "int64",
+                           "first_ts": "datetime64[us]", "last_ts": "datetime64[us]", "ended": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def meeting_state(segments: DataFrame, timeout: str = "1 hour", watermark: str | None = "2 minutes",
+                  ts: str = "ts", slot: str = "1 minute") -> DataFrame:
+    """Runs of each meeting, append output. ``segments`` needs meeting_id,
+    audio_id, group_id, seq, text, is_partial and a TIMESTAMP ``ts``."""
+    from agendum.streaming.operators import watermarked
+    slots = slot_pieces(watermarked(segments, ts, watermark), slot, timeout, ts)
+    return slots.groupBy("meeting_id").transformWithStateInPandas(MeetingRuns(timeout), OUTPUT_SCHEMA, "append", "EventTime")

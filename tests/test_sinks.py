@@ -79,13 +79,14 @@ def test_job_wiring_on_file_streams(spark, tmp_path):
     marker = spark.createDataFrame([(6, f"{base}50", json.dumps({"meetingId": 131, "transcript": "", "isPartial": False}))],
                                    "offset long, timestamp string, value string").withColumn("timestamp", F.to_timestamp("timestamp"))
     tr = tr.unionByName(marker)
-    tickets = spark.createDataFrame([("a", 131), ("b", 131)], "ticket_id string, meeting_id long")
+    tickets = spark.createDataFrame([("old", 131)], "ticket_id string, meeting_id long")
     srcs = {}
     for name, df in (("transcripts", tr), ("ticket_created", created), ("ticket_updated", updated)):
         path = f"{tmp_path}/{name}"
         df.write.parquet(path)
         srcs[name] = spark.readStream.schema(df.schema).parquet(path)
-    outs = job.build(spark, srcs, window="1 minute", tickets=tickets)
+    meetings = spark.createDataFrame([(131, 1, 315), (131, 1, 316)], "meeting_id long, group_id long, audio_id long")
+    outs = job.build(spark, srcs, window="1 minute", tickets=tickets, meetings=meetings)
     target = f"{tmp_path}/metrics"
     queries = job.start(spark, outs, target, topic_fmt="json", topic_path=f"{tmp_path}/topics",
                         prefix=f"t{uuid.uuid4().hex[:8]}_")
@@ -98,7 +99,9 @@ def test_job_wiring_on_file_streams(spark, tmp_path):
     assert rows_of(prod, ["meeting_id", "segment_count", "ticket_count"]) == [(131, 5, 3)]
     saves = spark.read.parquet(f"{target}/transcript_saves")
     assert rows_of(saves, ["text", "is_final"]) == [("", True), ("seg 1 seg 2 seg 3 seg 4 seg 5", False)]
-    hours = spark.read.parquet(f"{target}/hourly_pattern/versions")
-    assert {r.hour_of_day for r in hours.collect()} == {10}
+    # Two actionable of three ticket events: 0.6 * 2 + 0.4 * 3.
+    assert rows_of(job.hourly_pattern(spark, target)) == [(10, 2.4, 1, 1)]
+    runs = spark.read.parquet(f"{target}/meeting_runs")
+    assert rows_of(runs, ["meeting_id", "n_partials", "ended"]) == [(131, 5, True)]
     routed = spark.read.json(f"{tmp_path}/topics/productivity")
     assert {r.topic for r in routed.collect()} == {"analytics.productivity"}
