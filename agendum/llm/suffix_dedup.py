@@ -37,15 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agendum.llm.storage import broadcast_if_small, cut, ship_code
-from agendum.llm.wordhash import mix, slices
+from agendum.llm.wordhash import mix, slices, utf8
 
 WIDTH = 50
 HALF = WIDTH // 2
-HOT = 4096            # documents under one half-length key beyond which Spark groups whole strings
+HOT = 100_000         # documents under one half-length key beyond which Spark groups whole strings (some 100 MB in a task)
 SALTS = 16
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -58,7 +59,6 @@ _rng = np.random.default_rng(20250311)
 _BYTES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MASK = (1 << 64) - 1
-_TOP = _U(_MASK)
 
 
 def sliding(best, x: np.ndarray, width: int) -> np.ndarray:
@@ -96,18 +96,19 @@ def _crossing(off: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:max(n - width + 1, 0)]) > 0
 
 
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys): those half-length strings that are the least of some
-    WIDTH-byte string of their text."""
+def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, keys, least of each WIDTH-byte string): a place's half-length
+    string is the least of some WIDTH-byte string of its text."""
     n = len(data)
     if n < WIDTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     key = gram_hashes(data, HALF)
     least = sliding(np.minimum, key, WIDTH - HALF + 1)
     least[_crossing(off, WIDTH, n)] = 0
     edge = np.zeros(WIDTH - HALF, np.uint64)
-    at = np.flatnonzero(sliding(np.maximum, np.concatenate((edge, least, edge)), WIDTH - HALF + 1) == key)
-    return at, key[at].view(np.int64)
+    least = np.concatenate((edge, least, edge))
+    at = np.flatnonzero(sliding(np.maximum, least, WIDTH - HALF + 1) == key)
+    return at, key[at].view(np.int64), least
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, cls = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for i, _, data, off in slices(batch.column(2), SLICE):
-            at, key = anchors(data, off)
+            at, key, _ = anchors(data, off)
             text = np.searchsorted(off, at, "right") - 1
             order = np.lexsort((key, text))
             key, text = key[order], text[order]
@@ -128,34 +129,38 @@ PLACES = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("doc", pa.int64()),
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The places of a text's shared keys with the bytes around them: HALF before,
-    WIDTH after, then how many of both lie in the text. Equal ones share a row."""
+    """The places of a text's shared keys with the bytes of those WIDTH-byte strings
+    whose least they are: up to HALF before, WIDTH after (zeros elsewhere), then how
+    many of both. Equal ones share a row. The lists name keys by their low 32 bits;
+    a place too many does no harm."""
     for batch in batches:
         doc, cls = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        lists = batch.column(3)
         for i, j, data, off in slices(batch.column(2), SLICE):
-            at, key = anchors(data, off)
+            at, key, least = anchors(data, off)
             text = np.searchsorted(off, at, "right") - 1
-            shared, hot = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            for t in range(i, j):
-                mine = slice(*np.searchsorted(text, (t - i, t - i + 1)))
-                wanted = lists[t].values
-                known = np.sort(wanted.field(0).to_numpy())
-                spot = np.minimum(np.searchsorted(known, key[mine]), len(known) - 1)
-                shared[mine] = known[spot] == key[mine]
-                hot[mine] = np.isin(key[mine], wanted.field(0).filter(wanted.field(1)).to_numpy())
+            mine = (text.astype(np.uint64) << _U(32)) | (key.view(np.uint64) & _U(0xFFFFFFFF))
+            shared, hot = (np.isin(mine, _listed(batch.column(c).slice(i, j - i))) for c in (3, 4))
             keep = np.flatnonzero(shared)
             for c in range(0, len(keep), CHUNK):
                 p = keep[c:c + CHUNK]
-                yield _rows_around(data, off, at[p], text[p], key[p], hot[p], doc[i:j], cls[i:j])
+                yield _rows_around(data, off, at[p], text[p], key[p], hot[p], least, doc[i:j], cls[i:j])
 
 
-def _rows_around(data, off, at, text, key, hot, doc, cls) -> pa.RecordBatch:
+def _listed(lists: pa.Array) -> np.ndarray:
+    """(row << 32 | low bits of the key) of the listed keys."""
+    row = np.repeat(np.arange(len(lists), dtype=np.uint64), np.diff(lists.offsets.to_numpy()))
+    return (row << _U(32)) | lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+
+
+def _rows_around(data, off, at, text, key, hot, least, doc, cls) -> pa.RecordBatch:
     n = len(at)
-    before = np.minimum(HALF, at - off[text]).astype(np.uint8)
-    after = np.minimum(WIDTH, off[text + 1] - at).astype(np.uint8)
-    spot = at[:, None] + np.arange(-HALF, WIDTH)
-    inside = (spot >= off[text][:, None]) & (spot < off[text + 1][:, None])
+    # Of the strings that hold the place, those whose least it is: neighbours.
+    own = np.stack([least[at - o + WIDTH - HALF] == key.view(np.uint64) for o in range(HALF + 1)], axis=1)
+    before = (HALF - np.argmax(own[:, ::-1], axis=1)).astype(np.uint8)
+    after = (WIDTH - np.argmax(own, axis=1)).astype(np.uint8)
+    reach = np.arange(-HALF, WIDTH)
+    spot = at[:, None] + reach
+    inside = (reach >= -before.astype(int)[:, None]) & (reach < after[:, None])
     block = np.zeros((n, HALF + WIDTH + 6), np.uint8)
     block[:, :HALF + WIDTH] = np.where(inside, data[np.clip(spot, 0, len(data) - 1)], 0)
     block[:, -6], block[:, -5] = before, after
@@ -175,7 +180,7 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-FOUND = pa.schema([("doc", pa.int64()), ("cls", pa.int64()), ("offsets", pa.int64()), ("places", pa.binary())])
+FOUND = pa.schema([("doc", pa.int64()), ("cls", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
 def _blocks(col) -> np.ndarray:
@@ -200,18 +205,17 @@ def _string_keys(block: np.ndarray, which: int) -> Iterator[tuple[int, np.ndarra
 
 
 def seen_before(h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """For each place, the offsets (as bits) whose string stands under a smaller doc_id."""
+    """For each place (places sorted by doc_id), the offsets (as bits) whose string
+    stands under a smaller doc_id."""
     out = np.zeros(len(h), np.int64)
     for o, rows, key in _string_keys(block, 0):
         if len(rows) < 2:
             continue
         lo = HALF - o
-        order = rows[np.lexsort((doc[rows], key, h[rows]))]
-        rank = mix(key ^ h[rows].view(np.uint64))
-        rank_of = np.zeros(len(h), np.uint64)
-        rank_of[rows] = rank
-        sorted_rank, sorted_h = rank_of[order], h[order]
-        new = np.append(True, (sorted_rank[1:] != sorted_rank[:-1]) | (sorted_h[1:] != sorted_h[:-1]))
+        rank = np.zeros(len(h), np.uint64)
+        rank[rows] = mix(key ^ h[rows].view(np.uint64))
+        order = rows[np.argsort(rank[rows], kind="stable")]     # rows come by doc_id
+        new = np.append(True, rank[order][1:] != rank[order][:-1])
         lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         later = np.flatnonzero(doc[order] > doc[lead])
         if not len(later):
@@ -220,7 +224,7 @@ def seen_before(h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> np.ndarray
         same = (block[mine, lo:lo + WIDTH] == block[first, lo:lo + WIDTH]).all(axis=1)
         out[mine[same]] |= 1 << o
         for r in mine[~same]:     # equal keys of different strings: compare with each smaller doc_id of that key
-            rivals = order[(rank_of[order] == rank_of[r]) & (h[order] == h[r]) & (doc[order] < doc[r])]
+            rivals = order[(rank[order] == rank[r]) & (doc[order] < doc[r])]
             if (block[rivals, lo:lo + WIDTH] == block[r, lo:lo + WIDTH]).all(axis=1).any():
                 out[r] |= 1 << o
     return out
@@ -254,50 +258,69 @@ def _ranked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     if len(h) > 4 * RUN_ROWS:     # many places of few documents: rank by rank
         cuts = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
     for a, b in zip(cuts, cuts[1:], strict=False):
-        part = rows.slice(a, b - a)
-        bits = seen_before(h[a:b], part.column("doc").to_numpy(), _blocks(part.column("around")))
-        found = part.select(["doc", "cls", "places"]).append_column("offsets", pa.array(bits)).filter(pa.array(bits != 0))
-        yield from found.select(FOUND.names).cast(FOUND).to_batches()
+        part = rows.slice(a, b - a).sort_by("doc")
+        bits = seen_before(part.column("h").to_numpy(), part.column("doc").to_numpy(), _blocks(part.column("around")))
+        yield _runs_of(part, bits)
+
+
+def _runs_of(rows: pa.Table, bits: np.ndarray) -> pa.RecordBatch:
+    """(doc, cls, lo, hi): the bytes that neighbouring found offsets cover, at each place."""
+    hit = np.flatnonzero(bits)
+    flags = np.zeros((len(hit), HALF + 3), np.int8)
+    flags[:, 1:-1] = bits[hit][:, None] >> np.arange(HALF + 1) & 1
+    step = np.diff(flags, axis=1)
+    row, first = np.nonzero(step == 1)
+    _, last = np.nonzero(step == -1)
+    row = hit[row]
+    places = rows.column("places").combine_chunks().take(pa.array(row))
+    n = pc.binary_length(places).to_numpy().astype(np.int64) // 8
+    at = np.frombuffer(b"".join(places.to_pylist()), "<i8")
+    who = pa.array(np.repeat(row, n))
+    return pa.record_batch([rows.column("doc").combine_chunks().take(who), rows.column("cls").combine_chunks().take(who),
+                            pa.array(at - np.repeat(last - 1, n)), pa.array(at - np.repeat(first, n) + WIDTH)], schema=FOUND)
 
 
-STRINGS = pa.schema([("f", pa.int64()), ("g", pa.int64()), ("doc", pa.int64()), ("cls", pa.int64()),
-                     ("offsets", pa.int64()), ("places", pa.binary())])
+STRINGS = pa.schema([("f", pa.int64()), ("g", pa.int64()), ("doc", pa.int64()), ("cls", pa.int64()), ("lo", pa.int64())])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All WIDTH-byte strings around the places, under 128-bit keys."""
+    """All WIDTH-byte strings around the places, under 128-bit keys, with where they start."""
     for whole in batches:
         for s in range(0, whole.num_rows, 2000):
             batch = whole.slice(s, 2000)
             block = _blocks(batch.column("around"))
             h = batch.column("h").to_numpy()
+            n = pc.binary_length(batch.column("places")).to_numpy().astype(np.int64) // 8
+            at = np.split(np.frombuffer(b"".join(batch.column("places").to_pylist()), "<i8"), np.cumsum(n)[:-1])
             for (o, rows, f), (_, _, g) in zip(_string_keys(block, 0), _string_keys(block, 1), strict=True):
                 if len(rows):
                     f = mix(f ^ h[rows].view(np.uint64) + _U(o))
-                    take = pa.array(rows)
-                    yield pa.record_batch([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), batch.column("doc").take(take),
-                                           batch.column("cls").take(take), pa.array(np.full(len(rows), 1 << o)),
-                                           batch.column("places").take(take)], schema=STRINGS)
+                    who = np.repeat(np.arange(len(rows)), n[rows])
+                    take = pa.array(rows[who])
+                    yield pa.record_batch([pa.array(f.view(np.int64)[who]), pa.array(g.view(np.int64)[who]), batch.column("doc").take(take),
+                                           batch.column("cls").take(take), pa.array(np.concatenate([at[r] for r in rows]) - o)], schema=STRINGS)
 
 
-def covered(n: int, found) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the maximal runs of ``n`` bytes that the found strings cover."""
-    step = np.zeros(n + 1, np.int32)
-    for bits, places in found:
-        at = np.frombuffer(places, "<i8")
-        o = 0
-        while bits >> o:
-            if bits >> o & 1:
-                last = o
-                while bits >> last + 1 & 1:
-                    last += 1
-                np.add.at(step, at - last, 1)
-                np.add.at(step, at - o + WIDTH, -1)
-                o = last
-            o += 1
-    gone = np.concatenate(([False], np.cumsum(step[:n]) > 0, [False]))
-    edge = np.flatnonzero(gone[1:] != gone[:-1])
-    return edge[::2], edge[1::2]
+MERGED = pa.schema([("doc", pa.int64()), ("cls", pa.int64()), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))])
+
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text, the found runs as maximal disjoint ones."""
+    for batch in batches:
+        runs = batch.column(2)
+        row = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
+        lo, hi = (runs.flatten().field(c).to_numpy() for c in (0, 1))
+        span = int(hi.max(initial=0)) + 1
+        order = np.lexsort((lo, row))
+        row, lo = row[order], lo[order] + row[order] * span
+        hi = np.maximum.accumulate(hi[order] + row * span)
+        new = np.append(True, (lo[1:] > hi[:-1]) | (row[1:] != row[:-1]))[:len(lo)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(lo))[:len(first)] - 1
+        row = row[first]
+        ends = pa.array(np.searchsorted(row, np.arange(len(runs) + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(lo[first] - row * span)),
+                                          pa.ListArray.from_arrays(ends, pa.array(hi[last] - row * span))], schema=MERGED)
 
 
 KEPT = "cls long, doc long, _n_removed long, _n_spans long, _spans array<struct<start:long,end:long>>, _kept binary, _kept_sha256 string"
@@ -306,15 +329,20 @@ KEPT = "cls long, doc long, _n_removed long, _n_spans long, _spans array<struct<
 def _removal(with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data = (row["text"] or "").encode()
-                lo, hi = covered(len(data), [(f["offsets"], f["places"]) for f in row["found"]])
-                ends = np.concatenate(([0], hi)), np.append(lo, len(data))
-                kept = b"".join(data[a:b] for a, b in zip(*ends, strict=True))
-                out = {"cls": [row["cls"]], "doc": [row["doc"]], "_n_removed": [len(data) - len(kept)], "_n_spans": [len(lo)],
-                       "_spans": [[{"start": int(a), "end": int(b)} for a, b in zip(lo, hi, strict=True)]],
-                       "_kept": [kept if with_kept else None], "_kept_sha256": [hashlib.sha256(kept).hexdigest()]}
-                yield pa.RecordBatch.from_pydict(out, schema=_KEPT_ARROW)
+            data, off = utf8(batch.column(2))
+            los, his = (batch.column(c) for c in (3, 4))
+            removed, kept_bytes, shas = [], [], []
+            for r in range(batch.num_rows):
+                text = data[off[r]:off[r + 1]].tobytes()
+                lo, hi = los[r].values.to_pylist(), his[r].values.to_pylist()
+                kept = b"".join(text[a:b] for a, b in zip([0, *hi], [*lo, len(text)], strict=True))
+                removed.append(len(text) - len(kept))
+                kept_bytes.append(kept if with_kept else None)
+                shas.append(hashlib.sha256(kept).hexdigest())
+            spans = pa.StructArray.from_arrays([los.flatten(), his.flatten()], ["start", "end"])
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.diff(los.offsets.to_numpy())))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(removed, pa.int64()), pa.array(np.diff(ends.to_numpy()).astype(np.int64)),
+                                              pa.ListArray.from_arrays(ends, spans), pa.array(kept_bytes, pa.binary()), pa.array(shas)], schema=_KEPT_ARROW)
     return run
 
 
@@ -353,26 +381,29 @@ def class_of(text) -> F.Column:
 
 
 def repeats(rest: DataFrame) -> DataFrame:
-    """doc, cls, found: per text the places and offsets of strings that a smaller doc_id has."""
+    """doc, cls, lo, hi: per text the maximal runs of bytes that strings of a smaller doc_id cover."""
     keyed = rest.where(F.octet_length("text") >= WIDTH)
     keys = keyed.select("doc", "cls", "text").mapInArrow(_keys, "h long, doc long, cls long")
     shared = cut(keys.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
                  .where("lo < hi").select("h", (F.col("n") > HOT).alias("hot")), "suffix-shared")
     n = shared.count()
+    low = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))
+    low = F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
     wanted = cut(keys.join(broadcast_if_small(shared, n, MAX_BROADCAST_ROWS), "h").groupBy("doc", "cls")
-                 .agg(F.collect_set(F.struct("h", "hot")).alias("wanted")), "suffix-wanted")
-    entries = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+                 .agg(F.collect_list(low).alias("wanted"), F.collect_list(F.when(F.col("hot"), low)).alias("wanted_hot")), "suffix-wanted")
+    entries = wanted.agg(F.sum(32 + 4 * F.size("wanted") + 4 * F.size("wanted_hot"))).first()[0] or 0
     # Texts differ in cls under one doc_id, so a row of the list has the keys of one text.
-    places = cut(_sized_join(keyed, wanted, 12 * entries, ["doc", "cls"], "inner").select("doc", "cls", "text", "wanted")
+    places = cut(_sized_join(keyed, wanted, entries, ["doc", "cls"], "inner").select("doc", "cls", "text", "wanted", "wanted_hot")
                  .mapInArrow(_places, "h long, hot boolean, doc long, cls long, around binary, places binary"), "suffix-places")
     cold = places.where(~F.col("hot")).drop("hot").repartition("h").sortWithinPartitions("h")
-    found = cold.mapInArrow(_rank, "doc long, cls long, offsets long, places binary")
-    strings = places.where("hot").drop("hot").mapInArrow(_strings, "f long, g long, doc long, cls long, offsets long, places binary")
-    firsts = (strings.groupBy("f", "g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-              .select("f", "g", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    found = cold.mapInArrow(_rank, "doc long, cls long, lo long, hi long")
+    strings = places.where("hot").drop("hot").mapInArrow(_strings, "f long, g long, doc long, cls long, lo long")
+    firsts = (strings.groupBy("f", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+              .select("f", "g", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     late = (strings.withColumn("salt", F.pmod(F.xxhash64("doc", "cls"), F.lit(SALTS)).cast("int"))
-            .join(firsts, ["f", "g", "salt"]).where("doc > lo").select("doc", "cls", "offsets", "places"))
-    return found.unionByName(late).groupBy("doc", "cls").agg(F.collect_list(F.struct("offsets", "places")).alias("found"))
+            .join(firsts, ["f", "g", "salt"]).where("doc > first").select("doc", "cls", "lo", (F.col("lo") + WIDTH).alias("hi")))
+    runs = found.unionByName(late).groupBy("doc", "cls").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    return runs.mapInArrow(_merge_runs, "doc long, cls long, lo array<long>, hi array<long>")
 
 
 def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
@@ -383,17 +414,18 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     ship_code(spark)
     rest, copies = first_texts(docs)
     found = cut(repeats(rest), "suffix-found")
-    size = found.agg(F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda s, f: s + 16 + F.octet_length(f["places"])))).first()[0] or 0
-    held = (_sized_join(rest.select("doc", "cls", "text"), found, size, ["doc", "cls"], "inner")
+    size = found.agg(F.sum(48 + 16 * F.size("lo"))).first()[0] or 0
+    held = (_sized_join(rest.select("doc", "cls", "text"), found, size, ["doc", "cls"], "inner").select("doc", "cls", "text", "lo", "hi")
             .mapInArrow(_removal(with_kept), KEPT).dropDuplicates(["doc", "cls"]))
     held = cut(held, "suffix-kept")
     text = F.coalesce(F.col("text"), F.lit(""))
-    size_col = F.octet_length(text).cast("long")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    gone = copies.select("doc", "cls", F.lit(True).alias("_copy"))
-    out = docs.withColumns({"_n_bytes": size_col, "_cls": class_of(F.col("text")), "_doc": F.col("doc_id").cast("long")})
-    n_copies, kept_bytes = copies.count(), held.agg(F.sum(F.coalesce(F.octet_length("_kept"), F.lit(0)) + 100 + 16 * F.size("_spans"))).first()[0] or 0
-    out = out.join(broadcast_if_small(gone.withColumnsRenamed({"doc": "_doc", "cls": "_cls"}), n_copies, MAX_BROADCAST_ROWS), ["_doc", "_cls"], "left")
+    # All that is read off the text comes before the joins: they need not move it.
+    out = docs.withColumns({"_n_bytes": F.octet_length(text).cast("long"), "_cls": class_of(F.col("text")), "_doc": F.col("doc_id").cast("long"),
+                            "_sha": F.sha2(text.cast("binary"), 256)})
+    n_copies, kept_bytes = copies.count(), held.agg(F.sum(F.coalesce(F.octet_length("_kept"), F.lit(0)) + 120 + 16 * F.size("_spans"))).first()[0] or 0
+    gone = copies.select(F.col("doc").alias("_doc"), F.col("cls").alias("_cls"), F.lit(True).alias("_copy"))
+    out = out.join(broadcast_if_small(gone, n_copies, MAX_BROADCAST_ROWS), ["_doc", "_cls"], "left")
     out = _sized_join(out, held.withColumnsRenamed({"doc": "_doc", "cls": "_cls"}), kept_bytes, ["_doc", "_cls"], "left")
     whole = F.col("_copy").isNotNull() & (F.col("_n_bytes") >= WIDTH)
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_n_bytes").alias("end")))
@@ -401,7 +433,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
         "_n_removed": F.when(whole, F.col("_n_bytes")).otherwise(F.coalesce("_n_removed", F.lit(0).cast("long"))),
         "_n_spans": F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("_n_spans", F.lit(0).cast("long"))),
         "_spans": F.when(whole, all_of).otherwise(F.coalesce("_spans", none)),
-        "_kept_sha256": F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("_kept_sha256", F.sha2(text.cast("binary"), 256))),
+        "_kept_sha256": F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("_kept_sha256", "_sha")),
     }
     if with_kept:
         added["_kept"] = F.when(whole, F.lit("").cast("binary")).when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(text.cast("binary"))
