@@ -5,7 +5,8 @@ ticket -> meeting (State API v2), updates read it; the ticket table, if there is
 one, is the initial state. An update that comes before its ticket waits until the
 watermark reaches its event time, the tolerance late rows have anyway; if the
 ticket is still unknown then, the update goes out without a meeting. A ticket's
-state expires ``retention`` after its last event.
+state expires ``retention`` after its last event; tickets of the table stay until
+they have one.
 
 A ticket with most of the updates is split by ``salts``: updates are dealt by a
 hash of the row, and what fills the state is copied to every salt.
@@ -39,12 +40,12 @@ class MeetingOfTicket(StatefulProcessor):
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         known = initialState["meeting"].dropna()
         if len(known):
-            self._keep(known.iloc[0], timerValues.getCurrentWatermarkInMs())
+            self.meeting.update((known.iloc[0], 0))     # expires once it has events
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         known, expires = self.meeting.get() if self.meeting.exists() else (None, 0)
-        if known is not None and expires <= now:     # its timer fires after this batch's rows
+        if known is not None and 0 < expires <= now:     # its timer fires after this batch's rows
             self.meeting.clear()
             known, expires = None, 0
         early: list[pd.DataFrame] = []
@@ -85,7 +86,7 @@ class MeetingOfTicket(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.meeting.exists() and self.meeting.get()[1] <= at:
+        if self.meeting.exists() and 0 < self.meeting.get()[1] <= at:
             self.meeting.clear()
         if self.waiting.exists():
             held = list(self.waiting.get())
