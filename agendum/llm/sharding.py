@@ -2,9 +2,10 @@
 
 A record's slot is a hash of its key, one of ``SLOTS`` for ever. The map from
 slots to shards is a small versioned table (SLOTS rows, whatever the data):
-version 0 deals contiguous runs of slots out evenly; rebalancing adds a version
-that moves as few slots as it takes to make the shards' bytes near equal. Bytes
-per slot are aggregated before anything is shuffled by slot.
+version 0 deals contiguous runs of slots out evenly; rebalancing starts from the
+newest stored version and adds one that moves as few slots as it takes to make the
+shards' bytes near equal, or none if no move helps. Bytes per slot are aggregated
+before anything is shuffled by slot.
 
 A record's place in its shard is the shard's smaller cells' rows before it, plus
 its number in its own cell. Cells are slots split by more bits of the same hash,
@@ -17,6 +18,7 @@ map; other columns are kept out of the plan.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,9 +103,47 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return stored.where(F.col("version") == version).select(F.col("slot").alias("virtual_slot"), "shard")
 
 
+def spread(owner: list[int], load: list[int], shards: int) -> int:
+    """Bytes between the heaviest and the lightest shard."""
+    total = [0] * shards
+    for s, o in enumerate(owner):
+        total[o] += load[s]
+    return max(total) - min(total)
+
+
+def newest_version(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """(version, owner of each slot) of the newest stored map, if there is one."""
+    try:
+        version = spark.read.schema(MAP_SCHEMA).parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+    if version is None:
+        return None
+    return version, [r["shard"] for r in read_map(spark, path, version).orderBy("virtual_slot").collect()]    # SLOTS rows
+
+
+def edit_map(spark: SparkSession, path: str, load: list[int], shards: int) -> int:
+    """Rebalance the stored map for the bytes per slot; the version to use. A map
+    without versions gets version 0 first. Slots of shards that are no more go to
+    others; a version is added only if it differs."""
+    stored = newest_version(spark, path)
+    if stored is None:
+        stored = 0, even_map(shards, len(load))
+        write_map(spark, path, *stored, load)
+    version, before = stored
+    owner = [o if o < shards else e for o, e in zip(before, even_map(shards, len(load)), strict=True)]
+    while spread(moved := rebalance(owner, load, shards), load, shards) < spread(owner, load, shards):
+        owner = moved
+    if owner != before:
+        version += 1
+        write_map(spark, path, version, owner, load)
+    return version
+
+
 def shard_documents(docs: DataFrame, shards: int, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, place (gapless from 0 in the shard) and
-    virtual_slot of every row. ``map_path``: where the map's versions are kept."""
+    virtual_slot of every row. ``map_path``: where the map's versions are kept; one
+    that is there is edited, not begun anew."""
     spark = docs.sparkSession
     rows = cut(with_slots(docs), "shard-rows")
     load, n_rows = [0] * SLOTS, 0
@@ -111,15 +151,13 @@ def shard_documents(docs: DataFrame, shards: int, map_path: str | None = None) -
         load[r.virtual_slot] = r.bytes
         n_rows += r.n
     path = map_path or new_path(spark, "slot-map")
-    first = even_map(shards)
-    write_map(spark, path, 0, first, load)
-    write_map(spark, path, 1, rebalance(first, load, shards), load)
+    version = edit_map(spark, path, load, shards)
 
     split = 1
     while n_rows / (SLOTS * split) > CELL_ROWS:
         split *= 2
     cell = F.pmod(F.shiftrightunsigned("hash", 32), F.lit(split))
-    placed = rows.join(F.broadcast(read_map(spark, path)), "virtual_slot").withColumn("cell", cell)   # SLOTS rows
+    placed = rows.join(F.broadcast(read_map(spark, path, version)), "virtual_slot").withColumn("cell", cell)   # SLOTS rows
     cells = placed.groupBy("shard", "virtual_slot", "cell").agg(F.count("*").alias("n"))
     # SLOTS * split rows, at most CELL_ROWS times fewer than the table; windows by shard hold only these.
     before = F.sum("n").over(W.partitionBy("shard").orderBy("virtual_slot", "cell").rowsBetween(W.unboundedPreceding, -1))

@@ -61,3 +61,30 @@ def test_rebalancing_moves_few_slots():
         total[o] += load[s]
     assert max(total) - min(total) <= 0.001 * sum(total) / 24
     assert sum(a != b for a, b in zip(first, balanced, strict=True)) < 0.1 * S.SLOTS
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    """Same data, grown data, same data again: no row twice, a version only when slots move."""
+    path = str(tmp_path / "map")
+    rng = random.Random(6)
+    texts = ["x" * rng.randrange(0, 900) for _ in range(3000)]
+    grown = texts + ["y" * rng.randrange(0, 9000) for _ in range(300)]
+
+    def run(some, shards=24):
+        rows = S.shard_documents(docs_of(spark, some), shards, path).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(len(some)))
+        total = [0] * shards
+        for r in rows:
+            total[r.shard] += r.size
+        return {r.doc_id: r.shard for r in rows}, max(total) - min(total), S.newest_version(spark, path)
+
+    first, gap, (version, owner) = run(texts)
+    assert version == 1 and gap <= 0.01 * sum(map(len, texts)) / 24
+    assert run(texts) == (first, gap, (1, owner))
+    second, gap, (version, moved) = run(grown)
+    assert version == 2 and gap <= 0.01 * sum(map(len, grown)) / 24
+    assert 0 < sum(a != b for a, b in zip(owner, moved, strict=True)) < S.SLOTS / 3
+    assert run(grown) == (second, gap, (2, moved))
+    assert [r.shard for r in S.read_map(spark, path, 1).orderBy("virtual_slot").collect()] == owner
+    fewer, gap, (version, _) = run(grown, 20)
+    assert version == 3 and set(fewer.values()) == set(range(20))
