@@ -8,7 +8,7 @@ and all is judged on the input. The doubling has two lengths, WIDTH/2 and WIDTH:
    no suffixes: all of it goes (or nothing, if shorter than WIDTH).
 2. *Rank at WIDTH/2.* Every WIDTH-byte string holds one of a thin set of
    positions, the least hashes of its half-length strings (any two equal strings
-   hold the same ones). Only these positions are ranked: Spark groups their
+   hold the same ones). Only these positions are ranked: Spark sorts their
    half-length keys, and positions whose key stands in one document only are
    unique and drop out.
 3. *Rank at WIDTH.* The rest are sorted by that first rank; within one rank the
@@ -124,26 +124,59 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(key[new]), pa.array(doc[i + text[new]]), pa.array(cls[i + text[new]])], ["h", "doc", "cls"])
 
 
-PLACES = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("doc", pa.int64()), ("cls", pa.int64()),
-                    ("around", pa.binary()), ("places", pa.binary())])
+MARKS = pa.schema([("doc", pa.int64()), ("cls", pa.int64()), ("low", pa.int32()), ("hot", pa.int64())])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(most: int):
+    """Of rows sorted by key and doc: those of keys in two documents or more (the
+    key's low 32 bits), and once each key with more than ``most`` rows. Only the rows of
+    a key seen in one document so far are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        going, n_going = None, 0          # a shared key that may go on, and its rows so far
+        for batch in batches:
+            h, doc, cls = (np.concatenate((old, batch.column(i).to_numpy())) for i, old in enumerate(held))
+            if not len(h):
+                continue
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            end = np.append(start[1:], len(h))
+            shared, n = doc[end - 1] > doc[start], end - start
+            before = n_going if going is not None and h[0] == going else 0
+            shared[0] |= before > 0
+            n[0] += before
+            hot = np.flatnonzero(shared & (n > most))
+            hot = hot[(hot > 0) | (before <= most)]
+            rows = np.flatnonzero(np.repeat(shared, end - start))
+            low = (h[rows].view(np.uint64) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            yield pa.record_batch([pa.array(doc[rows]), pa.array(cls[rows]), pa.array(low), pa.nulls(len(rows), pa.int64())], schema=MARKS)
+            if len(hot):
+                yield pa.record_batch([pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.int32()), pa.array(h[start[hot]])], schema=MARKS)
+            going, n_going = (h[-1], n[-1]) if shared[-1] else (None, 0)
+            keep = slice(len(h), None) if shared[-1] else slice(start[-1], None)
+            held = [h[keep], doc[keep], cls[keep]]
+    return run
+
+
+PLACES = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("cls", pa.int64()), ("around", pa.binary()), ("places", pa.binary())])
+
+
+def _places(chunk: int):
     """The places of a text's shared keys with the bytes of those WIDTH-byte strings
     whose least they are: up to HALF before, WIDTH after (zeros elsewhere), then how
     many of both. Equal ones share a row. The lists name keys by their low 32 bits;
     a place too many does no harm."""
-    for batch in batches:
-        doc, cls = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for i, j, data, off in slices(batch.column(2), SLICE):
-            at, key, least = anchors(data, off)
-            text = np.searchsorted(off, at, "right") - 1
-            mine = (text.astype(np.uint64) << _U(32)) | (key.view(np.uint64) & _U(0xFFFFFFFF))
-            shared, hot = (np.isin(mine, _listed(batch.column(c).slice(i, j - i))) for c in (3, 4))
-            keep = np.flatnonzero(shared)
-            for c in range(0, len(keep), CHUNK):
-                p = keep[c:c + CHUNK]
-                yield _rows_around(data, off, at[p], text[p], key[p], hot[p], least, doc[i:j], cls[i:j])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, cls = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i, j, data, off in slices(batch.column(2), SLICE):
+                at, key, least = anchors(data, off)
+                text = np.searchsorted(off, at, "right") - 1
+                mine = (text.astype(np.uint64) << _U(32)) | (key.view(np.uint64) & _U(0xFFFFFFFF))
+                keep = np.flatnonzero(np.isin(mine, _listed(batch.column(3).slice(i, j - i))))
+                for c in range(0, len(keep), chunk):
+                    p = keep[c:c + chunk]
+                    yield _rows_around(data, off, at[p], text[p], key[p], least, doc[i:j], cls[i:j])
+    return run
 
 
 def _listed(lists: pa.Array) -> np.ndarray:
@@ -152,7 +185,7 @@ def _listed(lists: pa.Array) -> np.ndarray:
     return (row << _U(32)) | lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
 
 
-def _rows_around(data, off, at, text, key, hot, least, doc, cls) -> pa.RecordBatch:
+def _rows_around(data, off, at, text, key, least, doc, cls) -> pa.RecordBatch:
     n = len(at)
     # Of the strings that hold the place, those whose least it is: neighbours.
     own = np.stack([least[at - o + WIDTH - HALF] == key.view(np.uint64) for o in range(HALF + 1)], axis=1)
@@ -171,7 +204,7 @@ def _rows_around(data, off, at, text, key, hot, least, doc, cls) -> pa.RecordBat
     ends = np.cumsum(np.bincount(member, minlength=len(first)))
     where = (at - off[text])[order].astype("<i8")
     around = np.ascontiguousarray(block[first, :-4])
-    return pa.record_batch([pa.array(key[first]), pa.array(hot[first]), pa.array(doc[text[first]]), pa.array(cls[text[first]]),
+    return pa.record_batch([pa.array(key[first]), pa.array(doc[text[first]]), pa.array(cls[text[first]]),
                             _binary(around.ravel(), np.arange(len(first) + 1) * around.shape[1]),
                             _binary(where.view(np.uint8), np.append(0, ends) * 8)], schema=PLACES)
 
@@ -230,32 +263,34 @@ def seen_before(h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> np.ndarray
     return out
 
 
-def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by first rank: whole ranks, about RUN_ROWS rows at a time."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n < RUN_ROWS:
-            continue
-        rows = pa.Table.from_batches(held)
-        h = rows.column("h").to_numpy()
-        done = int(np.searchsorted(h, h[-1], "left"))     # the last rank may go on
-        if done:
-            yield from _ranked(rows.slice(0, done))
-        held = rows.slice(done).combine_chunks().to_batches()
-        n = rows.num_rows - done
-    if held:
-        yield from _ranked(pa.Table.from_batches(held))
-
-
-def _ranked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _rank(run_rows: int):
+    """Rows sorted by first rank: whole ranks, about ``run_rows`` rows at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < run_rows:
+                continue
+            rows = pa.Table.from_batches(held)
+            h = rows.column("h").to_numpy()
+            done = int(np.searchsorted(h, h[-1], "left"))     # the last rank may go on
+            if done:
+                yield from _ranked(rows.slice(0, done), 4 * run_rows)
+            held = rows.slice(done).combine_chunks().to_batches()
+            n = rows.num_rows - done
+        if held:
+            yield from _ranked(pa.Table.from_batches(held), 4 * run_rows)
+    return run
+
+
+def _ranked(rows: pa.Table, most: int) -> Iterator[pa.RecordBatch]:
     h = rows.column("h").to_numpy()
     cuts = np.array([0, len(h)])
-    if len(h) > 4 * RUN_ROWS:     # many places of few documents: rank by rank
+    if len(h) > most:     # many places of few documents: rank by rank
         cuts = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = rows.slice(a, b - a).sort_by("doc")
@@ -384,20 +419,23 @@ def repeats(rest: DataFrame) -> DataFrame:
     """doc, cls, lo, hi: per text the maximal runs of bytes that strings of a smaller doc_id cover."""
     keyed = rest.where(F.octet_length("text") >= WIDTH)
     keys = keyed.select("doc", "cls", "text").mapInArrow(_keys, "h long, doc long, cls long")
-    shared = cut(keys.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
-                 .where("lo < hi").select("h", (F.col("n") > HOT).alias("hot")), "suffix-shared")
-    n = shared.count()
-    low = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))
-    low = F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
-    wanted = cut(keys.join(broadcast_if_small(shared, n, MAX_BROADCAST_ROWS), "h").groupBy("doc", "cls")
-                 .agg(F.collect_list(low).alias("wanted"), F.collect_list(F.when(F.col("hot"), low)).alias("wanted_hot")), "suffix-wanted")
-    entries = wanted.agg(F.sum(32 + 4 * F.size("wanted") + 4 * F.size("wanted_hot"))).first()[0] or 0
+    shared = keys.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_shared(HOT), "doc long, cls long, low int, hot long")
+    # Without doc and cls: the one row that lists the hot keys (fewer than one in HOT rows).
+    lists = cut(shared.groupBy("doc", "cls").agg(F.collect_list("low").alias("wanted"), F.collect_list("hot").alias("hot")), "suffix-wanted")
+    wanted = lists.where(F.col("doc").isNotNull()).drop("hot")
+    hot = lists.where(F.col("doc").isNull()).select(F.explode("hot").alias("h"))
+    n_hot, entries = hot.count(), wanted.agg(F.sum(32 + 4 * F.size("wanted"))).first()[0] or 0
     # Texts differ in cls under one doc_id, so a row of the list has the keys of one text.
-    places = cut(_sized_join(keyed, wanted, entries, ["doc", "cls"], "inner").select("doc", "cls", "text", "wanted", "wanted_hot")
-                 .mapInArrow(_places, "h long, hot boolean, doc long, cls long, around binary, places binary"), "suffix-places")
-    cold = places.where(~F.col("hot")).drop("hot").repartition("h").sortWithinPartitions("h")
-    found = cold.mapInArrow(_rank, "doc long, cls long, lo long, hi long")
-    strings = places.where("hot").drop("hot").mapInArrow(_strings, "f long, g long, doc long, cls long, lo long")
+    places = cut(_sized_join(keyed, wanted, entries, ["doc", "cls"], "inner").select("doc", "cls", "text", "wanted")
+                 .mapInArrow(_places(CHUNK), "h long, doc long, cls long, around binary, places binary"), "suffix-places")
+    cold, of_hot = places, places.where(F.lit(False))
+    if n_hot:
+        hot = broadcast_if_small(hot, n_hot, MAX_BROADCAST_ROWS)
+        cold, of_hot = places.join(hot, "h", "left_anti"), places.join(hot, "h", "left_semi")
+    names = ["h", "doc", "cls", "around", "places"]
+    cold = cold.select(names).repartition("h").sortWithinPartitions("h")
+    found = cold.mapInArrow(_rank(RUN_ROWS), "doc long, cls long, lo long, hi long")
+    strings = of_hot.select(names).mapInArrow(_strings, "f long, g long, doc long, cls long, lo long")
     firsts = (strings.groupBy("f", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
               .select("f", "g", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     late = (strings.withColumn("salt", F.pmod(F.xxhash64("doc", "cls"), F.lit(SALTS)).cast("int"))
