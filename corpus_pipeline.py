@@ -12,14 +12,11 @@ operator's docstring says; an empty table of documents gives no sequences.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from agendum.llm import decontamination, line_dedup, ngram_join, packing, toxicity
 from agendum.llm.storage import cut
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the model is fitted on ``labels``."""
@@ -43,7 +40,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences, with their token ids."""
-    return packing.pack(docs, TOKENIZER)
+    import public_tokenizers     # only this stage needs it
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
