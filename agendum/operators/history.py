@@ -134,11 +134,18 @@ def status_changes(history: DataFrame, tickets: DataFrame) -> DataFrame:
     return j.select("ticket_id", "status_change_count", "avg_days_to_change")
 
 
-def ticket_patterns(history: DataFrame, tickets: DataFrame, blocker_pattern: str) -> DataFrame:
+def ticket_patterns(history: DataFrame, tickets: DataFrame, blocker_pattern: str, period: str | None = None) -> DataFrame:
     """A5: per meeting, mean of the per-ticket change delay over tickets with
-    history, and the number of tickets whose content mentions a blocker."""
+    history, and the number of tickets whose content mentions a blocker. With a
+    ``period`` (a ``date_trunc`` unit) there is one row per meeting and period of
+    ticket creation, dated by ``analysis_date``, the first day after the period."""
     j = _with_created(_history_stats(history), tickets, "left")
-    return j.groupBy("meeting_id").agg(
+    keys = ["meeting_id"]
+    if period is not None:
+        after = F.date_trunc(period, "created_at") + F.expr(f"INTERVAL 1 {period}")
+        j = j.withColumn("analysis_date", F.to_date(after))
+        keys.append("analysis_date")
+    return j.groupBy(*keys).agg(
         F.avg("avg_days_to_change").alias("avg_status_change_duration"),
         F.sum(mentions_blocker("content", blocker_pattern)).cast("long").alias("blocker_count"),
         F.count(F.lit(1)).alias("ticket_count"))

@@ -56,10 +56,28 @@ def q_ticket_patterns(spark, d):
     return rounded(patterns_df(spark, d))
 
 
+_DATED = _PATTERNS_SQL + f"""
+, q AS (SELECT meeting_id, CAST(date_trunc('year', created_at) + INTERVAL 1 YEAR AS DATE) AS analysis_date,
+               round(avg(d), 6) AS avg_status_change_duration,
+               CAST(sum(CASE WHEN regexp_matches(content, '{td.ORDER_BLOCKER_PATTERN}') THEN 1 ELSE 0 END) AS BIGINT) AS blocker_count,
+               count(*) AS ticket_count
+        FROM t LEFT JOIN s USING (ticket_id) GROUP BY ALL)
+"""
+
+
+def dated_patterns_df(spark, d):
+    return H.ticket_patterns(td.ticket_history(spark, d), td.tickets(spark, d), td.ORDER_BLOCKER_PATTERN, "year")
+
+
+@query("ticket_patterns_yearly", sql=with_views(_DATED + "SELECT * FROM q", h=TICKET_HISTORY, t=TICKETS))
+def q_ticket_patterns_yearly(spark, d):
+    return rounded(dated_patterns_df(spark, d))
+
+
 @query("patterns_for_meeting", sql=with_views(
-    _PATTERNS_SQL + f"SELECT * FROM p WHERE meeting_id = {PATTERN_MEETING}", h=TICKET_HISTORY, t=TICKETS))
+    _DATED + f"SELECT * FROM q WHERE meeting_id = {PATTERN_MEETING}", h=TICKET_HISTORY, t=TICKETS))
 def q_patterns_for_meeting(spark, d):
-    return rounded(R.patterns_for_meeting(patterns_df(spark, d), PATTERN_MEETING, order_col="meeting_id"))
+    return rounded(R.patterns_for_meeting(dated_patterns_df(spark, d), PATTERN_MEETING))
 
 
 @query("derive_history", sql=with_views(
