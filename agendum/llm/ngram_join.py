@@ -4,12 +4,13 @@ similarity of word shingles (at least ``PERCENT`` % of the union in common).
 Rows with equal shingle sets are one class; the join runs over classes.
 
 1. *Global order.* Every distinct shingle of every row is counted in a table of
-   ``2**COUNT_BITS`` hashed counters (fixed size, summed by Spark). Shingles are
-   ordered by (counter, hash): rare first, and the same for all rows.
+   hashed counters, as many as the counted bytes of the texts ask for (``counter_bits``),
+   summed by Spark. Shingles are ordered by (counter, hash): rare first, and the
+   same for all rows. Any order gives the same result.
 2. *Prefix index.* Of a set of n shingles the first n - ceil(0.8 n) + 1 are its
    prefix. One pass counts the prefix shingles; those that occur once can't join.
-   A bitmap of fixed size over the others (``2**MAP_BITS`` bits; false positives only)
-   lets a second pass index what may join, as (shingle, class, n, position).
+   A bitmap over the others, sized by their number (false positives only), lets a
+   second pass index what may join, as (shingle, class, n, position).
 3. *Star rounds.* In each (shingle, size band) a class chosen by a hash of the round
    is the pivot. Each class is compared with the pivot of another component with
    which it shares most prefix shingles: a linear number of pairs, however
@@ -28,13 +29,14 @@ Classes, shingles and words are known by 64-bit hashes.
 
 Edge cases: a null or empty text, or one without words, has the empty set and is
 linked with nothing (its component is its own doc_id). Fewer words than ``WIDTH``
-make one shingle. Repeated rows fall into one class. A null doc_id is ignored as
+make one shingle. A very long text is hashed alone, whole. Repeated rows fall into one class. A null doc_id is ignored as
 a component's name unless it is all the component has. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +45,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from agendum.llm.storage import broadcast_if_small, cut, ship_code
+from agendum.llm.storage import Cuts, broadcast_if_small, cut, ship_code
 from agendum.llm.wordhash import WHITE, mix, shingles, slices, words
 
 WIDTH = 5
 PERCENT = 80
-COUNT_BITS = 19
-BLOCK = 1 << 12           # counters a row of the summed table holds
+COUNTER_BYTES = 128       # of text for each counter of shingles
+MAX_COUNT_BITS = 24       # 32 MB of levels
+BLOCK_BITS = 14
+BLOCK = 1 << BLOCK_BITS   # counters, or bytes of the bitmap, in a row
 SKETCH_BITS = 512         # of a set for the suffix filter
-MAP_BITS = 26             # an 8 MB bitmap of prefix shingles that occur more than once
+MAP_ROOM = 16             # bits for each prefix shingle that occurs more than once
+MAX_MAP_BITS = 29         # 64 MB
 ROUNDS = 2
 BROADCAST_ROWS = 2_000_000  # of (doc_id) pairs of longs: 32 MB
 MAX_STEPS = 40
@@ -77,33 +82,44 @@ def class_ids(h: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray,
     return out.view(np.int64), size
 
 
+def counter_bits(docs: DataFrame) -> int:
+    """One counter for every ``COUNTER_BYTES`` bytes of text: the share of shingles that
+    have their counter to themselves is the same at every size up to 2**MAX_COUNT_BITS."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MAX_COUNT_BITS, max(BLOCK_BITS, math.ceil(size / COUNTER_BYTES).bit_length()))
+
+
 def _count(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << bits, np.int64)
+    """Counters in blocks; a block is one row for each byte of its largest number."""
+    total = np.zeros(1 << bits, np.uint32)
     for batch in batches:
         for _, _, h, _ in sets_of(batch.column(0), width):
-            total += np.bincount((h >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+            np.add.at(total, (h >> _U(64 - bits)).astype(np.int64), np.uint32(1))
     for b in range(0, 1 << bits, BLOCK):
-        part = total[b:b + BLOCK]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK]), pa.array([part.astype("<i8").tobytes()])], names=["block", "counts"])
+        part, place = total[b:b + BLOCK], 0
+        while part.any():
+            packed = zlib.compress((part & 255).astype(np.uint8).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK]), pa.array([place]), pa.array([packed])], names=["block", "place", "counts"])
+            part, place = part >> 8, place + 8
 
 
-def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _levels(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The summed counters of a block, as levels."""
     total = np.zeros(BLOCK, np.int64)
-    for c in table.column("counts"):
-        total += np.frombuffer(c.as_buffer(), "<i8")
-    return pa.table({"block": [key[0].as_py()], "counts": [total.tobytes()]})
-
-
-def count_table(docs: DataFrame, width: int, bits: int = COUNT_BITS) -> np.ndarray:
-    """Document frequency of shingles by hashed counter, over all rows. The
-    result has 2**bits numbers whatever the input."""
-    parts = (docs.select("text").mapInArrow(lambda b: _count(b, width, bits), "block long, counts binary")
-             .groupBy("block").applyInArrow(_sum, "block long, counts binary"))
-    total = np.zeros(1 << bits, np.int64)
-    for r in parts.collect():   # at most 2**bits / BLOCK rows
-        total[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.counts, "<i8")
-    return total
+    for place, packed in zip(table.column("place").to_pylist(), table.column("counts"), strict=True):
+        total += np.frombuffer(zlib.decompress(packed.as_py()), np.uint8).astype(np.int64) << place
+    return pa.table({"block": [key[0].as_py()], "levels": [rank_levels(total).astype("<u2").tobytes()]})
+
+
+def count_levels(docs: DataFrame, width: int, bits: int) -> np.ndarray:
+    """Level of the document frequency of shingles by hashed counter, over all
+    rows: 2**bits numbers, at most 2 * 2**MAX_COUNT_BITS bytes."""
+    parts = (docs.select("text").mapInArrow(lambda b: _count(b, width, bits), "block long, place long, counts binary")
+             .groupBy("block").applyInArrow(_levels, "block long, levels binary"))
+    out = np.zeros(1 << bits, np.uint16)
+    for r in parts.collect():   # at most 2**(bits - BLOCK_BITS) rows
+        out[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.levels, "<u2")
+    return out
 
 
 def rank_levels(counts: np.ndarray) -> np.ndarray:
@@ -154,41 +170,45 @@ def _prefix_tokens(batches, levels, width, percent, bits) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))], names=["token"])
 
 
-def _bit(token: np.ndarray) -> np.ndarray:
-    return (mix(token) >> _U(64 - MAP_BITS)).astype(np.int64)
+def _bit(token: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(token) >> _U(64 - bits)).astype(np.int64)
 
 
-def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << MAP_BITS, bool)
+def _bitmap(batches: Iterator[pa.RecordBatch], map_bits: int) -> Iterator[pa.RecordBatch]:
+    packed = np.zeros(1 << (map_bits - 3), np.uint8)
     for batch in batches:
-        bits[_bit(batch.column(0).to_numpy().view(np.uint64))] = True
-    wide = BLOCK * 64
-    for b in range(0, 1 << MAP_BITS, wide):
-        part = bits[b:b + wide]
+        at = _bit(batch.column(0).to_numpy().view(np.uint64), map_bits)
+        np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    for b in range(0, len(packed), BLOCK):
+        part = packed[b:b + BLOCK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([b // wide]), pa.array([np.packbits(part).tobytes()])], names=["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK]), pa.array([part.tobytes()])], names=["block", "bits"])
 
 
 def _either(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK * 8, np.uint8)
+    total = np.zeros(BLOCK, np.uint8)
     for c in table.column("bits"):
         total |= np.frombuffer(c.as_buffer(), np.uint8)
     return pa.table({"block": [key[0].as_py()], "bits": [total.tobytes()]})
 
 
-def shared_map(tokens: DataFrame) -> np.ndarray:
-    """Bitmap of the tokens that occur more than once. Its size is fixed."""
-    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    parts = often.coalesce(16).mapInArrow(_bitmap, "block long, bits binary").groupBy("block").applyInArrow(_either, "block long, bits binary")
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for r in parts.collect():    # 2**MAP_BITS bits at most
-        out[r.block * BLOCK * 8:(r.block + 1) * BLOCK * 8] = np.frombuffer(r.bits, np.uint8)
-    return out
+def shared_map(cuts: Cuts, tokens: DataFrame) -> tuple[np.ndarray, int]:
+    """Bitmap of the tokens that occur more than once, ``MAP_ROOM`` bits for each
+    up to 2**MAX_MAP_BITS, and the power of two of its size."""
+    often = cuts.cut(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "ngram-often")
+    map_bits = min(MAX_MAP_BITS, max(BLOCK_BITS + 3, (often.count() * MAP_ROOM).bit_length()))
+    parts = (often.coalesce(16).mapInArrow(lambda b: _bitmap(b, map_bits), "block long, bits binary")
+             .groupBy("block").applyInArrow(_either, "block long, bits binary"))
+    out = np.zeros(1 << (map_bits - 3), np.uint8)
+    for r in parts.collect():    # 2**map_bits bits at most
+        out[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.bits, np.uint8)
+    cuts.drop(often)
+    return out, map_bits
 
 
-def _index(batches, levels, shared, width, percent, bits) -> Iterator[pa.RecordBatch]:
+def _index(batches, levels, shared, map_bits, width, percent, bits) -> Iterator[pa.RecordBatch]:
     for token, cls, n, place in _prefixes(batches, levels, width, percent, bits):
-        at = _bit(token)
+        at = _bit(token, map_bits)
         keep = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
         yield pa.RecordBatch.from_arrays([
             pa.array(token[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32))],
@@ -212,21 +232,15 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
     for batch in batches:
         for i, j, h, row in sets_of(batch.column(0), width):
             cls, size = class_ids(h, row, j - i)
-            ends = np.append(0, np.cumsum(size)) * 8
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(h.astype("<u8"))])
-            yield pa.RecordBatch.from_arrays([pa.array(cls), raw.cast(pa.binary())], names=["cls", "shingles"])
+            ends = np.append(0, np.cumsum(size)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["cls", "shingles"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keep (a, b) whose sets, sorted arrays of hashes, overlap enough."""
-    for batch in batches:
-        ok = np.zeros(batch.num_rows, bool)
-        for k in range(batch.num_rows):
-            x = np.frombuffer(batch.column(2)[k].as_buffer(), "<u8")
-            y = np.frombuffer(batch.column(3)[k].as_buffer(), "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok[k] = 100 * both >= percent * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+def overlap_enough(x: F.Column, y: F.Column, percent: int) -> F.Column:
+    """Whether two sets (arrays of distinct hashes) share ``percent`` % of their
+    union. Row by row in Spark, so memory is that of one pair."""
+    both, all_ = F.size(F.array_intersect(x, y)).cast("long"), (F.size(x) + F.size(y)).cast("long")
+    return both * 100 >= (all_ - both) * percent
 
 
 def may_link(x: str, y: str, percent: int) -> F.Column:
@@ -260,25 +274,27 @@ def sketched(pairs: DataFrame, classes: DataFrame, a: str, b: str, percent: int)
             .where(sketches_allow(F.col("_n1"), F.col("_s1"), F.col("_n2"), F.col("_s2"), percent)).select(*pairs.columns))
 
 
-def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def linked(cuts: Cuts, docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link. ``classes``: cls, doc_id of one member."""
-    pairs = cut(pairs, "ngram-pairs")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls"), "ngram-wanted")
+    pairs = cuts.cut(pairs, "ngram-pairs")
+    wanted = cuts.cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls"), "ngram-wanted")
     rows = wanted.count()
     texts = docs.join(broadcast_if_small(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), rows, BROADCAST_ROWS),
                       F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = (texts.select("text").mapInArrow(lambda b: _full_sets(b, width), "cls long, shingles binary")
+    sets = (texts.select("text").mapInArrow(lambda b: _full_sets(b, width), "cls long, shingles array<long>")
             .join(broadcast_if_small(wanted.select("cls"), rows, BROADCAST_ROWS), "cls", "left_semi").dropDuplicates(["cls"]))
     both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b"))
-    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: _verify(b, percent), "a long, b long"), "ngram-edges")
+    edges = cuts.cut(both.where(overlap_enough(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"), "ngram-edges")
+    cuts.drop(pairs, wanted)
+    return edges
 
 
-def star_components(edges: DataFrame) -> DataFrame:
+def star_components(cuts: Cuts, edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node of the component. Alternating
     large-star and small-star steps (Kiveris et al., SoCC 2014) until nothing
-    changes; each step is written to the shared folder."""
-    cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    changes; each step is written to the shared folder, in place of the one before."""
+    cur = cuts.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     before = None
     for _ in range(MAX_STEPS):
         both = cur.union(cur.select("v", "u"))
@@ -286,26 +302,33 @@ def star_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        cur = cut(small.where("u <> v").distinct(), "components")
+        last, cur = cur, cuts.cut(small.where("u <> v").distinct(), "components")
+        cuts.drop(last)
         now = cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return cur
 
 
-def merge_components(comp: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """(node, root) after the edges join components; nodes that are roots aren't listed."""
+def merge_components(cuts: Cuts, comp: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, root) after the edges join components, in place of ``comp`` and
+    ``edges``; nodes that are roots aren't listed."""
     if comp is None:
-        return star_components(edges)
+        new = star_components(cuts, edges)
+        out = cuts.cut(new.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
+        cuts.drop(new, edges)
+        return out
     of = comp.select(F.col("node").alias("n"), "root")
     mapped = (edges.join(of.withColumnsRenamed({"n": "a", "root": "ra"}), "a", "left").join(of.withColumnsRenamed({"n": "b", "root": "rb"}), "b", "left")
               .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    new = star_components(mapped)
-    moved = comp.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(moved.union(new), "components")
+    new = star_components(cuts, mapped)
+    moved = comp.join(new.select(F.col("u").alias("root"), F.col("v").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = cuts.cut(moved.union(new.select("u", "v")), "components")
+    cuts.drop(comp, edges, new)
+    return out
 
 
 def with_roots(index: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -325,17 +348,22 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     spark = docs.sparkSession
     ship_code(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    levels = spark.sparkContext.broadcast(rank_levels(count_table(docs, width)))
-    bits = COUNT_BITS
-
-    described = cut(docs.mapInArrow(lambda b: _describe(b, width), "doc_id long, cls long, n long, sketch array<long>"), "ngram-rows")
-    classes = cut(described.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "ngram-classes")
-
-    shared = spark.sparkContext.broadcast(shared_map(docs.select("text").mapInArrow(lambda b: _prefix_tokens(b, levels, width, percent, bits), "token long")))
-    index = cut(docs.select("text").mapInArrow(lambda b: _index(b, levels, shared, width, percent, bits), "token long, cls long, n int, pos int"), "ngram-index")
-    several = index.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
+    cuts = Cuts(spark)
+    bits = counter_bits(docs)
+    levels = spark.sparkContext.broadcast(count_levels(docs, width, bits))
+
+    described = cuts.cut(docs.mapInArrow(lambda b: _describe(b, width), "doc_id long, cls long, n long, sketch array<long>"), "ngram-rows")
+    classes = cuts.cut(described.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "ngram-classes")
+
+    shared, map_bits = shared_map(cuts, docs.select("text").mapInArrow(lambda b: _prefix_tokens(b, levels, width, percent, bits), "token long"))
+    shared = spark.sparkContext.broadcast(shared)
+    first = cuts.cut(docs.select("text").mapInArrow(lambda b: _index(b, levels, shared, map_bits, width, percent, bits), "token long, cls long, n int, pos int"), "ngram-index")
+    for table in (levels, shared):      # later steps start from the written index
+        table.destroy()
+    several = first.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    index = cut(index.join(several, "token").withColumn("band", band), "ngram-index")
+    index = cuts.cut(first.join(several, "token").withColumn("band", band), "ngram-index")
+    cuts.drop(first)
 
     comp = None
     for r in range(rounds):
@@ -348,7 +376,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
         best = (sketched(star, classes, "cls", "pivot", percent)
                 .groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")))
         pairs = best.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-        comp = merge_components(comp, linked(docs, classes, pairs, width, percent))
+        comp = merge_components(cuts, comp, linked(cuts, docs, classes, pairs, width, percent))
 
     # Closing round: what is left between components.
     rows = with_roots(index, comp)
@@ -356,26 +384,30 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     # ``prev``: the open prefix shingle before this one. Where both rows of a pair
     # have the same, the pair is found there already, so each run of common
     # shingles gives a pair once.
-    left = cut(rows.join(mixed, "token").join(classes.select("cls", "sketch"), "cls").drop("band")
+    left = cuts.cut(rows.join(mixed, "token").join(classes.select("cls", "sketch"), "cls").drop("band")
                .withColumn("prev", F.lag("token").over(Window.partitionBy("cls").orderBy("pos", "token"))), "ngram-open")
-    open_pairs = cut(
+    cuts.drop(index)
+    open_pairs = cuts.cut(
         left.alias("x").join(left.alias("y"), "token")
         .where("x.root <> y.root and (x.n < y.n or (x.n = y.n and x.cls < y.cls))").where(may_link("x", "y", percent))
         .where(~F.coalesce(F.col("x.prev") == F.col("y.prev"), F.lit(False)))
         .where(sketches_allow(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), percent))
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"),
                 bits_apart(F.col("x.sketch"), F.col("y.sketch")).alias("apart")).distinct(), "ngram-open-pairs")
+    cuts.drop(left)
     # First the nearest of each other component, which joins most components that
     # belong together; then every pair that is still between components.
     nearest = (open_pairs.groupBy("a", "rb").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b")
                .union(open_pairs.groupBy("b", "ra").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")).distinct())
-    nearest = cut(nearest, "ngram-nearest")
-    comp = merge_components(comp, linked(docs, classes, nearest, width, percent))
+    nearest = cuts.cut(nearest, "ngram-nearest")
+    comp = merge_components(cuts, comp, linked(cuts, docs, classes, nearest, width, percent))
     of = comp.select("node", "root")
     still = (open_pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti")
              .join(of.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
              .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    comp = merge_components(comp, linked(docs, classes, still, width, percent))
+    open_links = linked(cuts, docs, classes, still, width, percent)
+    cuts.drop(open_pairs, nearest)
+    comp = merge_components(cuts, comp, open_links)
 
     first = classes.select("cls", F.col("doc_id").alias("first_id"))
     groups = comp.union(comp.select("root", "root").distinct())

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Cuts:
+    """Tables of one run that later steps replace. The shuffle files of a written
+    table go at once, and ``drop`` removes tables that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP_CONF)
+        self.spark.conf.set(SHUFFLE_CLEANUP_CONF, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP_CONF, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that ``cut`` returned; only what is read from other cuts may come after."""
+        for df in tables:
+            if df is None:
+                continue
+            _, path = self.paths.pop(id(df))
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Mark ``df`` (``rows`` counted rows of a few fixed-width columns) for
     broadcast when it is proven small; beyond that Spark joins by shuffle."""
