@@ -50,6 +50,7 @@ from agendum.llm.wordhash import WHITE, mix, shingles, slices, words
 
 WIDTH = 5
 PERCENT = 80
+SET_BYTES = 1 << 18       # of texts that are hashed at once: some 60 bytes of arrays each
 COUNTER_BYTES = 128       # of text for each counter of shingles
 MAX_COUNT_BITS = 24       # 32 MB of levels
 BLOCK_BITS = 14
@@ -66,7 +67,7 @@ _U = np.uint64
 
 def sets_of(col: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, shingle hashes, row numbers from the first row)."""
-    for i, j, data, off in slices(col):
+    for i, j, data, off in slices(col, SET_BYTES):
         h, _, _, text = words(data, off, WHITE)
         yield i, j, *shingles(h, text, j - i, width)
 

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import os
 import random
 
+import numpy as np
+import pyarrow as pa
 from agendum.llm import ngram_join
+from agendum.llm.storage import Cuts, shared_dir
+from pyspark.sql import functions as F
 from tests.llm.helpers import components, docs_of, odd_texts
 
 
@@ -74,3 +79,32 @@ def test_least_overlap_is_the_jaccard_threshold():
             least = int(ngram_join.least_overlap(n, m, 80))
             assert 100 * least >= 80 * (n + m - least)
             assert 100 * (least - 1) < 80 * (n + m - least + 1)
+
+
+def test_counters_grow_with_the_text_and_keep_large_counts(spark):
+    small, large = docs_of(spark, ["a" * 100]), docs_of(spark, ["a" * 40_000_000])
+    assert ngram_join.counter_bits(small) == ngram_join.counter_bits(docs_of(spark, [])) == ngram_join.BLOCK_BITS
+    assert 2 ** ngram_join.counter_bits(large) * ngram_join.COUNTER_BYTES >= 40_000_000
+    one = pa.RecordBatch.from_arrays([pa.array(["one two three four five"] * 70_000)], names=["text"])
+    rows = pa.Table.from_batches(list(ngram_join._count(iter([one]), 5, ngram_join.BLOCK_BITS)))
+    assert rows.column("place").to_pylist() == [0, 8, 16]       # 70,000 takes three bytes
+    levels = np.frombuffer(ngram_join._levels((pa.scalar(0),), rows).column("levels")[0].as_buffer(), "<u2")
+    assert levels.max() == ngram_join.rank_levels(np.array([70_000]))[0] and np.count_nonzero(levels) == 1
+
+
+def test_pairs_are_verified_exactly(spark):
+    sets = [([1, 2, 3, 4], [1, 2, 3, 4, 5]), ([1, 2, 3, 4], [1, 2, 3, 5]), ([7], [7]), ([7], [8])]
+    rows = spark.createDataFrame(sets, "x array<long>, y array<long>")
+    got = [r.ok for r in rows.select(ngram_join.overlap_enough(F.col("x"), F.col("y"), 80).alias("ok")).collect()]
+    assert got == [True, False, True, False]
+
+
+def test_replaced_tables_are_removed(spark):
+    cuts = Cuts(spark)
+    first = cuts.cut(spark.range(10), "cuts-test")
+    second = cuts.cut(first.groupBy((F.col("id") % 3).alias("k")).count(), "cuts-test")
+    cuts.drop(first, None)
+    assert {r["k"]: r["count"] for r in second.collect()} == {0: 4, 1: 3, 2: 3}
+    left = [x for x in os.listdir(f"{shared_dir(spark).removeprefix('file:')}/agendum") if x.startswith("cuts-test")]
+    assert len(left) == 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
