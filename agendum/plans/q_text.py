@@ -14,7 +14,6 @@ from agendum.sources import testdata as td
 
 TOP_K = 5
 MATCH_THRESHOLD = 0.5
-LINE_ID_BASE = 1_000_000        # mention id = doc_id * base + line number
 
 
 def _tok(col: str) -> str:
@@ -91,17 +90,17 @@ def q_duplicate_tickets(spark, d):
 @query("match_titles", sql=f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                       generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-, ml AS (SELECT doc_id * {LINE_ID_BASE} + line_no AS mention_id, list_distinct({_tok('line')}) AS ms FROM lines)
+, ml AS (SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, list_distinct({_tok('line')}) AS ms FROM lines)
 , bt AS (SELECT item_id AS ticket_id, list_distinct({_tok('text')}) AS ts FROM benchmark)
-, p AS (SELECT mention_id, ticket_id,
+, p AS (SELECT doc_id, line_no, ticket_id,
                len(list_intersect(ms, ts)) / len(list_distinct(list_concat(ms, ts))) AS j
         FROM ml, bt WHERE len(ms) > 0 AND len(ts) > 0)
-SELECT mention_id, ticket_id, round(j, 6) AS jaccard FROM p WHERE j >= {MATCH_THRESHOLD}""")
+SELECT doc_id, line_no, ticket_id, round(j, 6) AS jaccard FROM p WHERE j >= {MATCH_THRESHOLD}""")
 def q_match_titles(spark, d):
     lines = X.document_lines(td.transcript_documents(spark, d)).select(
-        (F.col("doc_id") * LINE_ID_BASE + F.col("line_no")).alias("mention_id"), F.col("line").alias("text"))
+        F.struct("doc_id", F.col("line_no").cast("long").alias("line_no")).alias("mention_id"), F.col("line").alias("text"))
     items = td.table(spark, d, "benchmark").select(F.col("item_id").alias("ticket_id"), F.col("text").alias("title"))
-    return rounded(X.match_titles(lines, items, MATCH_THRESHOLD))
+    return rounded(X.match_titles(lines, items, MATCH_THRESHOLD).select("mention_id.*", "ticket_id", "jaccard"))
 
 
 def _intent_sql() -> str:
