@@ -107,12 +107,12 @@ def _placed(rows: DataFrame, column: str, extra: list[F.Column] = []) -> DataFra
 
 def base_matches(rows: DataFrame) -> DataFrame:
     """row_id, kind (number), start, end, holds of the base matches that hold, and of
-    those that look like their kind but fail (a number too short for a card is neither)."""
+    those that look like their kind but fail (a number too short for a card does not)."""
     out = None
     for number, kind in enumerate(KINDS):
         part = _placed(rows, kind).withColumn("holds", _valid(F.lit(kind), F.col("match")))
         if kind == "card":
-            part = part.where(F.length(F.regexp_replace("match", "[^0-9]", "")).between(13, 19))
+            part = part.where(F.length(F.regexp_replace("match", "[^0-9]", "")) >= 13)
         part = part.select("row_id", F.lit(number).alias("kind"), "start", "end", "holds")
         out = part if out is None else out.union(part)
     return out

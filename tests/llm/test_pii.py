@@ -43,7 +43,7 @@ def brute_context(texts):
         for kind, pattern in BASE.items():
             for m in re.finditer(pattern, text or ""):
                 n = len(re.sub("[^0-9]", "", m.group()))
-                if kind != "card" or 13 <= n <= 19:
+                if kind != "card" or n >= 13:
                     tried.append((m.start(), m.end(), (kind, m.start(), m.end()) in brute(text)))
         words = list(re.finditer(r"[^ \t\n\x0b\f\r]+", text or ""))
         plain = [re.sub("[0-9]", "0", w.group()).lower() for w in words]
