@@ -6,12 +6,15 @@ one block and sets one bit in each word. It is built by one aggregation
 (``bit_or`` per block, combined before the shuffle) and probed by a join on the
 block number, broadcast when its counted size is small. URLs that miss a bit are
 certainly not listed and go no further; possible hits are joined with the list
-itself, so false positives go and the verdicts are exact.
+itself, so false positives go and the verdicts are exact. Where these joins are
+shuffled, rows are dealt over ``SALTS`` copies of the filter and the list, so a URL
+that a third of the rows have is no single task; rows without a canonical URL are
+dealt by page_id.
 
 All of it is built-in column functions.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits
-no rule and is listed nowhere; repeated rows get a verdict each; an empty list
+no rule and is listed nowhere; very long urls are read whole; repeated rows get a verdict each; an empty list
 blocks nothing; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,6 +30,7 @@ from agendum.llm.storage import broadcast_if_small, cut
 BITS_PER_URL = 16
 WORDS, WORD_BITS = 8, 64
 BROADCAST_BLOCKS = 250_000      # of 72 bytes: 18 MB
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Fixed values: (verdict, host, path).
@@ -74,7 +78,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     listed = cut(listed.select("canonical").where(F.col("canonical").isNotNull()).distinct(), "url-list")
     n_listed = listed.count()
     blocks, n_blocks = bloom_filter(listed, n_listed)
-    blocks = broadcast_if_small(cut(blocks, "url-bloom"), n_blocks, BROADCAST_BLOCKS)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    blocks, keys = cut(blocks, "url-bloom"), ["block"]
+    if n_blocks > BROADCAST_BLOCKS:
+        blocks, keys = blocks.withColumn("salt", salts), ["block", "salt"]
+    blocks = broadcast_if_small(blocks, n_blocks, BROADCAST_BLOCKS)
 
     url = F.col("url").cast("string")
     rows = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("canonical"))
@@ -84,14 +92,15 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(action)).otherwise(verdict)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     block, masks = _places(F.col("canonical"), n_blocks)
-    rows = rows.withColumn("block", F.coalesce(block, F.lit(-1).cast("long")))
+    none = -1 - F.pmod(F.xxhash64("page_id"), F.lit(4096))
+    rows = rows.withColumns({"block": F.when(F.col("canonical").isNull(), none).otherwise(block), "salt": F.pmod(F.spark_partition_id(), F.lit(SALTS))})
     hit = F.lit(True)
     for w, m in enumerate(masks):
         hit &= F.col(f"w{w}").bitwiseAND(m) == m
-    probed = cut(rows.join(blocks, "block", "left").withColumn("possible_hit", F.coalesce(hit, F.lit(False)) & F.col("canonical").isNotNull())
-                 .select("page_id", "host", "path", "rule", "ruled", "canonical", "possible_hit"), "url-probed")
+    probed = cut(rows.join(blocks, keys, "left").withColumn("possible_hit", F.coalesce(hit, F.lit(False)) & F.col("canonical").isNotNull())
+                 .select("page_id", "host", "path", "rule", "ruled", "canonical", "possible_hit", "salt"), "url-probed")
     clear = probed.where(~F.col("possible_hit")).withColumn("verdict", F.coalesce("ruled", F.lit("allow")))
-    hits = (probed.where("possible_hit").join(listed.withColumn("is_listed", F.lit(True)), "canonical", "left")
+    hits = (probed.where("possible_hit").join(listed.select("canonical", salts.alias("salt"), F.lit(True).alias("is_listed")), ["canonical", "salt"], "left")
             .withColumn("verdict", F.coalesce("ruled", F.when(F.col("is_listed"), "block").otherwise("allow"))))
     cols = ["page_id", "host", "path", "rule", "verdict", "canonical", "possible_hit"]
     return clear.select(*cols).union(hits.select(*cols))

@@ -4,6 +4,7 @@ import random
 import re
 
 from agendum.llm import url_filter as U
+from pyspark.sql import functions as F
 from tests.llm.helpers import AZ
 
 
@@ -68,3 +69,15 @@ def test_plans_stay_native(spark):
     pages = pages_of(spark, URLS)
     plan = U.judge(pages, U.listed_pages(pages))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hot_urls_and_rows_without_one_are_dealt_over_salts(spark, monkeypatch):
+    """A filter too large to broadcast: a hot URL and rows without one are many keys of the joins."""
+    monkeypatch.setattr(U, "BROADCAST_BLOCKS", 0)
+    rows = [(i, "https://hot.example.io/x" if i % 3 == 0 else None if i % 3 == 1 else f"https://h{i}.example.io/y") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(20)
+    listed = spark.createDataFrame([("hot.example.io/x",), ("h2.example.io/y",), (None,)], "canonical string")
+    out = U.judge(pages, listed).collect()
+    assert sorted((r.page_id, r.verdict) for r in out) == sorted((i, "block" if i % 3 == 0 or i == 2 else "allow") for i, _ in rows)
+    hot = pages.where(F.col("page_id") % 3 == 0).select(F.spark_partition_id() % U.SALTS).distinct().count()
+    assert hot > 8
