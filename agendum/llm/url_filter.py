@@ -30,6 +30,7 @@ from agendum.llm.storage import broadcast_if_small, cut
 BITS_PER_URL = 16
 WORDS, WORD_BITS = 8, 64
 BROADCAST_BLOCKS = 250_000      # of 72 bytes: 18 MB
+SALTED_URLS = 20_000            # listed URLs beyond which the exact join is salted
 SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,7 +101,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     probed = cut(rows.join(blocks, keys, "left").withColumn("possible_hit", F.coalesce(hit, F.lit(False)) & F.col("canonical").isNotNull())
                  .select("page_id", "host", "path", "rule", "ruled", "canonical", "possible_hit", "salt"), "url-probed")
     clear = probed.where(~F.col("possible_hit")).withColumn("verdict", F.coalesce("ruled", F.lit("allow")))
-    hits = (probed.where("possible_hit").join(listed.select("canonical", salts.alias("salt"), F.lit(True).alias("is_listed")), ["canonical", "salt"], "left")
+    listed, keys = listed.withColumn("is_listed", F.lit(True)), ["canonical"]
+    if n_listed > SALTED_URLS:
+        listed, keys = listed.withColumn("salt", salts), ["canonical", "salt"]
+    hits = (probed.where("possible_hit").join(listed, keys, "left")
             .withColumn("verdict", F.coalesce("ruled", F.when(F.col("is_listed"), "block").otherwise("allow"))))
     cols = ["page_id", "host", "path", "rule", "verdict", "canonical", "possible_hit"]
     return clear.select(*cols).union(hits.select(*cols))

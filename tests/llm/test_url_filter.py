@@ -74,6 +74,7 @@ def test_plans_stay_native(spark):
 def test_hot_urls_and_rows_without_one_are_dealt_over_salts(spark, monkeypatch):
     """A filter too large to broadcast: a hot URL and rows without one are many keys of the joins."""
     monkeypatch.setattr(U, "BROADCAST_BLOCKS", 0)
+    monkeypatch.setattr(U, "SALTED_URLS", 0)
     rows = [(i, "https://hot.example.io/x" if i % 3 == 0 else None if i % 3 == 1 else f"https://h{i}.example.io/y") for i in range(600)]
     pages = spark.createDataFrame(rows, "page_id long, url string").repartition(20)
     listed = spark.createDataFrame([("hot.example.io/x",), ("h2.example.io/y",), (None,)], "canonical string")
