@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from agendum.functions.expressions import ROLES, preview
@@ -16,6 +18,8 @@ from agendum.plans.sqlviews import (GROUP_MEMBERS, GROUPS, MEETINGS, MEMBERSHIP_
                                     ORDERED_TRANSCRIPTS, TICKET_HISTORY, TICKET_PATCHES,
                                     TICKET_SUGGESTIONS, TICKETS, TIMED_TRANSCRIPTS, USERS,
                                     with_views)
+from agendum.session import checkpoint_dir
+from agendum.sinks.bucketed import BucketedTable
 from agendum.sources import events as EV
 from agendum.sources import testdata as td
 
@@ -173,16 +177,30 @@ _LATEST_HISTORY_SQL = f"""
 """
 
 
-@query("upsert_snapshot", sql=with_views(_LATEST_HISTORY_SQL + """
+_UPSERT_SQL = with_views(_LATEST_HISTORY_SQL + """
 SELECT coalesce(t.ticket_id, c.ticket_id) AS ticket_id, t.meeting_id, t.title, t.content,
        coalesce(c.status, t.status) AS status, t.assignee_id, t.created_at,
        coalesce(c.updated_at, t.updated_at) AS updated_at
-FROM t FULL OUTER JOIN c ON t.ticket_id = c.ticket_id""", h=TICKET_HISTORY, t=TICKETS))
-def q_upsert_snapshot(spark, d):
+FROM t FULL OUTER JOIN c ON t.ticket_id = c.ticket_id""", h=TICKET_HISTORY, t=TICKETS)
+
+
+def _latest_status(spark, d):
     h = td.ticket_history(spark, d).select("ticket_id", "changed_at", *td.HISTORY_TIEBREAK, "new_status")
-    latest = R.latest_by_key(h, ["ticket_id"], ["changed_at", *td.HISTORY_TIEBREAK]).select(
+    return R.latest_by_key(h, ["ticket_id"], ["changed_at", *td.HISTORY_TIEBREAK]).select(
         "ticket_id", F.col("new_status").alias("status"), F.col("changed_at").alias("updated_at"))
-    return R.upsert(td.tickets(spark, d), latest, ["ticket_id"], ["status", "updated_at"])
+
+
+@query("upsert_snapshot", sql=_UPSERT_SQL)
+def q_upsert_snapshot(spark, d):
+    return R.upsert(td.tickets(spark, d), _latest_status(spark, d), ["ticket_id"], ["status", "updated_at"])
+
+
+@query("upsert_bucketed", sql=_UPSERT_SQL)
+def q_upsert_bucketed(spark, d):
+    run = uuid.uuid4().hex
+    table = BucketedTable(spark, f"tickets_{run}", f"{checkpoint_dir(spark)}/agendum/tickets-{run}", ["ticket_id"], 8)
+    table.create(td.tickets(spark, d))
+    return table.upsert(_latest_status(spark, d), ["status", "updated_at"], 1)
 
 
 _PATCH_SQL = f"""
