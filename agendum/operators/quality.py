@@ -8,12 +8,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ROWS_PER_TASK = 500_000   # keys that one task counts
+
 
 def check_unique(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """Q1: keys that occur more than once: (check, key, n)."""
+    """Q1: keys that occur more than once: (check, key, n).
+
+    Most keys occur once, so the tables of groups are as long as the input: keys
+    are dealt over tasks by the number of rows, which bounds those of a task."""
     out = None
     for name, (df, keys) in tables.items():
-        d = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        dealt = df.select(*keys).repartition(max(1, -(-df.count() // ROWS_PER_TASK)), *keys)
+        d = (dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
                .select(F.lit(name).alias("check"),
                        F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"), "n"))
         out = d if out is None else out.unionByName(d)
