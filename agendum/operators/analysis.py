@@ -14,6 +14,7 @@ from agendum.operators.text import stitch_transcripts
 # --- fixed values -----------------------------------------------------------
 NO_TICKETS_LINE = "No existing tickets."      # the context's empty-ticket line
 UPDATE_STATUSES = ("IN_PROGRESS", "DONE")     # what an answer may set a ticket to
+BROADCAST_MEETINGS = 2_000_000                # ids of meetings sent to every task: 32 MB
 # ---------------------------------------------------------------------------
 
 
@@ -97,11 +98,16 @@ def analysis_context(segments: DataFrame, tickets: DataFrame, members: DataFrame
 
     names = users.select("user_id", blank_to_null(F.col("name")).alias("name"))
     mt = segments.select("meeting_id").distinct()
-    grp = mt.join(meeting_groups(meetings), "meeting_id")
+    # Tickets and meeting rows of other meetings are left where they are read.
+    wanted = F.broadcast(mt) if mt.count() <= BROADCAST_MEETINGS else mt
+    grp = meeting_groups(meetings.join(wanted, "meeting_id", "left_semi"))
     mem = members.join(grp.select("group_id").distinct(), "group_id", "left_semi").join(names, "user_id", "left")
-    tk = (tickets.join(mt, "meeting_id", "left_semi")
-          .join(names.withColumnsRenamed({"user_id": "assignee_id", "name": "assignee"}), "assignee_id", "left"))
-    none = mt.join(tickets.select("meeting_id"), "meeting_id", "left_anti")
+    own = tickets.join(wanted, "meeting_id", "left_semi")
+    none = mt.join(own.select("meeting_id").distinct(), "meeting_id", "left_anti")
+    # Open tickets have no assignee; as join keys, all their nulls would meet in one task.
+    held = own.filter(F.col("assignee_id").isNotNull()).join(
+        names.withColumnsRenamed({"user_id": "assignee_id", "name": "assignee"}), "assignee_id", "left")
+    tk = held.unionByName(own.filter(F.col("assignee_id").isNull()).withColumn("assignee", F.lit(None).cast("string")))
     return (lines(stitch_transcripts(segments), "meeting", "meeting_id", "1_transcript", F.col("piece"), F.col("transcript"))
             .unionByName(lines(grp, "meeting", "meeting_id", "2_group", F.col("group_id"), F.col("group_id").cast("string")))
             .unionByName(lines(mem, "group", "group_id", "2_members", F.col("user_id"),

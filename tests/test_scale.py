@@ -3,6 +3,7 @@ key without a value gathers rows."""
 
 from __future__ import annotations
 
+from agendum.operators import analysis as A
 from agendum.operators import quality as Q
 from tests.conftest import rows_of
 
@@ -17,3 +18,19 @@ def test_unique_keys_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     out = Q.check_unique({"k": (df, ["k"]), "v": (df, ["v"]), "empty": (df.limit(0), ["k"])})
     assert physical(out).count("hashpartitioning(k#") >= 1 and ", 10), REPARTITION_BY_NUM" in physical(out)
     assert rows_of(out) == [("k", "0", 2), ("k", "1", 2), ("k", "2", 2), ("v", "", 3)]
+
+
+def test_context_keeps_tickets_without_an_assignee_out_of_the_join(spark):
+    seg = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "meeting_id long, seq long, text string")
+    tk = spark.createDataFrame([("x", 1, "t", "TODO", None), ("y", 1, "u", "DONE", 7), ("z", 9, "v", "TODO", None), ("n", None, "w", "TODO", 7)],
+                               "ticket_id string, meeting_id long, title string, status string, assignee_id long")
+    members = spark.createDataFrame([(5, 7)], "group_id long, user_id long")
+    users = spark.createDataFrame([(7, "Kim"), (None, "Nobody")], "user_id long, name string")
+    meetings = spark.createDataFrame([(1, 5), (1, 5), (3, 6), (None, 5)], "meeting_id long, group_id long")
+    out = A.analysis_context(seg, tk, members, users, meetings)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter, (assignee_id#" in line]
+    assert len(joins) == 1 and "isnotnull(assignee_id#" in plan and "isnull(assignee_id#" in plan
+    assert [r[4] for r in rows_of(out.filter("section = '3_tickets'"))] == [
+        "- [TODO] t (ID: x, Assignee: Unassigned)", "- [DONE] u (ID: y, Assignee: Kim)", A.NO_TICKETS_LINE]
+    assert [r[:4] for r in rows_of(out.filter("section like '2%'"))] == [("group", 5, "2_members", "7"), ("meeting", 1, "2_group", "5")]
