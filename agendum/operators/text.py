@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agendum.functions.expressions import tokens
+from agendum.functions.expressions import WHITESPACE_PATTERN, tokens
 from agendum.functions.windows import segmented_shift
 from agendum.operators.relational import meeting_groups
 
@@ -29,6 +29,8 @@ OWNERSHIP_PHRASES = ("will", "i'll", "is going to", "is designing", "is working
 
 NAME_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 STITCH_CHUNK = 1000     # segments per stitched piece (by sequence number)
+TASK_BYTES = 4 << 20    # of the documents whose terms one task counts
+HOT_BYTES = 64 << 20    # of the rows of one document id that one task may count
 
 
 def stitch_transcripts(segments: DataFrame, key: str = "meeting_id", seq: str = "seq",
@@ -56,23 +58,43 @@ def stitch_transcripts(segments: DataFrame, key: str = "meeting_id", seq: str =
 def tokenize(df: DataFrame, text: str = "text", out: str = "term") -> DataFrame:
     """One row per token (lower case, split on whitespace, blanks gone)."""
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.explode(tokens(text)).alias(out))
+    parts = F.split(F.lower(F.col(text)), WHITESPACE_PATTERN)      # as ``tokens``; blanks go row by row, in compiled code
+    return df.select(*rest, F.explode(parts).alias(out)).filter(F.col(out) != "")
 
 
 def term_frequencies(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf) in long form."""
-    return tokenize(docs.select(doc, text), text).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf) in long form.
+
+    Texts are dealt by document over as many tasks as their bytes ask for, and a
+    task counts the terms of its documents: the texts are shuffled once and their
+    tokens never. Rows of an id with more than ``HOT_BYTES`` are dealt by term."""
+    d = docs.select(doc, text)
+    sizes = d.groupBy(doc).agg(F.sum(F.octet_length(text).cast("long")).alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
+    hot = (F.col("__rows") > 1) & (F.col("__bytes") > HOT_BYTES)
+    n_bytes, n_hot = sizes.agg(F.coalesce(F.sum("__bytes"), F.lit(0)), F.count_if(hot)).first()
+
+    def counted(x: DataFrame) -> DataFrame:
+        return tokenize(x, text).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    def dealt(x: DataFrame) -> DataFrame:
+        return x.repartition(max(d.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES)), doc)
+
+    if not n_hot:
+        return counted(dealt(d))
+    ids = F.broadcast(sizes.filter(hot).select(F.col(doc).alias("__hot")))      # one for every HOT_BYTES at most
+    is_hot = F.col(doc).eqNullSafe(F.col("__hot"))
+    return counted(dealt(d.join(ids, is_hot, "left_anti"))).unionByName(counted(d.join(ids, is_hot, "left_semi")))
 
 
 def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """T4: tf * ln((N + 1) / (df + 1)), Spark ML's IDF formula, on exact
-    terms. N is a scalar subquery; the per-term document frequency is joined
-    back on the term (AQE broadcasts it or splits hot terms)."""
-    tf = term_frequencies(docs, doc, text)
+    terms. N is a scalar subquery. The counts are shuffled by term once; the
+    per-term document frequency is taken and joined back where they lie."""
+    tf = term_frequencies(docs, doc, text).repartition("term")
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    # df = documents in which the term occurs (tf > 0); reading tf here lets the
-    # plan reuse the (doc, term) shuffle instead of tokenizing twice.
-    dfreq = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    # df = documents in which the term occurs (tf > 0); all columns are read here, so
+    # that the plan reuses the shuffle by term instead of counting the terms twice.
+    dfreq = tf.groupBy("term").agg(F.count_if((F.col("tf") > 0) | F.col(doc).isNull()).alias("df"))
     return (tf.join(dfreq, "term")
               .withColumn("idf", F.ln((n_docs + F.lit(1)).cast("double") / (F.col("df") + 1).cast("double")))
               .withColumn("tfidf", F.col("tf").cast("double") * F.col("idf")))

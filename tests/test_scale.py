@@ -3,8 +3,11 @@ key without a value gathers rows."""
 
 from __future__ import annotations
 
+import math
+
 from agendum.operators import analysis as A
 from agendum.operators import quality as Q
+from agendum.operators import text as X
 from tests.conftest import rows_of
 
 
@@ -34,3 +37,24 @@ def test_context_keeps_tickets_without_an_assignee_out_of_the_join(spark):
     assert [r[4] for r in rows_of(out.filter("section = '3_tickets'"))] == [
         "- [TODO] t (ID: x, Assignee: Unassigned)", "- [DONE] u (ID: y, Assignee: Kim)", A.NO_TICKETS_LINE]
     assert [r[:4] for r in rows_of(out.filter("section like '2%'"))] == [("group", 5, "2_members", "7"), ("meeting", 1, "2_group", "5")]
+
+
+def test_terms_are_counted_where_their_document_lies(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b  A\n"), (1, "b c"), (2, " "), (3, None), (None, "x"), (None, "x y"), (4, "")], "doc_id long, text string")
+    expected = [(1, "a", 2), (1, "b", 2), (1, "c", 1), (None, "x", 2), (None, "y", 1)]
+    tf = X.term_frequencies(docs)
+    assert rows_of(tf) == expected
+    assert "hashpartitioning(doc_id#" in physical(tf) and ", term#" not in physical(tf).split("Exchange", 1)[1]
+    monkeypatch.setattr(X, "HOT_BYTES", 3)      # the ids with several rows are dealt by term
+    hot = X.term_frequencies(docs)
+    assert rows_of(hot) == expected and physical(hot).count("BroadcastHashJoin") == 2
+
+
+def test_weights_share_one_shuffle_of_the_counts(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (None, "b c"), (3, None)], "doc_id long, text string")
+    w = X.tfidf(docs)
+    got = {(r.doc_id, r.term): (r.tf, r.df, round(r.tfidf, 9)) for r in w.collect()}
+    of = lambda tf, df: (tf, df, round(tf * math.log(5 / (df + 1)), 9))
+    assert got == {(1, "a"): of(2, 1), (1, "b"): of(1, 3), (2, "b"): of(1, 3), (None, "b"): of(1, 3), (None, "c"): of(1, 1)}
+    w.collect()
+    assert "ReusedExchange" in physical(w)
