@@ -291,13 +291,21 @@ def linked(cuts: Cuts, docs: DataFrame, classes: DataFrame, pairs: DataFrame, wi
     return edges
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), v < u, are stars: every u has one v, and no u is a v."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf")).union(edges.select("v", F.lit(0)))
+    open_ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.count("*").alias("n")).where("leaf > 0 and n > 1")
+    return open_ends.agg(F.count("*")).first()[0] == 0
+
+
 def star_components(cuts: Cuts, edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node of the component. Alternating
-    large-star and small-star steps (Kiveris et al., SoCC 2014) until nothing
-    changes; each step is written to the shared folder, in place of the one before."""
+    large-star and small-star steps (Kiveris et al., SoCC 2014) until the edges are
+    stars; each step is written to the shared folder, in place of the one before."""
     cur = cuts.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    before = None
     for _ in range(MAX_STEPS):
+        if settled(cur):
+            break
         both = cur.union(cur.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -305,10 +313,6 @@ def star_components(cuts: Cuts, edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         last, cur = cur, cuts.cut(small.where("u <> v").distinct(), "components")
         cuts.drop(last)
-        now = cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return cur
@@ -321,6 +325,7 @@ def merge_components(cuts: Cuts, comp: DataFrame | None, edges: DataFrame) -> Da
         new = star_components(cuts, edges)
         out = cuts.cut(new.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
         cuts.drop(new, edges)
+        cuts.release()
         return out
     of = comp.select(F.col("node").alias("n"), "root")
     mapped = (edges.join(of.withColumnsRenamed({"n": "a", "root": "ra"}), "a", "left").join(of.withColumnsRenamed({"n": "b", "root": "rb"}), "b", "left")
@@ -329,6 +334,7 @@ def merge_components(cuts: Cuts, comp: DataFrame | None, edges: DataFrame) -> Da
     moved = comp.join(new.select(F.col("u").alias("root"), F.col("v").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     out = cuts.cut(moved.union(new.select("u", "v")), "components")
     cuts.drop(comp, edges, new)
+    cuts.release()
     return out
 
 

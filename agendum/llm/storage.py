@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -69,6 +70,13 @@ class Cuts:
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
+    def release(self) -> None:
+        """Let go of the broadcasts of finished joins, on the driver and on the executors:
+        Spark removes them when the driver collects its garbage, which a driver with
+        a free heap puts off."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Mark ``df`` (``rows`` counted rows of a few fixed-width columns) for

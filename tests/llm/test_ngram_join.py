@@ -108,3 +108,36 @@ def test_replaced_tables_are_removed(spark):
     left = [x for x in os.listdir(f"{shared_dir(spark).removeprefix('file:')}/agendum") if x.startswith("cuts-test")]
     assert len(left) == 1
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_components_of_stars_take_no_step_and_chains_end_at_their_smallest_node(spark, monkeypatch):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    written = []
+    cut = Cuts.cut
+    monkeypatch.setattr(Cuts, "cut", lambda self, df, name: written.append(name) or cut(self, df, name))
+    found = lambda rows: {r.u: r.v for r in ngram_join.star_components(Cuts(spark), edges(rows)).collect()}
+    assert found([(1, i) for i in range(2, 40)] + [(60, 50), (50, 51), (51, 50), (7, 7)]) == {i: 1 for i in range(2, 40)} | {60: 50, 51: 50}
+    assert written == ["components"]     # the edges alone, and no step to see that nothing changes
+    assert found([]) == {}
+    assert len(written) == 2
+    rng = random.Random(4)
+    chain = list(range(100, 130))
+    rng.shuffle(chain)
+    pairs = list(zip(chain, chain[1:], strict=False)) + [(rng.randrange(30), rng.randrange(30)) for _ in range(25)]
+    want = {x: x for pair in pairs for x in pair}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert found(pairs) == {x: c for x, c in want.items() if c != x}
+
+
+def test_broadcasts_of_finished_joins_are_let_go(spark):
+    docs = docs_of(spark, [f"{k} one two three four five six seven {k % 3}" for k in range(30)])
+    kept = []
+    release = Cuts.release
+    try:
+        Cuts.release = lambda self: kept.append(1) or release(self)
+        ngram_join.near_duplicates(docs).collect()
+    finally:
+        Cuts.release = release
+    assert len(kept) >= ngram_join.ROUNDS + 2     # after each join of components
