@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agendum.llm.storage import cut, new_path
+from agendum.llm.storage import cut, new_path, release
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -91,6 +91,7 @@ class Runs:
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(merged)
+        release(self.spark)
 
     def common(self) -> DataFrame:
         return self.merge(self.runs()).where(F.col("n") >= self.min_docs).select("h1", "h2")

@@ -71,11 +71,15 @@ class Cuts:
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def release(self) -> None:
-        """Let go of the broadcasts of finished joins, on the driver and on the executors:
-        Spark removes them when the driver collects its garbage, which a driver with
-        a free heap puts off."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the broadcasts of finished joins, on the driver and on the executors:
+    Spark removes them when the driver collects its garbage, which a driver with
+    a free heap puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
