@@ -20,8 +20,8 @@ input are ignored. A null doc_id stays null.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agendum.llm.storage import cut, ship_code
+from agendum.llm.storage import cut, lean, ship_code
 from agendum.llm.wordhash import _BYTE, SLICE_BYTES, byte_set, mix, slices
 
 LENGTH = 1024
 END_ID = 0
 DIMS, BITS = 4, 12
-CACHE = 350_000   # chunks in each of the two generations a worker remembers
+CACHE = 700_000   # chunks that a worker remembers from slice to slice
 
 _U = np.uint64
 _STOP = byte_set((0x00, 0x20))
@@ -48,13 +48,62 @@ _WIDE_SPACE = "[\u0085   -     　]"
 _worker: dict = {}
 
 
+class Known:
+    """Ids of chunks by 64-bit key, in arrays sorted by key: some 35 bytes a chunk."""
+
+    def __init__(self):
+        self.key = np.zeros(0, np.uint64)
+        self.base = np.zeros(0, np.int64)    # where the chunk's ids begin in ``ids``
+        self.size = np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.int32)    # the last turn that asked for the chunk
+        self.ids = np.zeros(0, np.uint32)
+        self.turn = 0
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.key, keys).clip(0, max(0, len(self.key) - 1))
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key is known. Begins a turn, before which the chunks
+        that no recent turn asked for go if there are more than ``CACHE``."""
+        if len(self.key) > CACHE:
+            self._forget()
+        self.turn += 1
+        if not len(self.key):
+            return np.zeros(len(keys), bool)
+        at = self._at(keys)
+        found = self.key[at] == keys
+        self.seen[at[found]] = self.turn
+        return found
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """``keys``: sorted, none of them known."""
+        at = np.searchsorted(self.key, keys)
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        base = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        self.key, self.base, self.size = np.insert(self.key, at, keys), np.insert(self.base, at, base), np.insert(self.size, at, size)
+        self.seen = np.insert(self.seen, at, self.turn)
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first id in ``ids``, number of ids) of known keys."""
+        at = self._at(keys)
+        return self.base[at], self.size[at].astype(np.int64)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.seen > np.partition(self.seen, len(self.seen) // 2)[len(self.seen) // 2])
+        size = self.size[keep].astype(np.int64)
+        base = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(self.base[keep] - base, size) + np.arange(int(size.sum()))]
+        self.key, self.base, self.size, self.seen = self.key[keep], base, self.size[keep], self.seen[keep]
+
+
 def tokenizer(path: str):
     if _worker.get("path") != path:
         from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True   # their strings in a text are ordinary text
-        _worker.update(path=path, tokenizer=t, cache=[{}, {}])
-    return _worker["tokenizer"], _worker["cache"]
+        _worker.update(path=path, tokenizer=t, known=Known())
+    return _worker["tokenizer"], _worker["known"]
 
 
 def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -76,7 +125,7 @@ def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cutp)
 
 
-def encode_slice(tok, cache: list, data: np.ndarray, off: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(tok, known: Known, data: np.ndarray, off: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, ids per text). ``whole``: texts to encode in one piece."""
     n = len(off) - 1
     if not len(data):
@@ -93,30 +142,15 @@ def encode_slice(tok, cache: list, data: np.ndarray, off: np.ndarray, whole: np.
     power = np.multiply.accumulate(power)
     key = mix(np.add.reduceat(_BYTE[data] * power[place], starts) + width.astype(np.uint64))
     uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    keys = uniq.tolist()
-    if len(cache[0]) > CACHE:
-        cache[:] = {}, cache[0]
-    young, old = cache
-    parts, unknown = [], []
-    for i, k in enumerate(keys):
-        ids = young.get(k)
-        if ids is None:
-            ids = old.get(k)
-            if ids is None:
-                unknown.append(i)
-            else:
-                young[k] = ids
-        parts.append(ids)
-    if unknown:
+    unknown = np.flatnonzero(~known.holds(uniq))
+    if len(unknown):
         raw = data.tobytes()
-        strings = [raw[starts[first[i]]:ends[first[i]]].decode("utf-8") for i in unknown]
-        for i, e in zip(unknown, tok.encode_batch(strings, add_special_tokens=False), strict=True):
-            parts[i] = young[keys[i]] = array("I", e.ids).tobytes()
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    flat = np.frombuffer(b"".join(parts), np.uint32)
-    base = np.cumsum(size) - size
+        strings = [raw[a:b].decode("utf-8") for a, b in zip(starts[first[unknown]].tolist(), ends[first[unknown]].tolist(), strict=True)]
+        known.add(uniq[unknown], [e.ids for e in tok.encode_batch_fast(strings, add_special_tokens=False)])
+    base, size = known.places(uniq)
     per_chunk = size[inverse]
     at = np.repeat(base[inverse] - (np.cumsum(per_chunk) - per_chunk), per_chunk) + np.arange(int(per_chunk.sum()))
+    flat = known.ids
     text = np.searchsorted(off, starts, "right") - 1
     return flat[at], np.bincount(text, weights=per_chunk, minlength=n).astype(np.int64)
 
@@ -171,14 +205,14 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.nda
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tok, cache = tokenizer(path)
+    tok, known = tokenizer(path)
     table = directions()
     for batch in batches:
         col = batch.column(1).cast(pa.large_string())
         whole = pc.fill_null(pc.match_substring_regex(col, _WIDE_SPACE), False).to_numpy(zero_copy_only=False)
         dtype = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
         for i, j, data, off in slices(col, 2 * SLICE_BYTES):
-            ids, counts = encode_slice(tok, cache, data, off, whole[i:j])
+            ids, counts = encode_slice(tok, known, data, off, whole[i:j])
             keys = curve_keys(ids, counts, table)
             counts = counts + 1
             stream = np.full(int(counts.sum()), END_ID, dtype)
@@ -247,7 +281,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     integers, of 16 bits if the vocabulary allows it, else of 32; end id last."""
     ship_code(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda b: _encode(b, tokenizer_path), "doc_id long, curve_key long, doc_tokens long, ids binary")
+        lambda b: lean(_encode(b, tokenizer_path)), "doc_id long, curve_key long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
@@ -257,4 +291,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids: b
     samples them, and lost executors don't tokenise again."""
     encoded = cut(encode(docs, tokenizer_path), "packing-ids")
     ordered = encoded.repartitionByRange("curve_key", F.col("doc_id")).sortWithinPartitions("curve_key", "doc_id")
-    return ordered.select("doc_id", "ids", "doc_tokens").mapInArrow(lambda b: _pack(b, length, with_ids), PIECES)
+    return ordered.select("doc_id", "ids", "doc_tokens").mapInArrow(lambda b: lean(_pack(b, length, with_ids)), PIECES)

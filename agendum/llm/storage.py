@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` of a task. At its end the Python worker gives the memory of freed
+    arrays back to the system: Spark keeps the worker for later tasks, and while
+    it idles, other stages need that memory."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)    # of glibc
+    if trim:
+        trim(0)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Mark ``df`` (``rows`` counted rows of a few fixed-width columns) for
     broadcast when it is proven small; beyond that Spark joins by shuffle."""

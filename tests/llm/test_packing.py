@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -96,3 +97,29 @@ def test_last_sequences_take_no_padding(spark, filled):
     docs = docs_of(spark, ["a " * (filled - 1)])
     pieces = packing.pack(docs, PATH).collect()
     check(pieces, {0: reference_ids("a " * (filled - 1))})
+
+
+def test_chunks_are_forgotten_and_encoded_again(monkeypatch):
+    """More distinct chunks than a worker remembers, some of them in every slice."""
+    monkeypatch.setattr(packing, "CACHE", 60)
+    tok, _ = packing.tokenizer(PATH)
+    known, most = packing.Known(), 0
+    for turn in range(30):
+        texts = [f"always here {turn % 7} word{turn * 40 + k} x{k}" for k in range(40)]
+        (_, _, data, off), = slices(pa.array(texts))
+        ids, counts = packing.encode_slice(tok, known, data, off, np.zeros(len(texts), bool))
+        assert ids.tolist() == [i for t in texts for i in reference_ids(t)[:-1]]
+        assert counts.tolist() == [len(reference_ids(t)) - 1 for t in texts]
+        assert (np.diff(known.key) > 0).all() and len(known.ids) == known.size.sum()
+        most = max(most, len(known.key))
+    assert most < 300
+
+
+def test_a_remembered_chunk_takes_few_bytes():
+    """The remembered chunks stay in an idle worker: they took some 200 bytes each."""
+    known = packing.Known()
+    keys = np.arange(50_000, dtype=np.uint64) * np.uint64(7919)
+    assert not known.holds(keys).any()
+    known.add(keys, [[1, 2, 3]] * len(keys))
+    assert known.holds(keys).all()
+    assert sum(x.nbytes for x in (known.key, known.base, known.size, known.seen, known.ids)) <= 40 * len(keys)
