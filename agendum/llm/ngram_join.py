@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from agendum.llm.storage import Cuts, broadcast_if_small, cut, ship_code
+from agendum.llm.storage import Cuts, broadcast_if_small, cut, lean, ship_code
 from agendum.llm.wordhash import WHITE, mix, shingles, slices, words
 
 WIDTH = 5
@@ -115,7 +115,7 @@ def _levels(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def count_levels(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """Level of the document frequency of shingles by hashed counter, over all
     rows: 2**bits numbers, at most 2 * 2**MAX_COUNT_BITS bytes."""
-    parts = (docs.select("text").mapInArrow(lambda b: _count(b, width, bits), "block long, place long, counts binary")
+    parts = (docs.select("text").mapInArrow(lambda b: lean(_count(b, width, bits)), "block long, place long, counts binary")
              .groupBy("block").applyInArrow(_levels, "block long, levels binary"))
     out = np.zeros(1 << bits, np.uint16)
     for r in parts.collect():   # at most 2**(bits - BLOCK_BITS) rows
@@ -198,7 +198,7 @@ def shared_map(cuts: Cuts, tokens: DataFrame) -> tuple[np.ndarray, int]:
     up to 2**MAX_MAP_BITS, and the power of two of its size."""
     often = cuts.cut(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "ngram-often")
     map_bits = min(MAX_MAP_BITS, max(BLOCK_BITS + 3, (often.count() * MAP_ROOM).bit_length()))
-    parts = (often.coalesce(16).mapInArrow(lambda b: _bitmap(b, map_bits), "block long, bits binary")
+    parts = (often.coalesce(16).mapInArrow(lambda b: lean(_bitmap(b, map_bits)), "block long, bits binary")
              .groupBy("block").applyInArrow(_either, "block long, bits binary"))
     out = np.zeros(1 << (map_bits - 3), np.uint8)
     for r in parts.collect():    # 2**map_bits bits at most
@@ -282,7 +282,7 @@ def linked(cuts: Cuts, docs: DataFrame, classes: DataFrame, pairs: DataFrame, wi
     rows = wanted.count()
     texts = docs.join(broadcast_if_small(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), rows, BROADCAST_ROWS),
                       F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = (texts.select("text").mapInArrow(lambda b: _full_sets(b, width), "cls long, shingles array<long>")
+    sets = (texts.select("text").mapInArrow(lambda b: lean(_full_sets(b, width)), "cls long, shingles array<long>")
             .join(broadcast_if_small(wanted.select("cls"), rows, BROADCAST_ROWS), "cls", "left_semi").dropDuplicates(["cls"]))
     both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b"))
@@ -359,12 +359,12 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, roun
     bits = counter_bits(docs)
     levels = spark.sparkContext.broadcast(count_levels(docs, width, bits))
 
-    described = cuts.cut(docs.mapInArrow(lambda b: _describe(b, width), "doc_id long, cls long, n long, sketch array<long>"), "ngram-rows")
+    described = cuts.cut(docs.mapInArrow(lambda b: lean(_describe(b, width)), "doc_id long, cls long, n long, sketch array<long>"), "ngram-rows")
     classes = cuts.cut(described.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "ngram-classes")
 
-    shared, map_bits = shared_map(cuts, docs.select("text").mapInArrow(lambda b: _prefix_tokens(b, levels, width, percent, bits), "token long"))
+    shared, map_bits = shared_map(cuts, docs.select("text").mapInArrow(lambda b: lean(_prefix_tokens(b, levels, width, percent, bits)), "token long"))
     shared = spark.sparkContext.broadcast(shared)
-    first = cuts.cut(docs.select("text").mapInArrow(lambda b: _index(b, levels, shared, map_bits, width, percent, bits), "token long, cls long, n int, pos int"), "ngram-index")
+    first = cuts.cut(docs.select("text").mapInArrow(lambda b: lean(_index(b, levels, shared, map_bits, width, percent, bits)), "token long, cls long, n int, pos int"), "ngram-index")
     for table in (levels, shared):      # later steps start from the written index
         table.destroy()
     several = first.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
@@ -447,7 +447,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     # Rows that share their doc_id are known by their class as well.
     columns = ["`" + c.replace("`", "``") + "`" for c in names]
-    several = docs.join(shared, "doc_id", "left_semi").select(*columns).mapInArrow(run, schema)
+    several = docs.join(shared, "doc_id", "left_semi").select(*columns).mapInArrow(lambda b: lean(run(b)), schema)
     of_class = several.where("_n > 0").join(stay.withColumnRenamed("cls", "_cls"), ["doc_id", "_cls"], "left_semi").dropDuplicates(["doc_id", "_cls"])
     return (docs.join(once, "doc_id", "left_semi").select(*columns).union(of_class.select(*columns))
             .union(several.where("_n = 0").select(*columns)).union(docs.where("doc_id is null")))

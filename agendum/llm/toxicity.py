@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from agendum.llm.storage import ship_code
+from agendum.llm.storage import lean, ship_code
 from agendum.llm.wordhash import mix, slices
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 30_000
@@ -406,7 +406,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_TOXIC).union(marked.where("toxic = 0").orderBy(order, "doc_id").limit(MAX_CLEAN))
     rows = (docs.select(F.col("doc_id").cast("long"), "text").where(F.length("text") <= MAX_CHARS)
             .join(F.broadcast(chosen), "doc_id")       # at most MAX_TOXIC + MAX_CLEAN rows
-            .select("text", "toxic").mapInArrow(_sample_units, "toxic int, sketch array<long>, words array<binary>"))
+            .select("text", "toxic").mapInArrow(lambda b: lean(_sample_units(b)), "toxic int, sketch array<long>, words array<binary>"))
     return fit(rows.toArrow())
 
 
@@ -422,7 +422,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             found = np.concatenate([worst_words(data, off, model) for _, _, data, off in slices(batch.column(at))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(found))], names=[*names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda b: lean(run(b)), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
